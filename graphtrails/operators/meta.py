@@ -59,20 +59,19 @@ def max_weight_matching(meta: DataFrame, scratch: Scratch | None = None) -> Data
     pair) is strict, the result is that of going through all pairs in order.
     """
     scratch = scratch or Scratch.of(meta.sparkSession)
-    edges = scratch.save(
-        meta.filter("src < dst").selectExpr("src AS lo", "dst AS hi", "weight"), "meta-pairs"
+    size = F.count(F.lit(1))
+    edges, seen = scratch.save(
+        meta.filter("src < dst").selectExpr("src AS lo", "dst AS hi", "weight"), "meta-pairs", n=size
     )
     pairs = None
-    while True:
-        taken, seen = scratch.save(scratch.spark.sql(_MUTUAL, edges=edges), "mutual", n=F.count(F.lit(1)))
-        if not seen["n"]:
-            break
+    while seen["n"]:
+        taken = scratch.save(scratch.spark.sql(_MUTUAL, edges=edges), "mutual")
         pairs = taken if pairs is None else pairs.unionByName(taken)
         used = taken.selectExpr("inline(array(struct(lo AS p), struct(hi AS p)))")
-        edges = scratch.save(
+        edges, seen = scratch.save(
             edges.join(used.withColumnRenamed("p", "lo"), "lo", "left_anti")
             .join(used.withColumnRenamed("p", "hi"), "hi", "left_anti"),
-            "meta-pairs",
+            "meta-pairs", n=size,
         )
     parts = meta.select("src").distinct()
     if pairs is None:
@@ -151,16 +150,19 @@ def part_roots(mt: DataFrame, parts: DataFrame) -> DataFrame:
     return every
 
 
-def edge_levels(g: DataFrame, vp: DataFrame, mt: DataFrame) -> DataFrame:
+def edge_levels(
+    g: DataFrame, vp: DataFrame, mt: DataFrame | None = None, roots: DataFrame | None = None
+) -> DataFrame:
     """Edges with their parts and the ``level`` at which both ends are in one part; null for never.
 
-    Levels are worked out once for each pair of parts that share an edge.
+    Levels are worked out once for each pair of parts that share an edge, from the merge tree or the
+    ``part_roots`` of one.
     """
     parted = attach_partition(g, vp)
     cut = parted.filter("pu <> pv").select(
         F.least("pu", "pv").alias("lo"), F.greatest("pu", "pv").alias("hi")
     ).distinct()
-    roots = part_roots(mt, vp)
+    roots = part_roots(mt, vp) if roots is None else roots
     levels = (
         cut.join(roots.selectExpr("part AS lo", "level", "root"), "lo")
         .join(roots.selectExpr("part AS hi", "level", "root"), ["hi", "level", "root"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphtrails.operators.chains import OPEN, rank_chains, start_of
 from graphtrails.operators.circuit import circuit_of_links, require_even
 from graphtrails.operators.hooks import meeting_roots
-from graphtrails.operators.meta import edge_levels, merge_tree, meta_graph, part_roots, tree_height
+from graphtrails.operators.meta import edge_levels, merge_tree, meta_graph, pair_roots, part_roots, tree_height
 from graphtrails.operators.pairing import pair_darts
 from graphtrails.operators.skew import GROUP_ROWS, with_salt
 from graphtrails.operators.tables import attach_partition, bidirect
@@ -120,7 +120,7 @@ def partition_tour(
     tree = mt if mt is not None else merge_tree(meta_graph(g, vp), scratch)
     height = tree_height(tree)
     roots = scratch.save(part_roots(tree, vp), "roots")
-    leveled = edge_levels(g, vp, tree).withColumn("level", F.coalesce("level", F.lit(height + 1)))
+    leveled = edge_levels(g, vp, roots=roots).withColumn("level", F.coalesce("level", F.lit(height + 1)))
     edges = scratch.save(leveled, "edges")
     darts = scratch.save(
         pair_darts(bidirect(edges), scratch, group_rows)
@@ -334,8 +334,6 @@ def relabel_remote(pa: DataFrame, pairs: DataFrame, list_rows: int = GROUP_ROWS)
     The own part keeps its id and the partner's entry stays remote; ``merged_vertices`` says what
     becomes local.
     """
-    from graphtrails.operators.meta import pair_roots
-
     roots = pair_roots(pairs)
     far = pa.select("part", "vid", "chunk", F.explode("remote").alias("_p", "_l")).join(
         roots.withColumnRenamed("part", "_p"), "_p", "left"
@@ -361,9 +359,9 @@ def merged_vertices(tour: Tour) -> DataFrame:
     )
 
 
-def pass_through(tour: Tour) -> DataFrame:
+def pass_through(tree: DataFrame) -> DataFrame:
     """``(level, part)``: merged parts that had no partner at a level and keep their trails."""
-    return tour.tree.filter("part_b IS NULL").selectExpr("level", "part_a AS part")
+    return tree.filter("part_b IS NULL").selectExpr("level", "part_a AS part")
 
 
 def level_report(tour: Tour) -> DataFrame:
