@@ -20,23 +20,34 @@ from graphtrails import fixtures
 from graphtrails.functions.graph import join_longs, trail_id
 from graphtrails.operators import checks, circuit, eulerize as eul, meta, partition as part, tables
 from graphtrails.plans import jobs
-from graphtrails.scratch import Scratch
+from graphtrails.scratch import Scratch, one_row
 from graphtrails.sources import binary, text
 
 PARTS = 8
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_SAVED: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """Input graphs and partition maps are derived from the test tables once for each session."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _SAVED:
+        _SAVED[key] = Scratch.of(spark).save(make(), "input")
+    return _SAVED[key]
+
+
 def _graph(spark: SparkSession, folder: str, name: str = "part_chain") -> DataFrame:
-    return getattr(fixtures, name)(spark, folder)
+    return _once(spark, (folder, name), lambda: getattr(fixtures, name)(spark, folder))
 
 
 def _even(spark: SparkSession, folder: str) -> DataFrame:
-    return fixtures.with_apex(_graph(spark, folder))
+    return _once(spark, (folder, "even"), lambda: fixtures.with_apex(_graph(spark, folder)))
 
 
 def _parts(g: DataFrame, n: int = PARTS) -> DataFrame:
-    return fixtures.parts_by_residue(g, n)
+    return _once(g.sparkSession, (g._scratch_path, n), lambda: fixtures.parts_by_residue(g, n))
 
 
 def _adj(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +152,7 @@ def _eulerize(spark, folder):
     g = _graph(spark, folder)
     made = eul.eulerize(g)
     size = made.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("eid").alias("edge_ids"))
-    return size.join(_count(tables.degrees(made).filter("degree % 2 = 1"), "odd_vertices"), F.lit(True))
+    return one_row(size, _count(tables.degrees(made).filter("degree % 2 = 1"), "odd_vertices"))
 
 
 def _match_report(spark, folder):
@@ -196,7 +207,7 @@ def _local_in(spark, folder):
     tour, trails = _tour(spark, folder)
     cycles = part.local_trails(tour, "IN", 0, trails)
     others = trails.filter("level = 0 AND kind <> 'IN'").agg(F.sum("n_edges").alias("_b"))
-    total = cycles.agg(F.coalesce(F.sum("n_edges"), F.lit(0)).alias("_a")).join(others, F.lit(True))
+    total = one_row(cycles.agg(F.coalesce(F.sum("n_edges"), F.lit(0)).alias("_a")), others)
     return total.select((F.col("_a") + F.col("_b")).alias("local_edges"))
 
 
@@ -210,7 +221,7 @@ def _attach(spark, folder):
     wrong = attached.filter("host IS NOT NULL").join(
         trails.filter("kind <> 'IN'").selectExpr("level", "part", "trail_id AS host"), ["level", "part", "host"], "left_anti"
     )
-    return _count(free, "left_alone").join(_count(wrong, "unknown_host"), F.lit(True))
+    return one_row(_count(free, "left_alone"), _count(wrong, "unknown_host"))
 
 
 def _pivots(spark, folder):
@@ -401,7 +412,7 @@ def _job_circuit(spark, folder):
     jobs.circuit_of_file(spark, src, to)
     steps = spark.read.parquet(to)
     breaks = _count(checks.walk_breaks(steps, "component"), "breaks")
-    return steps.agg(F.count_distinct("eid").alias("edges"), F.count_distinct("component").alias("circuits")).join(breaks, F.lit(True))
+    return one_row(steps.agg(F.count_distinct("eid").alias("edges"), F.count_distinct("component").alias("circuits")), breaks)
 
 
 def entry(spark: SparkSession) -> DataFrame:

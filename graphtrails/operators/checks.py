@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphtrails.operators.partition import Tour
 from graphtrails.operators.tables import adjacency_to_edges, partitioned_darts
+from graphtrails.scratch import one_row
 
 
 def edges_covered_once(steps: DataFrame, g: DataFrame) -> DataFrame:
@@ -23,16 +24,22 @@ def edges_covered_once(steps: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def walk_breaks(steps: DataFrame, walk: str, closed: bool = True) -> DataFrame:
-    """Steps whose end is not where the next one of the walk starts.
+    """``(walk, seq)`` of steps whose end is not where the next one starts, and of walks that have
+    gaps or, if they should, do not return.
 
     A join by position, so that a walk over the whole graph is not one group.
     """
-    totals = steps.groupBy(walk).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = steps.join(totals, walk).withColumn("_next", (F.col("seq") + 1) % F.col("_n"))
-    if not closed:
-        ahead = ahead.filter("_next <> 0")
-    following = steps.select(walk, F.col("seq").alias("_next"), F.col("from_vid").alias("_from"))
-    return ahead.join(following, [walk, "_next"], "left").filter(~F.col("to_vid").eqNullSafe(F.col("_from")))
+    ahead = steps.select(walk, "seq", "to_vid", (F.col("seq") + 1).alias("_next")).join(
+        steps.select(walk, F.col("seq").alias("_next"), F.col("from_vid").alias("_from")), [walk, "_next"], "left"
+    )
+    off = ahead.filter(F.col("to_vid") != F.col("_from")).select(walk, "seq")
+    lasts = ahead.filter(F.col("_from").isNull()).groupBy(walk).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("seq").alias("seq"), F.max_by("to_vid", "seq").alias("to_vid")
+    )
+    firsts = steps.filter("seq = 0").select(walk, F.col("from_vid").alias("_from"))
+    returns = F.col("to_vid").eqNullSafe(F.col("_from")) if closed else F.col("_from").isNotNull()
+    ends = lasts.join(firsts, walk, "left").filter((F.col("_n") > 1) | ~returns).select(walk, "seq")
+    return off.unionByName(ends)
 
 
 def circuit_summary(steps: DataFrame, g: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def circuit_summary(steps: DataFrame, g: DataFrame) -> DataFrame:
     total = steps.agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("eid").alias("edges"),
                       F.count_distinct("component").alias("circuits"))
     breaks = walk_breaks(steps, "component").agg(F.count(F.lit(1)).alias("breaks"))
-    return total.join(breaks, F.lit(True)).join(wrong.agg(F.count(F.lit(1)).alias("wrong_edges")), F.lit(True))
+    return one_row(total, breaks, wrong.agg(F.count(F.lit(1)).alias("wrong_edges")))
 
 
 def trails_valid(tour: Tour) -> DataFrame:

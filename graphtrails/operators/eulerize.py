@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from graphtrails.operators.hooks import components
 from graphtrails.operators.ranks import dense_rank
 from graphtrails.operators.tables import degrees, odd_by_degree
-from graphtrails.scratch import Scratch
+from graphtrails.scratch import Scratch, one_row
 
 ON_UNMATCHED = ("parallel", "null", "error")
 
@@ -196,4 +196,4 @@ def euler_preconditions(g: DataFrame, scratch: Scratch | None = None) -> DataFra
         F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("degree") % 2 == 1).alias("odd_vertices")
     )
     parts = components(g, scratch).agg(F.count_distinct("component").alias("components"))
-    return parity.join(parts, F.lit(True))
+    return one_row(parity, parts)

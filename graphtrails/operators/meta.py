@@ -151,23 +151,30 @@ def part_roots(mt: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def edge_levels(
-    g: DataFrame, vp: DataFrame, mt: DataFrame | None = None, roots: DataFrame | None = None
+    g: DataFrame,
+    vp: DataFrame,
+    mt: DataFrame | None = None,
+    roots: DataFrame | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Edges with their parts and the ``level`` at which both ends are in one part; null for never.
 
     Levels are worked out once for each pair of parts that share an edge, from the merge tree or the
-    ``part_roots`` of one.
+    ``part_roots`` of one, and written: with its size known, the planner broadcasts that table rather
+    than shuffle all edges to a few pairs of parts.
     """
+    scratch = scratch or Scratch.of(g.sparkSession)
     parted = attach_partition(g, vp)
     cut = parted.filter("pu <> pv").select(
         F.least("pu", "pv").alias("lo"), F.greatest("pu", "pv").alias("hi")
     ).distinct()
     roots = part_roots(mt, vp) if roots is None else roots
-    levels = (
+    levels = scratch.save(
         cut.join(roots.selectExpr("part AS lo", "level", "root"), "lo")
         .join(roots.selectExpr("part AS hi", "level", "root"), ["hi", "level", "root"])
         .groupBy("lo", "hi")
-        .agg(F.min("level").alias("_level"))
+        .agg(F.min("level").alias("_level")),
+        "pair-levels",
     )
     return (
         parted.withColumn("lo", F.least("pu", "pv"))

@@ -120,7 +120,7 @@ def partition_tour(
     tree = mt if mt is not None else merge_tree(meta_graph(g, vp), scratch)
     height = tree_height(tree)
     roots = scratch.save(part_roots(tree, vp), "roots")
-    leveled = edge_levels(g, vp, roots=roots).withColumn("level", F.coalesce("level", F.lit(height + 1)))
+    leveled = edge_levels(g, vp, roots=roots, scratch=scratch).withColumn("level", F.coalesce("level", F.lit(height + 1)))
     edges = scratch.save(leveled, "edges")
     darts = scratch.save(
         pair_darts(bidirect(edges), scratch, group_rows)
@@ -334,7 +334,7 @@ def relabel_remote(pa: DataFrame, pairs: DataFrame, list_rows: int = GROUP_ROWS)
     The own part keeps its id and the partner's entry stays remote; ``merged_vertices`` says what
     becomes local.
     """
-    roots = pair_roots(pairs)
+    roots = Scratch.of(pa.sparkSession).save(pair_roots(pairs), "pair-roots")  # small, and known to be
     far = pa.select("part", "vid", "chunk", F.explode("remote").alias("_p", "_l")).join(
         roots.withColumnRenamed("part", "_p"), "_p", "left"
     ).withColumn("_p", F.coalesce("root", "_p"))

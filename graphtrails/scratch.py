@@ -10,7 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Tables of one row side by side, in one row."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.unionByName(table, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for t in tables for c in t.columns])
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -203,11 +203,12 @@ def csr_tables(adj_rel: DataFrame, scratch: Scratch | None = None) -> tuple[Data
     sums = scratch.save(
         prefix_sum(adjacency_degrees(adj_rel), [F.col("vid")], "degree", "before", scratch), "prefix"
     )
-    total = sums.agg(F.count(F.lit(1)).alias("_v"), F.coalesce(F.sum("degree"), F.lit(0)).alias("_e"))
-    at = lambda n: (F.lit(3) + F.col("_v") + 1 + n) * 8
-    offsets = sums.join(F.broadcast(total), F.lit(True)).select(
-        F.col("vid").alias("rel_vid"), at(F.col("before")).alias("byte_offset")
-    ).unionByName(total.select((F.col("_v") + 1).alias("rel_vid"), at(F.col("_e")).alias("byte_offset")))
+    vertices = sums.count()
+    at = lambda n: (F.lit(3 + vertices + 1) + n) * 8
+    end = sums.agg(
+        F.lit(vertices + 1).cast("long").alias("rel_vid"), at(F.coalesce(F.sum("degree"), F.lit(0))).alias("byte_offset")
+    )
+    offsets = sums.select(F.col("vid").alias("rel_vid"), at(F.col("before")).alias("byte_offset")).unionByName(end)
     earlier = Window.partitionBy("vid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = adj_rel.select("vid", "chunk", F.size("nbrs").cast("long").alias("_n"))
     bases = sizes.select("vid", "chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
