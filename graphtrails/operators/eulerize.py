@@ -56,23 +56,26 @@ def _flag(rows: DataFrame, near: DataFrame, x: str, y: str, out: str) -> DataFra
     )
 
 
+# Slots that a rejected pair cannot swap with, both ways round, counted from a random start of its own.
 _BLOCKED = """
 WITH sides AS (
-  SELECT a AS vid, no AS slot, 0 AS side FROM {accepted}
-  UNION ALL SELECT b, no, 1 FROM {accepted}),
+  SELECT a AS vid, no AS slot, 0 AS side FROM {pool}
+  UNION ALL SELECT b, no, 1 FROM {pool}),
 asking AS (
-  SELECT a AS vid, a AS id, 0 AS role FROM {rejected}
-  UNION ALL SELECT b, a, 1 FROM {rejected}),
-links AS (SELECT lo AS vid, hi AS nbr FROM {near} UNION ALL SELECT hi, lo FROM {near})
-SELECT DISTINCT asking.id, role ^ side AS way,
-       pmod(slot - 1 - pmod(xxhash64(asking.id, {turn}), {size}), {size}) AS q
-FROM asking JOIN links USING (vid) JOIN sides ON sides.vid = links.nbr"""
-
-# The first slot of the ring of accepted pairs, from a random start, that nothing blocks.
+  SELECT a AS vid, no AS id, 0 AS role FROM {pool} WHERE bad
+  UNION ALL SELECT b, no, 1 FROM {pool} WHERE bad),
+links AS (SELECT lo AS vid, hi AS nbr FROM {near} UNION ALL SELECT hi, lo FROM {near}),
+hits AS (
+  SELECT asking.id, role ^ side AS way, slot
+  FROM asking JOIN links USING (vid) JOIN sides ON sides.vid = links.nbr
+  UNION ALL SELECT no, way, no FROM {pool} LATERAL VIEW explode(array(0, 1)) AS way WHERE bad)
+SELECT DISTINCT id, way, pmod(slot - 1 - pmod(xxhash64(id, {turn}), {size}), {size}) AS q FROM hits"""
+
+# The first slot that nothing blocks; each slot to one pair.
 _CHOICE = """
 WITH tries AS (
   SELECT id, way, q + 1 AS q FROM {blocked}
-  UNION ALL SELECT a, way, cast(0 AS long) FROM {rejected} LATERAL VIEW explode(array(0, 1)) AS way),
+  UNION ALL SELECT no, way, cast(0 AS long) FROM {pool} LATERAL VIEW explode(array(0, 1)) AS way WHERE bad),
 free AS (
   SELECT t.id, min(struct(t.q, t.way)) AS best
   FROM tries t LEFT ANTI JOIN {blocked} b ON t.id = b.id AND t.way = b.way AND t.q = b.q
@@ -82,40 +85,43 @@ FROM (SELECT id, best.way AS way,
              pmod(best.q + pmod(xxhash64(id, {turn}), {size}), {size}) + 1 AS slot FROM free)
 GROUP BY slot"""
 
+# A rejected pair may be chosen while it chooses: of such choices the one with the lowest number stays.
+_WINNERS = """
+SELECT c.* FROM {choice} c
+LEFT JOIN {choice} other ON other.id = c.slot LEFT JOIN {choice} taker ON taker.slot = c.id
+WHERE (other.id IS NULL OR c.id < other.id) AND (taker.id IS NULL OR c.id < taker.id)"""
+
 _SWAP = """
-SELECT p.no AS slot, r.a AS id, inline(array(
+SELECT inline(array(
   struct(r.a AS a, IF(w.way = 0, p.a, p.b) AS b), struct(r.b AS a, IF(w.way = 0, p.b, p.a) AS b)))
-FROM {won} w JOIN {accepted} p ON p.no = w.slot JOIN {rejected} r ON r.a = w.id"""
+FROM {won} w JOIN {pool} p ON p.no = w.slot JOIN {pool} r ON r.no = w.id"""
+
 
+def _exchange(pairs: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """Swap partners of rejected pairs with any other pair until no swap is left; ``(a, b, bad)``.
 
-def _exchange(
-    accepted: DataFrame, rejected: DataFrame, near: DataFrame, scratch: Scratch
-) -> tuple[DataFrame, DataFrame]:
-    """Swap partners between rejected and accepted pairs until no swap is left."""
+    Every turn settles at least one pair if any can be settled: choices start at random slots, so
+    most rejected pairs find one of their own at once.
+    """
     spark = scratch.spark
-    turn = 0
+    turn, pool = 0, pairs
     while True:
         turn += 1
-        accepted = scratch.save(dense_rank(accepted.select("a", "b"), [F.col("a")], "no", scratch), "accepted")
-        size = accepted.count()
-        if not size:
-            return accepted, rejected
-        args = dict(accepted=accepted, rejected=rejected, near=near, size=size, turn=turn)
-        blocked = scratch.save(spark.sql(_BLOCKED, **args), "blocked")
-        won, seen = scratch.save(
-            spark.sql(_CHOICE, blocked=blocked, rejected=rejected, size=size, turn=turn),
-            "won", n=F.count(F.lit(1)),
-        )
-        if not seen["n"]:
-            return accepted, rejected
-        swapped = scratch.save(spark.sql(_SWAP, won=won, accepted=accepted, rejected=rejected), "swapped")
-        accepted = accepted.join(won.select(F.col("slot").alias("no")), "no", "left_anti").select("a", "b")
-        accepted = accepted.unionByName(swapped.select("a", "b"))
-        rejected, seen = scratch.save(
-            rejected.join(won.select(F.col("id").alias("a")), "a", "left_anti"), "rejected", n=F.count(F.lit(1))
+        pool, seen = scratch.save(
+            dense_rank(pool, [F.col("a")], "no", scratch), "pool",
+            size=F.count(F.lit(1)), bad=F.count_if("bad"),
         )
+        size = seen["size"]
+        if not seen["bad"]:
+            return pool
+        blocked = scratch.save(spark.sql(_BLOCKED, pool=pool, near=near, size=size, turn=turn), "blocked")
+        choice = scratch.save(spark.sql(_CHOICE, blocked=blocked, pool=pool, size=size, turn=turn), "choice")
+        won, seen = scratch.save(spark.sql(_WINNERS, choice=choice), "won", n=F.count(F.lit(1)))
         if not seen["n"]:
-            return accepted, rejected
+            return pool
+        used = won.selectExpr("inline(array(struct(slot AS no), struct(id AS no)))")
+        swapped = spark.sql(_SWAP, won=won, pool=pool).withColumn("bad", F.lit(False))
+        pool = pool.join(used, "no", "left_anti").select("a", "b", "bad").unionByName(swapped)
 
 
 def match_odd_vertices(
@@ -132,23 +138,22 @@ def match_odd_vertices(
     odd = scratch.save(odd_by_degree(g, scratch), "odd")
     near = _near(g, odd, scratch)
     pairs, bad = _judge(odd, near, scratch)
-    accepted = pairs.filter(~F.col("bad")).select("a", "b")
+    settled = pairs.filter(~F.col("bad"))
     number = 1
     while bad > 1 and number < rounds:
         number += 1
         again = pairs.filter("bad").selectExpr("inline(array(struct(a AS vid), struct(b AS vid)))")
         order = [F.xxhash64("vid", F.lit(number))]
         pairs, bad = _judge(dense_rank(again, order, "pos", scratch), near, scratch)
-        accepted = accepted.unionByName(pairs.filter(~F.col("bad")).select("a", "b"))
+        settled = settled.unionByName(pairs.filter(~F.col("bad")))
     if bad:
-        accepted, left = _exchange(accepted, pairs.filter("bad").select("a", "b"), near, scratch)
-        accepted = accepted.select("a", "b")
-        unmatched = left.count()
+        settled = _exchange(settled.unionByName(pairs.filter("bad")), near, scratch)
+        unmatched = settled.filter("bad").count()
         if unmatched and on_unmatched == "error":
             raise ValueError(f"{unmatched} pairs of odd vertices have no legal partner")
-        if unmatched and on_unmatched == "parallel":
-            accepted = accepted.unionByName(left.select("a", "b"))
-    sinks = accepted.selectExpr("inline(array(struct(a AS vid, b AS sink), struct(b AS vid, a AS sink)))")
+        if on_unmatched == "null":
+            settled = settled.filter(~F.col("bad"))
+    sinks = settled.selectExpr("inline(array(struct(a AS vid, b AS sink), struct(b AS vid, a AS sink)))")
     of_sink = odd.select(F.col("vid").alias("sink"), F.col("degree").alias("sink_degree"))
     return scratch.save(
         odd.select("vid", "degree").join(sinks, "vid", "left").join(of_sink, "sink", "left")
