@@ -89,7 +89,8 @@ def trails_valid(tour: Tour) -> DataFrame:
 def local_coverage(tour: Tour) -> DataFrame:
     """``(level, edges, walked)``: edges that become local at a level and those in its trails."""
     walked = tour.steps.filter("NOT is_trail").groupBy("level").agg(F.count_distinct("element").alias("walked"))
-    return tour.edges.groupBy("level").agg(F.count(F.lit(1)).alias("edges")).join(walked, "level", "left")
+    local = tour.edges.filter(F.col("level") <= tour.height)
+    return local.groupBy("level").agg(F.count(F.lit(1)).alias("edges")).join(walked, "level", "left")
 
 
 def adjacency_integrity(left: DataFrame, right: DataFrame) -> DataFrame:
