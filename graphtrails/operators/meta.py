@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphtrails.operators.tables import attach_partition, bidirect, partitioned_darts
+from graphtrails.operators.tables import attach_partition, partitioned_darts
 from graphtrails.scratch import Scratch
 
 META = "src int, dst int, weight long"
@@ -28,13 +28,17 @@ def meta_edge_map(pa: DataFrame) -> DataFrame:
 
 
 def meta_graph(g: DataFrame, vp: DataFrame) -> DataFrame:
-    """``meta`` of a partitioned edge table: one count by the pair of parts, combined before the shuffle."""
-    pairs = bidirect(attach_partition(g, vp)).groupBy(F.col("part").alias("src"), F.col("hpart").alias("dst")).agg(
-        F.count(F.lit(1)).alias("weight")
+    """``meta`` of a partitioned edge table: one count by the pair of parts, combined before the
+    shuffle; only the counts are turned both ways."""
+    cut = attach_partition(g, vp).filter("pu <> pv").groupBy("pu", "pv").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (
+        cut.selectExpr("inline(array(struct(pu AS src, pv AS dst, n), struct(pv AS src, pu AS dst, n)))")
+        .groupBy("src", "dst")
+        .agg(F.sum("n").alias("weight"))
     )
     parts = vp.select(F.col("part").cast("int").alias("src")).distinct()
     return (
-        parts.join(pairs.filter(F.col("src") != F.col("dst")), "src", "left")
+        parts.join(pairs, "src", "left")
         .select("src", "dst", F.coalesce("weight", F.lit(0)).alias("weight"))
     )
 
