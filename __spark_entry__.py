@@ -420,7 +420,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return _circuit("part_chain", spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Query]:
+def core_queries() -> dict[str, Query]:
     on = lambda make, use: lambda spark, folder: use(make(spark, folder))
     g, adj, pa, even = _graph, _adj, _pa, _even
     tour = lambda use: lambda spark, folder: use(_tour(spark, folder)[0])
@@ -593,7 +593,7 @@ def _levels(parts: int = PARTS, height: int = 4) -> str:
 _LIST = "string_agg(CAST({0} AS VARCHAR), '{1}' ORDER BY {0})"
 
 
-def oracle_sql() -> dict[str, str]:
+def core_sql() -> dict[str, str]:
     g, even = _base(), _base(even=True)
     levels = f"{even},\n{_levels()}"
     nbrs = _LIST.format("head", ",")
@@ -736,3 +736,25 @@ def oracle_sql() -> dict[str, str]:
         "import_partitioning": f"{g}, {pa}",
         "circuit_of_file": f"{even} SELECT {m} AS edges, CAST(1 AS BIGINT) AS circuits, CAST(0 AS BIGINT) AS breaks",
     }
+
+
+# --- with the operators on documents and pages ---------------------------------------------------
+
+try:
+    import corpus_pipeline
+    from graphtrails.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "graphtrails.llm"):
+        raise
+    corpus_pipeline = corpus = None
+
+
+def queries() -> dict[str, Query]:
+    return core_queries() | ({} if corpus is None else corpus.queries() | {"pipeline": corpus_pipeline.run})
+
+
+def oracle_sql() -> dict[str, str]:
+    more = {} if corpus is None else corpus.oracle_sql()
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        more = more | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return core_sql() | more

@@ -9,11 +9,11 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("GRAPHTRAILS_DATA", "/root/testdata/sf0.001")
-LONG = {n for n in entry.queries() if "circuit" in n or "trail" in n or "tour" in n} | {
+LONG = {n for n in entry.core_queries() if "circuit" in n or "trail" in n or "tour" in n} | {
     "boundary_lines", "attach_internal_cycles", "pivot_vertices", "boundary_count", "merge_level", "level_report",
     "boundary_contained", "closed_trails", "next_starts", "edges_covered_once",
 }
-NAMES = [n for n in entry.queries() if os.environ.get("GRAPHTRAILS_ALL") or n not in LONG]
+NAMES = [n for n in entry.core_queries() if os.environ.get("GRAPHTRAILS_ALL") or n not in LONG]
 
 
 @pytest.fixture(scope="module")
@@ -27,14 +27,14 @@ def db():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, db, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = entry.core_queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
-    cursor = db.execute(entry.oracle_sql()[name])
+    cursor = db.execute(entry.core_sql()[name])
     names = [c[0] for c in cursor.description]
     want = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=str)
     assert sorted(names) == columns and got == want
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.core_queries()) == set(entry.core_sql())
