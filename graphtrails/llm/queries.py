@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphtrails.llm import lines, substrings
+from graphtrails.llm import decontam, jaccard, lines, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,13 @@ def _documents(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality": lambda spark, folder: quality.quality_scores(
+            table(spark, folder, "documents"), table(spark, folder, "labels")),
+        "op2_decontamination": lambda spark, folder: decontam.contamination_report(
+            table(spark, folder, "documents"), table(spark, folder, "benchmark")),
         "op3_line_dedup": _documents(lines.line_digests),
         "op4_substring_dedup": _documents(substrings.substring_digests),
+        "op9_jaccard_join": _documents(jaccard.jaccard_classes),
     }
 
 
@@ -65,8 +70,63 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+_DECONTAMINATION = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS s FROM items WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT k FROM windows
+), places AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS x
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, sizes WHERE len(w) >= k)
+), found AS (
+  SELECT doc_id, item_id, s, k FROM places JOIN windows USING (k, x)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+_JACCARD_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT DISTINCT a AS d, a AS r FROM ways UNION SELECT reach.d, ways.b FROM reach JOIN ways ON ways.a = reach.r
+), least AS (
+  SELECT d AS doc_id, min(r) AS r FROM reach GROUP BY d
+)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, documents.doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": _DECONTAMINATION,
         "op3_line_dedup": _LINE_DEDUP,
         "op4_substring_dedup": _SUBSTRING_DEDUP,
+        "op9_jaccard_join": _JACCARD_JOIN,
     }
