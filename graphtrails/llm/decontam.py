@@ -156,3 +156,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, scratch
 
 def contamination_report(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     return contamination(docs, items, size).drop("_k", "_t")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    scratch = Scratch.of(docs.sparkSession)
+    bad = scratch.save(contamination(docs, items, size, scratch).filter("contaminated").select("_k", "_t").distinct(), "contaminated")
+    rows = docs.withColumn("_k", doc_key()).withColumn("_t", F.hash(F.coalesce("text", F.lit(""))))
+    return rows.join(bad, ["_k", "_t"], "left_anti").select(*docs.columns)

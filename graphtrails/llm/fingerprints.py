@@ -1,8 +1,8 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over the last seven bytes ends a chunk wherever its remainder by the block size is the
-block size minus one. Every chunk gives one of 64 characters; the chunks' characters are the signature. A fingerprint
-is ``block size:signature:signature at twice the block size``. The block size is the largest power of two
+block size minus one. Every chunk gives one of 64 characters; the chunks' characters are the signature. A
+fingerprint is ``block size:signature:signature at twice the block size``. The block size is the largest power of two
 times ``LEAST_BLOCK`` that still gives ``CHUNKS / 2`` chunks. Fingerprints are compared by the edit distance
 (insertions and deletions) of signatures at equal block sizes, 1 meaning equal. Signatures without a common run of
 ``COMMON`` characters have nothing in common; so do incompatible block sizes.
@@ -19,81 +19,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from graphtrails.llm.words import bounded_batches, doc_key, mix
-from graphtrails.scratch import Scratch
 
 REACH = 7
 CHUNKS = 64
 LEAST_BLOCK = 3
 COMMON = 5
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-_BY = np.uint64(0x9E3779B97F4A7C15)
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _BY, np.uint64)]))
-    return _powers[:n]
+#: Bytes worked on at once, so that a very long text needs little memory.
+_SPAN = 1 << 20
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
-    """At every byte, a hash of it and the six before it (zeros before the text)."""
-    wide = np.concatenate([np.zeros(REACH - 1, np.uint32), data.astype(np.uint32)])
-    out = np.zeros(len(data), np.uint32)
+    """At every byte from the seventh on, a hash of it and the six before it."""
+    n = len(data) - REACH + 1
+    wide = data.astype(np.uint32)
+    out = np.zeros(n, np.uint32)
     for k in range(REACH):
-        out = out * np.uint32(0x01000193) + wide[k:k + len(data)]
+        out *= np.uint32(0x01000193)
+        out += wide[k:k + n]
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
     out ^= out >> np.uint32(13)
     return out
 
 
+def _triggers(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes after which a chunk ends at this block size, and their rolling hashes plus one.
+
+    An end at a block size is one at half of it too. The text is preceded by zeros.
+    """
+    ends, values = [], []
+    padded = np.concatenate([np.zeros(REACH - 1, np.uint8), data])
+    for at in range(0, len(data), _SPAN):
+        rolled = _rolling(padded[at:at + _SPAN + REACH - 1]).astype(np.uint64) + np.uint64(1)
+        own = np.flatnonzero(rolled % np.uint64(block) == 0)
+        ends.append(own + at)
+        values.append(rolled[own])
+    return np.concatenate(ends), np.concatenate(values)
+
+
+def _signature(data: np.ndarray, ends: np.ndarray) -> str:
+    """A character per chunk, from a hash of its bytes and their places in it."""
+    n = len(data)
+    last = ends if len(ends) and ends[-1] == n - 1 else np.append(ends, n - 1)
+    begins = np.append(0, last[:-1] + 1)
+    sums = np.zeros(len(last), np.uint64)
+    for at in range(0, n, _SPAN):
+        to = min(n, at + _SPAN)
+        lo, hi = np.searchsorted(last, at), np.searchsorted(last, to - 1) + 1
+        starts = np.maximum(begins[lo:hi], at)
+        place = np.arange(at, to) - np.repeat(begins[lo:hi], np.diff(np.append(starts, to)))
+        value = mix((place.astype(np.uint64) << np.uint64(8)) + data[at:to] + np.uint64(1))
+        sums[lo:hi] += np.add.reduceat(value, starts - at)
+    return _LETTERS[(mix(sums) >> np.uint64(58)).astype(np.int64)].tobytes().decode()
+
+
 def fingerprint(text: bytes) -> str:
     data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    if not n:
+    if not len(data):
         return f"{LEAST_BLOCK}::"
-    rolled = _rolling(data)
-    # a sum whose differences, times a power, are the chunks' own polynomial hashes
-    sums = np.cumsum(_VALUE[data] * _power(n))
     block = LEAST_BLOCK
-    while block * CHUNKS < n:
+    while block * CHUNKS < len(data):
         block *= 2
-    # of the bytes, those that end a chunk at the least block size end one at the larger ones as well or not
+    known = 0
     while True:
-        ends = np.flatnonzero(rolled % np.uint32(block) == block - 1)
+        if known == 0 or block < known:
+            known = max(LEAST_BLOCK, block // 4)
+            places, values = _triggers(data, known)
+        ends = places[values % np.uint64(block) == 0]
         if block == LEAST_BLOCK or len(ends) + 1 >= CHUNKS // 2:
             break
         block //= 2
-    signatures = []
-    for size in (block, 2 * block):
-        if size != block:
-            ends = np.flatnonzero(rolled % np.uint32(size) == size - 1)
-        last = ends if len(ends) and ends[-1] == n - 1 else np.append(ends, n - 1)
-        upto = sums[last]
-        own = upto.copy()
-        own[1:] -= upto[:-1]
-        begins = np.append(0, last[:-1] + 1)
-        # the same chunk at another place has the same hash: the place's power is divided out
-        own = mix(own * _inverse(n)[begins])
-        signatures.append(_LETTERS[(own >> np.uint64(58)).astype(np.int64)][:2 * CHUNKS].tobytes().decode())
-    return f"{block}:{signatures[0]}:{signatures[1]}"
-
-
-_inverses = np.ones(1, np.uint64)
-_BACK = np.uint64(pow(int(_BY), -1, 1 << 64))
-
-
-def _inverse(n: int) -> np.ndarray:
-    global _inverses
-    if len(_inverses) < n:
-        _inverses = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _BACK, np.uint64)]))
-    return _inverses[:n]
+    wider = places[values % np.uint64(2 * block) == 0]
+    return f"{block}:{_signature(data, ends)}:{_signature(data, wider)}"
 
 
 def _parts(fingerprint: str) -> tuple[int, str, str]:
@@ -168,23 +169,27 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     Documents are dealt out by ranges of ``doc_id``. The first of each range also goes to the range before
     it (that of all to the last range) as a guest, so every document meets the next one in its own task.
     """
-    spark, scratch = docs.sparkSession, Scratch.of(docs.sparkSession)
+    spark = docs.sparkSession
     bounded_batches(spark)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         doc_key().alias("_k"), F.xxhash64(text).alias("_h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    # bounds of about equal numbers of documents; rows of one id may be told apart by the text's hash only
+    # bounds of about equal numbers of documents; rows of one id stay together
     bounds = rows.agg(F.percentile_approx("_k", [i / parts for i in range(1, parts)], 100 * parts).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("_k"))) if bounds else F.lit(0)
-    ends = rows.select(bucket.alias("bucket"), "_k", "_h").groupBy("bucket").agg(F.min(F.struct("_k", "_h")).alias("first"))
-    ends = scratch.save(ends, "ends")  # one row per range
-    firsts = sorted((r["bucket"], r["first"]["_k"], r["first"]["_h"]) for r in ends.collect())
-    if not firsts:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                         "edited_fingerprint string, near_edited double, near_next double")
-    host = F.lit(None).cast("int")
-    for (b, k, h), (before, _, _) in zip(firsts, firsts[-1:] + firsts[:-1]):
-        host = F.when((F.col("_k") == k) & (F.col("_h") == h), before).otherwise(host)
-    raise NotImplementedError
+    bucket = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("_k"))) if bounds else F.lit(0)
+    rows = rows.withColumn("bucket", bucket)
+    ends = rows.groupBy("bucket").agg(F.min(F.struct("_k", "_h")).alias("first")).select("bucket", "first.*")
+    ends = sorted(tuple(r) for r in ends.collect())  # one row per range
+    before = [(k, h, b) for (_, k, h), (b, _, _) in zip(ends, ends[-1:] + ends[:-1])]
+    guests = F.broadcast(spark.createDataFrame(before, "_k long, _h long, _before int"))
+    here = rows.join(guests, ["_k", "_h"], "left").select("*", F.explode(F.when(
+        F.col("_before").isNull(), F.array(F.struct("bucket", F.lit(False).alias("guest")))
+    ).otherwise(F.array(
+        F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("_before").alias("bucket"), F.lit(True).alias("guest"))
+    ))).alias("_at"))
+    here = here.select(F.col("_at.bucket").alias("bucket"), F.col("_at.guest").alias("guest"), "_k", "_h", "doc_id", "text")
+    placed = here.repartition("bucket").sortWithinPartitions("bucket", "guest", "_k", "_h")
+    return placed.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+                                       "edited_fingerprint string, near_edited double, near_next double")

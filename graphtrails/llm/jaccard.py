@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphtrails.llm.exchange import Prints, repeated
 from graphtrails.llm.substrings import packed
-from graphtrails.llm.words import bounded_batches, doc_key, find_words, keyed, mix, shingle_sets, slices
+from graphtrails.llm.words import NO_ID, bounded_batches, doc_key, find_words, keyed, mix, shingle_sets, slices
 from graphtrails.operators.hooks import components
 from graphtrails.scratch import Scratch
 
@@ -251,7 +251,10 @@ def linked_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
-    """``(doc_id, _k, _t, n_shingles, component_id)``: the smallest ``doc_id`` that links reach from each document."""
+    """``(doc_id, _k, _t, n_shingles, component_id, first)``: the smallest ``doc_id`` that links reach from each document.
+
+    ``first`` marks the document (or equal rows) that stands for its class.
+    """
     scratch = scratch or Scratch.of(docs.sparkSession)
     sizes = scratch.save(set_sizes(docs, shingle), "sizes")
     seen = repeated(keyed(docs), _lowest(shingle, percent))
@@ -262,18 +265,27 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, scr
     sets = packed(docs).join(one.select("v", "n", "_k", "_t"), ["_k", "_t"]).select("v", "n", "body")
     sets = scratch.save(sets.mapInArrow(_tokens(shingle), "v long, n long, tokens binary, low long, high long"), "sets")
     linked = linked_sets(sets, percent, scratch)
-    # all documents of a class, by set; the smallest id of each
-    by_set = sizes.groupBy("n", "a", "b").agg(F.min("_k").alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    several = by_set.filter("n > 0").join(one.select("n", "a", "b", "v"), ["n", "a", "b"])
-    several = several.join(linked.withColumnRenamed("vid", "v"), "v")
+    # all documents of a class, by set; the first row of each
+    by_set = sizes.groupBy("n", "a", "b").agg(F.min(F.struct("_k", "_t")).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("n > 0")
+    several = by_set.join(one.select("n", "a", "b", "v"), ["n", "a", "b"]).join(linked.withColumnRenamed("vid", "v"), "v")
     smallest = several.groupBy("component").agg(F.min("_first").alias("_least"))
     names = several.join(smallest, "component").select("n", "a", "b", "_least")
     names = scratch.save(names.unionByName(
-        by_set.filter("n > 0 AND _copies > 1").select("n", "a", "b", F.col("_first").alias("_least"))
+        by_set.filter("_copies > 1").select("n", "a", "b", F.col("_first").alias("_least"))
     ).groupBy("n", "a", "b").agg(F.min("_least").alias("_least")), "names")
+    first = F.coalesce("_least", F.struct("_k", "_t"))
     return sizes.join(names, ["n", "a", "b"], "left").select(
         "doc_id", "_k", "_t", F.col("n").alias("n_shingles"),
-        F.coalesce("_least", "doc_id").alias("component_id"))
+        F.nullif(first["_k"], F.lit(NO_ID)).alias("component_id"),
+        ((first["_k"] == F.col("_k")) & (first["_t"] == F.col("_t"))).alias("first"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The first document of every class, by ``doc_id``, with all its columns; of equal rows one."""
+    scratch = Scratch.of(docs.sparkSession)
+    others = scratch.save(classes(docs, shingle, percent, scratch).filter("NOT first").select("_k", "_t").distinct(), "others")
+    rows = docs.withColumn("_k", doc_key()).withColumn("_t", F.hash(F.coalesce("text", F.lit(""))))
+    return rows.join(others, ["_k", "_t"], "left_anti").dropDuplicates(["_k", "_t"]).select(*docs.columns)
 
 
 def _shared_column(n, percent: int):

@@ -98,19 +98,23 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [features(texts) for _, texts in slices(batch.column("text"))]
+        parts = [features(texts) for _, texts in slices(batch.column("_text"))]
         x = np.concatenate(parts) if parts else np.empty((0, len(FEATURES)), np.float32)
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
-        others = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [lists], names=others + ["x"])
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
+        others = [c for c in batch.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in others] + [pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=others + ["x"])
+
+
+def _columns(df: DataFrame, *without: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without)
 
 
 def measured(docs: DataFrame, *carry: str) -> DataFrame:
     """The columns ``carry`` and ``x``, the features of each text."""
     bounded_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema.fields)
-    text = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text")).withColumnRenamed("_text", "text")
-    return text.mapInArrow(_measure, f"{schema}, x array<float>")
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text"))
+    return rows.mapInArrow(_measure, f"{_columns(rows, '_text')}, x array<float>")
 
 
 @dataclass
@@ -235,12 +239,16 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
-def train(rows: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> AdditiveModel:
-    """Fit on the labelled rows of ``rows(doc_id, x)`` outside the held-out fold, ``most`` at most."""
+def training_marks(labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """``(doc_id, y)`` of at most ``most`` labelled documents outside the held-out fold, by the hash of their id."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = rows.select("doc_id", "x").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    return marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def train(rows: DataFrame, marks: DataFrame, most: int = MOST_ROWS) -> AdditiveModel:
+    """Fit on ``rows(doc_id, x)`` that have a mark, ``most`` at most."""
+    got = rows.select("doc_id", "x").join(F.broadcast(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     x = np.stack(got["x"].to_numpy()).astype(np.float32) if len(got) else np.empty((0, len(FEATURES)), np.float32)
     return fit(x, got["y"].to_numpy().astype(float))
@@ -258,14 +266,24 @@ def _scorer(model: AdditiveModel):
 
 def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
     """``rows`` with ``score`` in place of ``x``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "x")
-    return rows.mapInArrow(_scorer(model), f"{schema}, score double")
+    return rows.mapInArrow(_scorer(model), f"{_columns(rows, 'x')}, score double")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns.
+
+    Columns named ``_text``, ``x`` or ``score`` must not be among them.
+    """
+    marks = Scratch.of(docs.sparkSession).save(training_marks(labels, most), "marks")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
+    model = train(measured(known, "doc_id"), marks, most)
+    return scored(measured(docs, *docs.columns), model).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     rows = Scratch.of(docs.sparkSession).save(measured(docs.select(doc_id, "text"), "doc_id"), "features")
-    model = train(rows, labels, most)
+    model = train(rows, training_marks(labels, most), most)
     return scored(rows, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphtrails.llm import decontam, jaccard, lines, quality, substrings
+from graphtrails.llm import decontam, fingerprints, hosts, jaccard, lines, packing, pages, quality, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,13 @@ def queries() -> dict[str, Query]:
             table(spark, folder, "documents"), table(spark, folder, "benchmark")),
         "op3_line_dedup": _documents(lines.line_digests),
         "op4_substring_dedup": _documents(substrings.substring_digests),
+        "op5_fingerprints": _documents(fingerprints.fingerprint_report),
+        "op6_html_extraction": lambda spark, folder: pages.page_texts(table(spark, folder, "pages")),
+        "op7_url_reputation": lambda spark, folder: hosts.url_verdicts(
+            table(spark, folder, "pages"), table(spark, folder, "documents"), table(spark, folder, "labels")),
+        "op8_token_output": _documents(tokens.token_digests),
         "op9_jaccard_join": _documents(jaccard.jaccard_classes),
+        "op10_packing": _documents(packing.packing_report),
     }
 
 
