@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphtrails.llm.words import doc_key
+from graphtrails.llm.words import doc_key, without
 from graphtrails.scratch import Scratch
 
 WINDOW = 13
@@ -162,5 +162,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Da
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     scratch = Scratch.of(docs.sparkSession)
     bad = scratch.save(contamination(docs, items, size, scratch).filter("contaminated").select("_k", "_t").distinct(), "contaminated")
-    rows = docs.withColumn("_k", doc_key()).withColumn("_t", F.hash(F.coalesce("text", F.lit(""))))
-    return rows.join(bad, ["_k", "_t"], "left_anti").select(*docs.columns)
+    return without(docs, bad)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from graphtrails.llm.exchange import Prints, repeated
 from graphtrails.llm.substrings import packed
-from graphtrails.llm.words import NO_ID, bounded_batches, doc_key, find_words, keyed, mix, shingle_sets, slices
+from graphtrails.llm.words import NO_ID, bounded_batches, doc_key, find_words, keyed, mix, shingle_sets, slices, without
 from graphtrails.operators.hooks import components
 from graphtrails.scratch import Scratch
 
@@ -284,8 +284,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """The first document of every class, by ``doc_id``, with all its columns; of equal rows one."""
     scratch = Scratch.of(docs.sparkSession)
     others = scratch.save(classes(docs, shingle, percent, scratch).filter("NOT first").select("_k", "_t").distinct(), "others")
-    rows = docs.withColumn("_k", doc_key()).withColumn("_t", F.hash(F.coalesce("text", F.lit(""))))
-    return rows.join(others, ["_k", "_t"], "left_anti").dropDuplicates(["_k", "_t"]).select(*docs.columns)
+    return without(docs, others, once=True)
 
 
 def _shared_column(n, percent: int):

@@ -270,14 +270,12 @@ def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't reject, with all their columns.
-
-    Columns named ``_text``, ``x`` or ``score`` must not be among them.
-    """
+    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
     marks = Scratch.of(docs.sparkSession).save(training_marks(labels, most), "marks")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
     model = train(measured(known, "doc_id"), marks, most)
-    return scored(measured(docs, *docs.columns), model).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return scored(measured(rows, "row"), model).filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:

@@ -34,6 +34,17 @@ def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
+def without(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose key is not in ``keys(_k, _t)``; of equal keys one if ``once``."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    k, t = f"{mark}k", f"{mark}t"
+    rows = docs.withColumn(k, doc_key()).withColumn(t, F.hash(F.coalesce("text", F.lit(""))))
+    left = rows.join(keys.select(F.col("_k").alias(k), F.col("_t").alias(t)), [k, t], "left_anti")
+    return (left.dropDuplicates([k, t]) if once else left).select(*docs.columns)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
