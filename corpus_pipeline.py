@@ -27,9 +27,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand in many of them."""
-    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    kept = lines.drop_lines(docs, carry=others)
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    kept = lines.drop_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), carry=("row",))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
