@@ -18,24 +18,19 @@ seen from a neighbour; such frames compose.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphtrails.scratch import Scratch
 
 #: ``pa`` is the port that port ``2k`` is linked to, or OPEN; ``ga`` is the doubled distance from the
 #: middle of ``k`` to the middle of that neighbour, or to the end of the chain. Same for ``2k + 1``.
-ELEMENTS = ["k", "pa", "ga", "pb", "gb"]
+#: ``own`` is the length of ``k``.
+ELEMENTS = ["k", "pa", "ga", "pb", "gb", "own"]
 OPEN = -1
-#: Below this many rows, rounds are bound by job overhead, and several go into one job.
-SMALL_ROWS = 4_000_000
-ROUNDS_IN_JOB = 4
-#: The rest that one task may walk: a constant, and at most 1 / FINISH_PART of the input.
-FINISH_ROWS = 100_000
-FINISH_PART = 8
+#: Rounds of one job: each is a shuffle, and its rows are written once per job.
+ROUNDS_IN_JOB = 6
 
 _DONE = "((pa = -1 AND pb = -1) OR (pa <> -1 AND shiftright(pa, 1) = k))"
 _ACTIVE = f"(parent IS NULL AND NOT {_DONE})"
@@ -45,22 +40,22 @@ _ACTIVE = f"(parent IS NULL AND NOT {_DONE})"
 _ROUND = f"""
 SELECT k, coalesce(max(ma), max(pa)) AS pa, coalesce(max(na), max(ga)) AS ga,
        coalesce(max(mb), max(pb)) AS pb, coalesce(max(nb), max(gb)) AS gb,
-       max(parent) AS parent, max(c) AS c, max(r) AS r, max(n) AS n
+       max(own) AS own, max(parent) AS parent, max(c) AS c, max(r) AS r, max(n) AS n
 FROM (
   SELECT inline(filter(array(
-    named_struct('k', k, 'pa', pa, 'ga', ga, 'pb', pb, 'gb', gb,
+    named_struct('k', k, 'pa', pa, 'ga', ga, 'pb', pb, 'gb', gb, 'own', own,
       'parent', IF(gone, shiftright(port, 1), parent),
       'c', IF(gone, IF(port & 1 = 1, gap, -gap), c),
       'r', IF(gone, IF(port & 1 = IF(pa <> -1, 0, 1), 1, 0), r),
       'n', n + 1, 'ma', null, 'na', null, 'mb', null, 'nb', null),
     IF(gone AND pa <> -1,
       named_struct('k', shiftright(pa, 1), 'pa', null, 'ga', null, 'pb', null, 'gb', null,
-        'parent', null, 'c', null, 'r', null, 'n', null,
+        'own', null, 'parent', null, 'c', null, 'r', null, 'n', null,
         'ma', IF(pa & 1 = 0, pb, null), 'na', IF(pa & 1 = 0, ga + gb, null),
         'mb', IF(pa & 1 = 1, pb, null), 'nb', IF(pa & 1 = 1, ga + gb, null)), null),
     IF(gone AND pb <> -1,
       named_struct('k', shiftright(pb, 1), 'pa', null, 'ga', null, 'pb', null, 'gb', null,
-        'parent', null, 'c', null, 'r', null, 'n', null,
+        'own', null, 'parent', null, 'c', null, 'r', null, 'n', null,
         'ma', IF(pb & 1 = 0, pa, null), 'na', IF(pb & 1 = 0, ga + gb, null),
         'mb', IF(pb & 1 = 1, pa, null), 'nb', IF(pb & 1 = 1, ga + gb, null)), null)
     ), x -> x IS NOT NULL))
@@ -80,102 +75,57 @@ SELECT g.k, coalesce(u.parent, g.parent) AS parent,
 FROM {gone} g LEFT JOIN {up} u ON g.parent = u.k"""
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rank the few elements that are left, chain by chain."""
-    rows: dict[int, tuple[int, int, int, int]] = {}
-    for b in batches:
-        rows.update(zip(b["k"].to_pylist(), zip(*(b[c].to_pylist() for c in ("pa", "ga", "pb", "gb")))))
-    out: dict[str, list] = {c: [] for c in ("k", "chain", "c", "r", "closed", "before", "after")}
-    seen: set[int] = set()
-    ends = [k for k, x in rows.items() if x[0] == OPEN or x[2] == OPEN]
-    for first in [*sorted(ends), *sorted(rows)]:
-        if first in seen:
-            continue
-        step = 1 if rows[first][0] == OPEN or rows[first][2] != OPEN else -1
-        k, side, c, r, begin = first, 1 if step > 0 else 0, 0, 0, len(out["k"])
-        while True:
-            seen.add(k)
-            for name, value in zip(out, (k, first, c, r, None, None, None)):
-                out[name].append(value)
-            port, gap = rows[k][2 * side], rows[k][2 * side + 1]
-            c += step * gap
-            if port == OPEN or port >> 1 == first:
-                break
-            k, entry = port >> 1, port & 1
-            r = entry if step > 0 else 1 - entry
-            side = 1 - entry
-        closed = port != OPEN
-        out["closed"][begin] = closed
-        out["before"][begin] = abs(c) if closed or step < 0 else rows[first][1]
-        out["after"][begin] = abs(c) if closed or step > 0 else rows[first][3]
-    yield pa.RecordBatch.from_pydict(out, schema=_WALKED)
-
-
-_WALKED = pa.schema(
-    [("k", pa.int64()), ("chain", pa.int64()), ("c", pa.int64()), ("r", pa.int32()),
-     ("closed", pa.bool_()), ("before", pa.int64()), ("after", pa.int64())]
-)
-_WALKED_DDL = "k long, chain long, c long, r int, closed boolean, before long, after long"
+# The place of a removed element, from that of its parent, and what is known of the chain.
+_PLACE = """
+SELECT g.k, u.chain, u.closed, u.before, u.after, u.own,
+       u.c + IF(u.r = 1, -g.c, g.c) AS c, g.r ^ u.r AS r
+FROM {gone} g JOIN {up} u ON g.parent = u.k"""
 
 
 def rank_chains(elements: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Contract ``ELEMENTS`` rows; return ``(places, chains)``.
 
-    ``places(k, chain, c, r)``: the chain is named by one of its elements; ``c`` is the doubled
-    distance from that element's middle, ``r`` is 1 where ``k`` runs against it.
-    ``chains(chain, closed, before, after)``: doubled distance from its naming element's middle to
-    both ends; the whole length for a ring.
+    ``places(k, chain, closed, before, after, own, c, r)``: the chain is named by one of its elements;
+    ``c`` is the doubled distance from that element's middle, ``r`` is 1 where ``k`` runs against it.
+    ``chains(chain, closed, before, after)``, also in every place: doubled distance from the naming
+    element's middle to both ends, the whole length for a ring; ``own`` is the naming element's length.
     """
     spark = scratch.spark
     state = elements.selectExpr(
         *ELEMENTS, "cast(null as long) AS parent", "cast(null as long) AS c", "cast(null as int) AS r", "0 AS n"
     )
-    batches: list[tuple[DataFrame, int]] = []
-    active, limit = None, 0
-    while active is None or active > limit:
-        steps = 1 if active is None or active > SMALL_ROWS else ROUNDS_IN_JOB
-        text = reduce(lambda inner, _: _ROUND.replace("{state}", inner), range(steps), "SELECT * FROM {state}")
-        saved, seen = scratch.save(
-            spark.sql(text, state=state), "contract",
-            rows=F.count(F.lit(1)), active=F.expr(f"count_if({_ACTIVE})"),
-        )
-        if not batches:
-            limit = min(FINISH_ROWS, seen["rows"] // FINISH_PART)
-        batches.append((saved, steps))
+    batches: list[DataFrame] = []
+    text = reduce(lambda inner, _: _ROUND.replace("{state}", inner), range(ROUNDS_IN_JOB), "SELECT * FROM {state}")
+    active = None
+    while active is None or active > 0:
+        saved, seen = scratch.save(spark.sql(text, state=state), "contract", active=F.expr(f"count_if({_ACTIVE})"))
+        batches.append(saved)
         active = seen["active"]
         state = saved.filter(_ACTIVE)
 
-    done = [b.filter(f"parent IS NULL AND {_DONE}") for b, _ in batches]
-    chains = [
-        d.selectExpr("k AS chain", "pa <> -1 AS closed", "ga AS before", "gb AS after") for d in done
-    ]
-    parts = [d.selectExpr("k", "k AS chain", "cast(0 AS long) AS c", "0 AS r") for d in done]
-    if active:
-        rest = state.select(*ELEMENTS).repartition(1).mapInArrow(_walk, _WALKED_DDL)
-        rest = scratch.save(rest, "walked")
-        parts.append(rest.select("k", "chain", "c", "r"))
-        chains.append(rest.filter("closed IS NOT NULL").select("chain", "closed", "before", "after"))
-    chains = scratch.save(reduce(DataFrame.unionByName, chains), "chains")
-    parts = [scratch.save(reduce(DataFrame.unionByName, parts), "places")]
-    for batch, steps in reversed(batches):
+    done = reduce(DataFrame.unionByName, [b.filter(f"parent IS NULL AND {_DONE}") for b in batches])
+    done = scratch.save(done.selectExpr(
+        "k", "k AS chain", "pa <> -1 AS closed", "ga AS before", "gb AS after", "own", "cast(0 AS long) AS c", "0 AS r"), "chains")
+    parts = [done]
+    for batch in reversed(batches):
         gone = batch.filter("parent IS NOT NULL").select("k", "parent", "c", "r")
+        steps = ROUNDS_IN_JOB
         while steps > 1:  # inside a job a removed element may point to one removed after it
             gone = spark.sql(_THROUGH, gone=gone, up=gone)
             steps = (steps + 1) // 2
-        later = reduce(DataFrame.unionByName, parts).withColumnRenamed("chain", "parent")
-        place = spark.sql(_THROUGH, gone=gone, up=later).withColumnRenamed("parent", "chain")
-        parts.append(scratch.save(place, "places"))
-    scratch.drop(*[b for b, _ in batches])
-    return reduce(DataFrame.unionByName, parts), chains
+        later = reduce(DataFrame.unionByName, parts)
+        parts.append(scratch.save(spark.sql(_PLACE, gone=gone, up=later), "places"))
+    scratch.drop(*batches)
+    return reduce(DataFrame.unionByName, parts), done.select("chain", "closed", "before", "after")
 
 
 def start_of(length: Column | str) -> Column:
-    """Position of an element in its chain, from 0; needs columns of both results of ``rank_chains``
-    and ``own``, the length of the naming element, which is the first one of a ring."""
+    """Position of an element in its chain, from 0, by the columns of ``places``; a ring begins with its naming element."""
     length = F.col(length) if isinstance(length, str) else length
     ring = F.pmod(F.shiftright(F.col("c") - length + F.col("own"), 1), F.shiftright("before", 1))
     return F.when(F.col("closed"), ring).otherwise(F.shiftright(F.col("c") - length + F.col("before"), 1))
 
 
 def chain_length() -> Column:
+    """Length of an element's chain, by the columns of ``places``."""
     return F.expr("IF(closed, shiftright(before, 1), shiftright(before + after, 1))")

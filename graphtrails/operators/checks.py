@@ -61,8 +61,7 @@ def trails_valid(tour: Tour) -> DataFrame:
     an edge of the merged part at that level.
     """
     steps = tour.steps.withColumn("_next", F.col("seq") + F.col("n_edges"))
-    loops = tour.loops.select("level", "loop", "closed", F.col("n_edges").alias("_total"))
-    ahead = steps.join(loops, ["level", "loop"]).withColumn(
+    ahead = steps.withColumnRenamed("total", "_total").withColumn(
         "_next", F.when(F.col("closed"), F.col("_next") % F.col("_total")).otherwise(F.col("_next"))
     )
     following = tour.steps.select("level", "loop", F.col("seq").alias("_next"), F.col("from_vid").alias("_from"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphtrails.functions.graph import first_dart
-from graphtrails.operators.chains import OPEN, chain_length, rank_chains, start_of
+from graphtrails.operators.chains import OPEN, rank_chains, start_of
 from graphtrails.operators.hooks import climb, hook_round, relabel
 from graphtrails.operators.pairing import pair_darts
 from graphtrails.operators.skew import GROUP_ROWS, hot_groups
@@ -32,21 +32,19 @@ def edge_links(g: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) ->
     )
 
 
-def _rank_edges(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _rank_edges(links: DataFrame, scratch: Scratch) -> DataFrame:
     gap = lambda p: F.when(F.col(p) == OPEN, 1).otherwise(2).cast("long")
     return rank_chains(
-        links.select("k", "pa", gap("pa").alias("ga"), "pb", gap("pb").alias("gb")), scratch
-    )
+        links.select("k", "pa", gap("pa").alias("ga"), "pb", gap("pb").alias("gb"), F.lit(1).cast("long").alias("own")), scratch
+    )[0]
 
 
-def _steps(links: DataFrame, places: DataFrame, chains: DataFrame) -> DataFrame:
+def _steps(links: DataFrame, places: DataFrame) -> DataFrame:
     """``(chain, closed, seq, eid, from_vid, to_vid)``."""
     back = F.col("r") == 1
     return (
         links.select("k", "u", "v")
         .join(places, "k")
-        .join(chains, "chain")
-        .withColumn("own", F.lit(1))
         .select(
             "chain", "closed", start_of(F.lit(1)).alias("seq"), F.col("k").alias("eid"),
             F.when(back, F.col("v")).otherwise(F.col("u")).alias("from_vid"),
@@ -59,7 +57,7 @@ def trails(g: DataFrame, scratch: Scratch | None = None, group_rows: int = GROUP
     """Edge-disjoint trails of any graph: closed ones, and one open trail per two odd vertices."""
     scratch = scratch or Scratch.of(g.sparkSession)
     links = edge_links(g, scratch, group_rows)
-    return _steps(links, *_rank_edges(links, scratch)).withColumnRenamed("chain", "trail_id")
+    return _steps(links, _rank_edges(links, scratch)).withColumnRenamed("chain", "trail_id")
 
 
 def closed_trails(g: DataFrame, scratch: Scratch | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -179,7 +177,7 @@ def euler_circuit(
 
 def circuit_of_links(links: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rank the closed trails that ``links(k, u, v, pa, pb)`` give, splice them, and rank again."""
-    places, chains = _rank_edges(links, scratch)
+    places = _rank_edges(links, scratch)
     back = F.col("r") == 1
     dart = first_dart("k")
     passages = links.join(places, "k").select(
@@ -204,9 +202,9 @@ def circuit_of_links(links: DataFrame, scratch: Scratch, group_rows: int = GROUP
             ),
             "spliced",
         )
-        places, chains = _rank_edges(links, scratch)
+        places = _rank_edges(links, scratch)
     return (
-        _steps(links, places, chains)
+        _steps(links, places)
         .withColumnRenamed("chain", "component")
         .drop("closed")
     )

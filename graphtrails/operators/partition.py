@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from graphtrails.operators.chains import OPEN, rank_chains, start_of
+from graphtrails.operators.chains import OPEN, chain_length, rank_chains, start_of
 from graphtrails.operators.circuit import circuit_of_links, require_even
 from graphtrails.operators.hooks import meeting_roots
 from graphtrails.operators.meta import edge_levels, merge_tree, meta_graph, pair_roots, part_roots, tree_height
@@ -75,21 +75,21 @@ class Tour:
     darts: DataFrame  #: (dart, eid, tail, head, part, hpart, level, mate, link)
     classes: DataFrame  #: see level_classes
     loops: DataFrame  #: (level, part, loop, closed, n_edges)
-    steps: DataFrame  #: (level, part, loop, seq, element, is_trail, n_edges, from_vid, to_vid)
+    steps: DataFrame  #: (level, part, loop, seq, element, is_trail, n_edges, closed, total, from_vid, to_vid)
     ends: DataFrame  #: (level, loop, side, vid) of open trails
     scratch: Scratch
 
 
 _LINKED = """
-SELECT e.k, e.port, p.port AS mport, e.len + p.len AS gap
+SELECT e.k, e.port, p.port AS mport, e.len + p.len AS gap, e.len
 FROM {ends} e JOIN {ends} p ON e.mate = p.dart
 WHERE e.link = {level} AND p.link = {level}
 UNION ALL
-SELECT k, port, cast(-1 AS long), len FROM {ends} WHERE link <> {level}"""
+SELECT k, port, cast(-1 AS long), len, len FROM {ends} WHERE link <> {level}"""
 
 _ELEMENTS = """
 SELECT k, max(IF(port % 2 = 0, mport, null)) AS pa, max(IF(port % 2 = 0, gap, null)) AS ga,
-       max(IF(port % 2 = 1, mport, null)) AS pb, max(IF(port % 2 = 1, gap, null)) AS gb
+       max(IF(port % 2 = 1, mport, null)) AS pb, max(IF(port % 2 = 1, gap, null)) AS gb, max(len) AS own
 FROM {linked} GROUP BY k"""
 
 _BODIES = """
@@ -98,10 +98,10 @@ SELECT k, max(len) AS len, max(is_trail) AS is_trail, max(part) AS part,
 FROM {ends} GROUP BY k"""
 
 _OPEN_ENDS = """
-SELECT c.chain AS k, 2 * c.chain + ((e.port % 2) ^ p.r) AS port, e.dart, e.tail, e.part, e.mate, e.link,
-       shiftright(c.before + c.after, 1) AS len, true AS is_trail
-FROM {ends} e JOIN {places} p ON e.k = p.k JOIN {chains} c ON c.chain = p.chain
-WHERE e.link <> {level} AND NOT c.closed"""
+SELECT p.chain AS k, 2 * p.chain + ((e.port % 2) ^ p.r) AS port, e.dart, e.tail, e.part, e.mate, e.link,
+       shiftright(p.before + p.after, 1) AS len, true AS is_trail
+FROM {ends} e JOIN {places} p ON e.k = p.k
+WHERE e.link <> {level} AND NOT p.closed"""
 
 
 def partition_tour(
@@ -141,9 +141,9 @@ def partition_tour(
         places, chains = rank_chains(spark.sql(_ELEMENTS, linked=linked), scratch)
         root = roots.filter(F.col("level") == level).select("part", "root")
         chains = scratch.save(
-            chains.join(bodies.selectExpr("k AS chain", "len AS own", "part"), "chain")
-            .join(root, "part").selectExpr("chain", "closed", "before", "after", "own", "root AS part"),
-            "chains",
+            chains.join(bodies.selectExpr("k AS chain", "part"), "chain")
+            .join(root, "part").selectExpr("chain", "closed", "before", "after", "root AS part"),
+            "loops",
         )
         loops.append(
             chains.selectExpr(
@@ -151,14 +151,15 @@ def partition_tour(
                 "IF(closed, shiftright(before, 1), shiftright(before + after, 1)) AS n_edges",
             )
         )
-        body_steps = bodies.drop("part").join(places, "k").join(chains, "chain").select(
-            F.lit(level).alias("level"), "part", F.col("chain").alias("loop"), start_of("len").alias("seq"),
-            F.col("k").alias("element"), "is_trail", F.col("len").alias("n_edges"),
+        # elements of one loop have the same root; there are few parts, and the planner sees that
+        body_steps = bodies.join(places, "k").join(root, "part").select(
+            F.lit(level).alias("level"), F.col("root").alias("part"), F.col("chain").alias("loop"), start_of("len").alias("seq"),
+            F.col("k").alias("element"), "is_trail", F.col("len").alias("n_edges"), "closed", chain_length().alias("total"),
             F.expr("IF(r = 1, b, a)").alias("from_vid"), F.expr("IF(r = 1, a, b)").alias("to_vid"),
         )
         steps.append(scratch.save(body_steps, "steps"))
         carried = scratch.save(
-            spark.sql(_OPEN_ENDS, ends=ends, places=places, chains=chains, level=level), "open-ends"
+            spark.sql(_OPEN_ENDS, ends=ends, places=places, level=level), "open-ends"
         )
         every_end.append(
             carried.selectExpr(f"{level} AS level", "k AS loop", "port % 2 AS side", "tail AS vid")
