@@ -382,6 +382,44 @@ def _trails_file(spark, folder):
     return checks.edges_covered_once(spark.read.parquet(to), g)
 
 
+def _pairs(steps: DataFrame, *by: str) -> DataFrame:
+    """How often every unordered pair of vertices is walked."""
+    return steps.groupBy(*by, F.least("from_vid", "to_vid").alias("lo"), F.greatest("from_vid", "to_vid").alias("hi")).agg(
+        F.count(F.lit(1)).alias("copies"))
+
+
+def _trail_line_file(spark, folder):
+    to = _folder(spark, "trail-lines")
+    text.write_trail_lines(circuit.closed_trails(_even(spark, folder)), to)
+    fields = F.transform(F.split("value", ","), lambda x: x.cast("long"))
+    rows = spark.read.text(to).select(F.posexplode(F.arrays_zip(
+        F.slice(fields, F.lit(2), F.size(fields) - 2).alias("a"), F.slice(fields, F.lit(3), F.size(fields) - 2).alias("b"))).alias("_i", "_s"))
+    return _pairs(rows.select(F.col("_s.a").alias("from_vid"), F.col("_s.b").alias("to_vid")))
+
+
+def _trail_text_file(spark, folder):
+    tour, to = _tour(spark, folder)[0], _folder(spark, "trails.txt")
+    text.trail_tuple_lines(tour.steps.filter("level = 0"), "loop").select("line").write.text(to)
+    return _pairs(text.read_trail_text(spark, to), "part")
+
+
+def _tour_binary_file(spark, folder):
+    to = _folder(spark, "tour")
+    binary.write_tour_binary(circuit.euler_circuit(_even(spark, folder)), to)
+    visits = Scratch.of(spark).save(binary.read_tour_binary(spark, to), "visits")
+    after = visits.select((F.col("seq") - 1).alias("seq"), F.col("vid").alias("to_vid"))
+    return _pairs(visits.withColumnRenamed("vid", "from_vid").join(after, "seq"))
+
+
+def _job_tour(spark, folder):
+    src, to = _folder(spark, "partitioned"), _folder(spark, "tour")
+    g = _even(spark, folder)
+    binary.write_partitioned_binary(tables.split_local_remote(g, _parts(g)), src, splits=3)
+    jobs.tour_of_file(spark, src, to)
+    steps = spark.read.parquet(f"{to}/steps").filter("NOT is_trail")
+    return steps.groupBy("level").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("element").alias("distinct_edges"))
+
+
 def _job_euler(spark, folder):
     src, to = _folder(spark, "edges.tsv"), _folder(spark, "even")
     _graph(spark, folder).select("u", "v").write.csv(src, sep="\t")
@@ -527,6 +565,10 @@ def core_queries() -> dict[str, Query]:
         "export_for_partitioner": _job_export,
         "import_partitioning": _job_import,
         "circuit_of_file": _job_circuit,
+        "tour_of_file": _job_tour,
+        "trail_lines": _trail_line_file,
+        "read_trail_text": _trail_text_file,
+        "write_tour_binary": _tour_binary_file,
     }
 
 
@@ -597,6 +639,7 @@ def core_sql() -> dict[str, str]:
     g, even = _base(), _base(even=True)
     levels = f"{even},\n{_levels()}"
     nbrs = _LIST.format("head", ",")
+    pairs = "SELECT least(tail, head) AS lo, greatest(tail, head) AS hi, count(*) // 2 AS copies FROM darts GROUP BY 1, 2"
     adj = f"SELECT tail AS vid, CAST(0 AS INTEGER) AS chunk, {nbrs} AS nbrs FROM darts GROUP BY 1"
     by_part = (
         "byp AS (SELECT part, vid, npart, " + _LIST.format("nbr", ",") + " AS l FROM parted GROUP BY 1, 2, 3)"
@@ -734,6 +777,10 @@ def core_sql() -> dict[str, str]:
         "edges_to_euler_graph": f"{g} SELECT {v} AS vertices, 2 * {made} AS edges, 12 * {v} + 16 * {made} AS bytes",
         "export_for_partitioner": f"{even} {vertex_map}",
         "import_partitioning": f"{g}, {pa}",
+        "tour_of_file": f"{levels} SELECT level, count(*) // 2 AS edges, count(DISTINCT eid) AS distinct_edges FROM leveled GROUP BY 1",
+        "trail_lines": f"{even} {pairs}",
+        "write_tour_binary": f"{even} {pairs}",
+        "read_trail_text": f"{even} SELECT part, least(vid, nbr) AS lo, greatest(vid, nbr) AS hi, count(*) // 2 AS copies FROM parted WHERE part = npart GROUP BY 1, 2, 3",
         "circuit_of_file": f"{even} SELECT {m} AS edges, CAST(1 AS BIGINT) AS circuits, CAST(0 AS BIGINT) AS breaks",
     }
 

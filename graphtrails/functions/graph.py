@@ -21,18 +21,6 @@ def first_dart(eid: Column | str) -> Column:
     return F.shiftleft(_col(eid), 1)
 
 
-def edge_of(dart: Column | str) -> Column:
-    return F.shiftright(_col(dart), 1)
-
-
-def side_of(dart: Column | str) -> Column:
-    return _col(dart).bitwiseAND(F.lit(1).cast("long"))
-
-
-def twin(dart: Column | str) -> Column:
-    return _col(dart).bitwiseXOR(F.lit(1).cast("long"))
-
-
 def trail_id(part: Column | str, source: Column | str) -> Column:
     """Packed trail id of a partition and the vertex where the trail starts."""
     return (
@@ -42,14 +30,6 @@ def trail_id(part: Column | str, source: Column | str) -> Column:
     )
 
 
-def trail_id_part(packed: Column | str) -> Column:
-    return F.shiftright(_col(packed), PART_SHIFT).cast("int")
-
-
-def trail_id_source(packed: Column | str) -> Column:
-    return _col(packed).bitwiseAND(F.lit(SOURCE_MASK))
-
-
 def pack_remote(part: Column | str, vid: Column | str) -> Column:
     return F.shiftleft(_col(part).cast("long"), PART_SHIFT).bitwiseOR(
         _col(vid).bitwiseAND(F.lit(VERTEX_MASK))

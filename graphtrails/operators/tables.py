@@ -95,13 +95,6 @@ def renumber_vertices(adj: DataFrame, scratch: Scratch | None = None) -> DataFra
     return dense_rank(adj.select("vid").distinct(), [F.col("vid")], "rel_vid", scratch)
 
 
-def graph_size(adj: DataFrame) -> DataFrame:
-    """Vertices and directed edges of an adjacency table."""
-    return adjacency_degrees(adj).agg(
-        F.count(F.lit(1)).alias("vertices"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges")
-    )
-
-
 def _required(value: Column, vid: Column, what: str) -> Column:
     message = F.concat(F.lit(f"vertex without {what}: "), vid.cast("string"))
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(message).cast("long"))
@@ -155,14 +148,23 @@ def partition_map_gaps(vm: DataFrame, rel_parts: DataFrame) -> DataFrame:
     )
 
 
+def unique_parts(vp: DataFrame) -> DataFrame:
+    """A partition map with one row per vertex; unlike parts of one vertex are an error."""
+    unlike = F.raise_error(F.concat(F.lit("several parts for vertex "), F.col("vid").cast("string"))).cast("int")
+    return vp.groupBy("vid").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).select(
+        "vid", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.when(F.col("_lo").isNotNull(), unlike)).cast("int").alias("part"))
+
+
 def attach_partition(g: DataFrame, vp: DataFrame, vm: DataFrame | None = None) -> DataFrame:
     """Edges with the parts ``pu``, ``pv`` of both ends. An end without part is an error.
 
-    ``vp`` is keyed by vertex id, or by dense id when the vertex map ``vm`` is given. It is unique by
-    vertex, so both lookups keep the number of rows; the planner broadcasts it when it is small.
+    ``vp`` is keyed by vertex id, or by dense id when the vertex map ``vm`` is given. A vertex that it
+    repeats counts once; with unlike parts it is an error. So both lookups keep the number of rows; the
+    planner broadcasts the map when it is small.
     """
     if vm is not None:
         vp = absolute_parts(vp, vm)
+    vp = unique_parts(vp)
     of_u = vp.select(F.col("vid").alias("u"), F.col("part").cast("int").alias("pu"))
     of_v = vp.select(F.col("vid").alias("v"), F.col("part").cast("int").alias("pv"))
     return (

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphtrails.operators.circuit import euler_circuit
 from graphtrails.operators.eulerize import eulerize
+from graphtrails.operators.partition import Tour, partition_tour, trail_table
 from graphtrails.operators.tables import (
     absolute_parts,
     adjacency,
     adjacency_to_edges,
+    group_remote_by_part,
     partition_map_gaps,
+    partitioned_darts,
     remap_adjacency,
     renumber_vertices,
     split_local_remote,
+    unique_parts,
 )
 from graphtrails.scratch import Scratch
 from graphtrails.sources.binary import (
     read_adjacency_binary,
+    read_partitioned_binary,
     read_vertex_map,
     write_adjacency_binary,
     write_partitioned_binary,
@@ -26,9 +31,11 @@ from graphtrails.sources.binary import (
 from graphtrails.sources.text import (
     csr_tables,
     metis_lines,
+    read_adjacency_text,
     read_edge_list,
     read_partition_map_lines,
     read_partition_map_pairs,
+    read_partitioned_text,
     write_lines,
     write_trails,
 )
@@ -36,27 +43,85 @@ from graphtrails.sources.text import (
 MAP_FORMATS = ("lines", "pairs")
 
 
+def _edges_of_pairs(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each undirected edge of directed pairs ``(src, dst)`` once, with ids."""
+    counts = pairs.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("src") < F.col("dst")).alias("_up"))
+    say = lambda what: F.raise_error(F.concat(F.lit(what), F.concat_ws(" - ", F.col("u").cast("string"), F.col("v").cast("string")))).cast("long")
+    copies = F.when((F.col("u") == F.col("v")) & (F.col("n") % 2 == 1), say("self-loop listed an odd number of times: ")).when(
+        (F.col("u") != F.col("v")) & (2 * F.col("_up") != F.col("n")), say("edge not listed from both ends alike: ")
+    ).otherwise(F.expr("n div 2"))
+    edges = counts.select("u", "v", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_c"))
+    return scratch.save(edges.select(F.monotonically_increasing_id().alias("eid"), "u", "v"), "edges")
+
+
 def edges_of_adjacency(adj: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Each undirected edge of a symmetric adjacency table once, with ids.
+    """Each undirected edge of an adjacency table once, with ids.
 
-    A pair adjacent ``n`` times makes ``n`` edges; a self-loop is listed twice.
+    A pair adjacent ``n`` times makes ``n`` edges; a self-loop is listed twice. Lists that don't agree from
+    both ends are an error, and so is a self-loop listed an odd number of times.
     """
-    scratch = scratch or Scratch.of(adj.sparkSession)
-    counts = adjacency_to_edges(adj).filter("src <= dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    copies = F.expr("IF(src = dst, n div 2, n)")
-    edges = counts.select(
-        F.col("src").alias("u"), F.col("dst").alias("v"), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_c")
-    )
-    return scratch.save(edges.select(F.monotonically_increasing_id().alias("eid"), "u", "v"), "edges")
+    return _edges_of_pairs(adjacency_to_edges(adj), scratch or Scratch.of(adj.sparkSession))
+
 
+def graph_of_partitioned(pa: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges and partition map of a partitioned adjacency; remotes must name the part that their vertex is in."""
+    scratch = scratch or Scratch.of(pa.sparkSession)
+    darts = partitioned_darts(pa)
+    edges = _edges_of_pairs(darts.select(F.col("vid").alias("src"), F.col("nbr").alias("dst")), scratch)
+    named = pa.select("vid", "part").unionByName(darts.select(F.col("nbr").alias("vid"), F.col("npart").alias("part")))
+    return edges, scratch.save(unique_parts(named), "parts")
 
-def edges_to_euler_graph(spark: SparkSession, path: str, out: str, sep: str = "\t", **matching) -> DataFrame:
-    """Edge list file to the binary adjacency of an even graph; returns the manifest."""
+
+EDGE_FORMATS = ("edges", "adjacency_text", "adjacency_binary")
+
+
+def edges_to_euler_graph(
+    spark: SparkSession, path: str, out: str, sep: str = "\t", format: str = "edges", **matching
+) -> DataFrame:
+    """Edge list, adjacency text or adjacency binary to the binary adjacency of an even graph; returns the manifest."""
     scratch = Scratch.of(spark)
-    g = scratch.save(read_edge_list(spark, path, sep), "edge-list")
+    if format == "edges":
+        g = read_edge_list(spark, path, sep, scratch)
+    elif format == "adjacency_text":
+        g = edges_of_adjacency(read_adjacency_text(spark, path), scratch)
+    elif format == "adjacency_binary":
+        g = edges_of_adjacency(read_adjacency_binary(spark, path), scratch)
+    else:
+        raise ValueError(f"format must be one of {EDGE_FORMATS}")
     return write_adjacency_binary(adjacency(eulerize(g, scratch=scratch, **matching)), out)
 
 
+PARTITIONED_FORMATS = ("binary", "parts", "plain")
+
+
+def tour_of_file(
+    spark: SparkSession, path: str, out: str, format: str = "binary", map_path: str | None = None
+) -> Tour:
+    """Partitioned adjacency files to the trails of every merge level, as tables below ``out``.
+
+    ``plain`` text has no parts of remotes and needs a partition map of lines ``vid part``. Written are
+    ``trails`` (one row per loop) and ``steps`` in walking order.
+    """
+    scratch = Scratch.of(spark)
+    if format == "binary":
+        pa = read_partitioned_binary(spark, path)
+    elif format in PARTITIONED_FORMATS:
+        pa = read_partitioned_text(spark, path, format)
+    else:
+        raise ValueError(f"format must be one of {PARTITIONED_FORMATS}")
+    if format == "plain":
+        if map_path is None:
+            raise ValueError("remotes without parts need a partition map")
+        pa = group_remote_by_part(pa, unique_parts(read_partition_map_pairs(spark, map_path)))
+    g, parts = graph_of_partitioned(scratch.save(pa, "partitioned"), scratch)
+    tour = partition_tour(g, parts, scratch=scratch)
+    trail_table(tour).write.parquet(f"{out}/trails")
+    order = ["level", "loop", "seq"]
+    tour.steps.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{out}/steps")
+    return tour
+
+
 def export_for_partitioner(
     adj: DataFrame, out: str, metis: bool = True, csr: bool = False, relabelled: bool = False
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -41,8 +41,12 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths and lengths only; the content column is pruned from the scan."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
+    """Paths and lengths of the files that ``path`` names, whatever they are called, but for those that
+    start with ``_`` or ``.``; none is an error. The content column is pruned from the scan."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    if files.isEmpty():
+        raise ValueError(f"no files to read at {path}")
+    return files
 
 
 def _exactly(stream, size: int) -> bytes:
@@ -60,30 +64,36 @@ def _values(stream, count: int, piece: int) -> Iterator[np.ndarray]:
 
 
 def _adjacency_rows(stream, piece: int) -> Iterator[tuple]:
+    last, chunk = None, 0
     while head := stream.read(4):
         degree = int.from_bytes(head, "big") - 1
         vid = int.from_bytes(_exactly(stream, 8), "big", signed=True)
-        pieces = _values(stream, degree, piece) if degree else [np.empty(0, "int64")]
-        for chunk, nbrs in enumerate(pieces):
+        if vid != last:  # records of one vertex in a row are parts of its list
+            last, chunk = vid, 0
+        for nbrs in _values(stream, degree, piece) if degree else [np.empty(0, "int64")]:
             yield vid, chunk, nbrs
+            chunk += 1
 
 
 def _partitioned_rows(stream, piece: int) -> Iterator[tuple]:
-    none = np.empty(0, "int64")
+    none, last, after = np.empty(0, "int64"), None, 0
     while head := stream.read(1):
         part = int.from_bytes(head, "big", signed=True)
         vid = int.from_bytes(_exactly(stream, 8), "big", signed=True)
-        chunk, near = 0, none
+        begin = after if vid == last else 0  # records of one vertex in a row are parts of its lists
+        last, chunk, near = vid, begin, none
         for values in _values(stream, int.from_bytes(_exactly(stream, 4), "big"), piece):
-            if chunk or len(near):
+            if len(near):
                 yield part, vid, chunk, near, none
                 chunk += 1
             near = values
         for far in _values(stream, int.from_bytes(_exactly(stream, 4), "big"), piece):
             yield part, vid, chunk, near, far
             near, chunk = none, chunk + 1
-        if len(near) or not chunk:
+        if len(near) or chunk == begin:
             yield part, vid, chunk, near, none
+            chunk += 1
+        after = chunk
 
 
 def _decode(rows_of, schema: pa.Schema, piece: int):
@@ -147,26 +157,45 @@ def read_partitioned_binary(
     return listed.select("part", "vid", "chunk", "local", remote_map(F.col("remote_ids")).alias("remote"))
 
 
+def _ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Byte ranges of files of fixed records, spread over tasks."""
+    step = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
+    return _files(spark, path).select("path", "length", F.explode(step).alias("at")).repartition("path", "at")
+
+
+def _longs_at(row: dict, record: int) -> np.ndarray:
+    system, name = _open(row["path"])
+    size = min(RANGE_BYTES, row["length"] - row["at"])
+    if size % record:
+        raise ValueError(f"{row['path']} is no whole number of records")
+    with system.open_input_file(name) as f:
+        f.seek(row["at"])
+        return np.frombuffer(f.read(size), ">i8").astype("int64")
+
+
 def read_vertex_map(spark: SparkSession, path: str) -> DataFrame:
     """``vertex_map(vid, rel_vid)`` from pairs of longs, large files by byte range."""
-    ranges = _files(spark, path).select(
-        "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)),
-                                               F.lit(RANGE_BYTES).cast("long"))).alias("at"),
-    )
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                system, name = _open(row["path"])
-                size = min(RANGE_BYTES, row["length"] - row["at"])
-                if size % MAP_RECORD:
-                    raise ValueError(f"{row['path']} is no whole number of records")
-                with system.open_input_file(name) as f:
-                    f.seek(row["at"])
-                    longs = np.frombuffer(f.read(size), ">i8").astype("int64").reshape(-1, 2)
+                longs = _longs_at(row, MAP_RECORD).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(longs[:, 0]), pa.array(longs[:, 1])], ["vid", "rel_vid"])
 
-    return ranges.repartition("path", "at").mapInArrow(decode, "vid long, rel_vid long")
+    return _ranges(spark, path).mapInArrow(decode, "vid long, rel_vid long")
+
+
+def read_tour_binary(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq, vid)`` from longs in the order of visits, over all files in name order."""
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                longs = _longs_at(row, 8)
+                seq = row["base"] + row["at"] // 8 + np.arange(len(longs))
+                yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(longs)], ["seq", "vid"])
+
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    bases = _files(spark, path).select("path", F.coalesce(F.sum("length").over(before) / 8, F.lit(0)).cast("long").alias("base"))
+    return _ranges(spark, path).join(bases, "path").mapInArrow(decode, "seq long, vid long")
 
 
 def _put(buffer: np.ndarray, at: np.ndarray, values: np.ndarray, kind: str) -> None:
@@ -216,7 +245,13 @@ def _encode_map(batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
     return pairs.reshape(-1).view(np.uint8), 0
 
 
-_ENCODERS = {"adjacency": _encode_adjacency, "partitioned": _encode_partitioned, "vertex_map": _encode_map}
+def _encode_tour(batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
+    return np.asarray(batch["vid"]).astype(">i8").view(np.uint8), 0
+
+
+_ENCODERS = {
+    "adjacency": _encode_adjacency, "partitioned": _encode_partitioned, "vertex_map": _encode_map, "tour": _encode_tour,
+}
 
 
 @dataclass
@@ -300,8 +335,17 @@ class BinaryGraphSink(DataSource):
         return _Writer(self.options["path"], self.options["layout"])
 
 
+def _must_be_new(spark: SparkSession, path: str) -> None:
+    """A sink never mixes its files with others: the folder must be missing or empty."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target) and len(system.listStatus(target)):
+        raise ValueError(f"{path} is not empty")
+
+
 def _write(df: DataFrame, path: str, layout: str) -> DataFrame:
     spark = df.sparkSession
+    _must_be_new(spark, path)
     spark.dataSource.register(BinaryGraphSink)
     df.write.format("graphtrails_binary").option("layout", layout).mode("append").save(path)
     return spark.read.schema("file string, vertices long, edges long, bytes long").csv(
@@ -310,8 +354,13 @@ def _write(df: DataFrame, path: str, layout: str) -> DataFrame:
 
 
 def write_adjacency_binary(adj: DataFrame, path: str) -> DataFrame:
-    """Write one file per task; return the manifest ``(file, vertices, edges, bytes)``."""
-    return _write(adj.select("vid", "nbrs"), path, "adjacency")
+    """Write one file per task into a new folder; return the manifest ``(file, vertices, edges, bytes)``.
+
+    The format has no chunks: the rows of one vertex are records next to each other, which the reader
+    numbers again.
+    """
+    placed = adj.repartition("vid").sortWithinPartitions("vid", "chunk")
+    return _write(placed.select("vid", "nbrs"), path, "adjacency")
 
 
 def write_partitioned_binary(
@@ -333,10 +382,10 @@ def write_partitioned_binary(
     rows = pa_table.select(
         F.pmod("part", F.lit(splits)).alias("_split"), part.alias("part"), "vid", "chunk", "local", packed.alias("packed")
     ).withColumnRenamed("chunk", "_chunk")
-    salted = with_salt(rows, ["_split"], F.struct("vid", "_chunk"), split_rows, "_n")
+    salted = with_salt(rows, ["_split"], F.col("vid"), split_rows, "_n")
     keyed = salted.withColumn("file_key", F.format_string("split-%05d-%05d", "_split", "_n"))
     return _write(
-        keyed.repartition("_split", "_n").sortWithinPartitions("file_key")
+        keyed.repartition("_split", "_n").sortWithinPartitions("file_key", "vid", "_chunk")
         .select("file_key", "part", "vid", "local", "packed"),
         path, "partitioned",
     )
@@ -344,3 +393,17 @@ def write_partitioned_binary(
 
 def write_vertex_map(vm: DataFrame, path: str) -> DataFrame:
     return _write(vm.select("vid", "rel_vid"), path, "vertex_map")
+
+
+def write_tour_binary(steps: DataFrame, path: str, trail: str = "component") -> DataFrame:
+    """Vertices of closed walks in the order of visits, each walk with its last vertex; restarts are not marked.
+
+    File names sort like the walks. Returns the manifest.
+    """
+    last = steps.groupBy(trail).agg(F.max("seq").alias("seq")).withColumn("_last", F.lit(True))
+    visits = steps.join(last, [trail, "seq"], "left").select(
+        trail, "seq", F.inline(F.when(F.col("_last"), F.array(
+            F.struct(F.lit(0).alias("_i"), F.col("from_vid").alias("vid")), F.struct(F.lit(1).alias("_i"), F.col("to_vid").alias("vid"))
+        )).otherwise(F.array(F.struct(F.lit(0).alias("_i"), F.col("from_vid").alias("vid"))))))
+    order = [trail, "seq", "_i"]
+    return _write(visits.repartitionByRange(*order).sortWithinPartitions(*order).select("vid"), path, "tour")

@@ -15,16 +15,20 @@ from graphtrails.operators.tables import adjacency_degrees, degree_histogram
 from graphtrails.scratch import Scratch
 
 DIALECTS = ("parts", "plain")
+_TUPLE = r"^\s*\(\s*(-?\d+)\s*,\s*\[([-\d,\s]*)\]\s*\)\s*$"
 
 
-def read_edge_list(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """``edges(eid, u, v)`` from lines ``u <sep> v``; any other line is an error.
+def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", scratch: Scratch | None = None) -> DataFrame:
+    """``edges(eid, u, v)`` from lines ``u <sep> v``; any other line, also one without a vertex, is an error.
 
-    ``eid`` follows from the place of the line in its file split. Jobs that use the table more than
-    once write it first.
+    ``eid`` follows from the place of the line in its file split. The table is written here, so that
+    ids are the same in every later scan.
     """
+    scratch = scratch or Scratch.of(spark)
     pairs = spark.read.schema("u long, v long").csv(path, sep=sep, mode="FAILFAST")
-    return pairs.select(F.monotonically_increasing_id().alias("eid"), "u", "v")
+    lacks = F.raise_error(F.lit("malformed line: an edge without a vertex")).cast("long")
+    both = lambda c: F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.col(c)).otherwise(lacks).alias(c)
+    return scratch.save(pairs.select(F.monotonically_increasing_id().alias("eid"), both("u"), both("v")), "edge-list")
 
 
 def _longs(text: Column, sep: str) -> Column:
@@ -42,17 +46,22 @@ def read_adjacency_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def remote_map(remotes: Column) -> Column:
-    """List of structs ``(vid, part)`` to a map from part to sorted vertices, inside the row."""
-    parts = F.array_sort(F.array_distinct(F.transform(remotes, lambda x: x["part"])))
-    return F.map_from_arrays(
-        parts,
-        F.transform(
-            parts,
-            lambda p: F.array_sort(
-                F.transform(F.filter(remotes, lambda x: x["part"] == p), lambda x: x["vid"])
-            ),
-        ),
-    )
+    """List of structs ``(vid, part)`` to a map from part to sorted vertices, inside the row.
+
+    The list is sorted once and cut where the part changes.
+    """
+    ranked = F.array_sort(F.transform(remotes, lambda x: F.struct(x["part"].alias("part"), x["vid"].alias("vid"))))
+
+    def cut(rows: Column) -> Column:
+        places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(rows, i)["part"] != F.get(rows, i - 1)["part"]))
+        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(rows))
+        return F.map_from_arrays(
+            F.transform(first, lambda i: F.get(rows, i)["part"]),
+            F.transform(first, lambda i, j: F.transform(F.slice(rows, i + 1, end(first, j) - i), lambda x: x["vid"])),
+        )
+
+    return cut(ranked)
 
 
 def read_partitioned_text(spark: SparkSession, path: str, dialect: str = "parts") -> DataFrame:
@@ -134,13 +143,13 @@ def adjacency_csv_lines(adj: DataFrame, src_sep: str = ",", sink_sep: str = ",")
 
 
 def adjacency_blogel_lines(adj: DataFrame, src_sep: str = "\t", sink_sep: str = " ") -> DataFrame:
-    """``v <src_sep> degree <sink_sep> n1 ...``, the degree being that of the row."""
+    """``v <src_sep> degree <sink_sep> n1 ...``; on every line of a vertex the degree is that of the whole vertex."""
     sinks = F.transform("nbrs", lambda x: x.cast("string"))
-    count = F.size("nbrs").cast("string")
+    degree = F.sum(F.size("nbrs").cast("long")).over(Window.partitionBy("vid")).cast("string")
     return adj.select(
         "vid", "chunk",
         F.concat(
-            F.col("vid").cast("string"), F.lit(src_sep), F.array_join(F.concat(F.array(count), sinks), sink_sep)
+            F.col("vid").cast("string"), F.lit(src_sep), F.array_join(F.concat(F.array(degree), sinks), sink_sep)
         ).alias("line"),
     )
 
@@ -170,7 +179,7 @@ def boundary_lines(tour: Tour, trails: DataFrame | None = None) -> DataFrame:
     return lists.select("level", "part", "vid", "chunk", F.concat(head, other, _remote_text(F.col("remote"))).alias("line"))
 
 
-def metis_lines(adj_rel: DataFrame, list_rows: int | None = None) -> DataFrame:
+def metis_lines(adj_rel: DataFrame) -> DataFrame:
     """``(rel_vid, line)``: row 0 holds vertices and edges, row ``k`` the neighbours of vertex ``k``.
 
     The format has one line per vertex, so a vertex whose list is split over rows is an error: export
@@ -241,3 +250,33 @@ def trail_lines(steps: DataFrame, trail: str = "trail_id", line_steps: int = 1_0
     )
     vertices = F.concat(F.transform("_s", lambda s: s["from_vid"]), F.array(F.element_at("_s", -1)["to_vid"]))
     return rows.select(trail, "piece", F.concat_ws(",", F.col(trail).cast("string"), join_longs(vertices)).alias("line"))
+
+
+def write_trail_lines(steps: DataFrame, path: str, trail: str = "trail_id") -> None:
+    """The lines of ``trail_lines``, in the order of trails and pieces."""
+    write_lines(trail_lines(steps, trail), path, [trail, "piece"])
+
+
+def trail_tuple_lines(steps: DataFrame, trail: str = "trail_id") -> DataFrame:
+    """``(part,[v0, v1, ...])``, one trail per line, as the format has it; very long trails belong into tables."""
+    rows = steps.groupBy("part", trail).agg(F.array_sort(F.collect_list(F.struct("seq", "from_vid", "to_vid"))).alias("_s"))
+    vertices = F.concat(F.transform("_s", lambda s: s["from_vid"]), F.array(F.element_at("_s", -1)["to_vid"]))
+    return rows.select("part", trail, F.concat(
+        F.lit("("), F.col("part").cast("string"), F.lit(",["), join_longs(vertices, ", "), F.lit("])")).alias("line"))
+
+
+def read_trail_text(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
+    """``(part, trail_id, seq, from_vid, to_vid)`` from lines ``(part,[v0, v1, ...])``; any other line is an error.
+
+    Trails are numbered by their line, in a table that is written here.
+    """
+    scratch = scratch or Scratch.of(spark)
+    part, body = (F.regexp_extract("value", _TUPLE, i) for i in (1, 2))
+    wrong = F.raise_error(F.concat(F.lit("malformed trail: "), F.col("value"))).cast("int")
+    lines = spark.read.text(path).filter("trim(value) <> ''").select(
+        F.when(part != "", part.cast("int")).otherwise(wrong).alias("part"),
+        F.monotonically_increasing_id().alias("trail_id"), _longs(body, ",").alias("_v"))
+    lines = scratch.save(lines, "trail-lines")
+    steps = F.arrays_zip(F.slice("_v", F.lit(1), F.greatest(F.size("_v") - 1, F.lit(0))).alias("a"), F.slice("_v", 2, F.size("_v")).alias("b"))
+    return lines.select("part", "trail_id", F.posexplode(steps).alias("_i", "_s")).select(
+        "part", "trail_id", F.col("_i").cast("long").alias("seq"), F.col("_s.a").alias("from_vid"), F.col("_s.b").alias("to_vid"))

@@ -3,6 +3,7 @@ import struct
 import pytest
 
 from graphtrails.operators import checks, tables
+from graphtrails.plans import jobs
 from graphtrails.sources import binary, text
 
 
@@ -48,8 +49,8 @@ def test_adjacency_bytes(spark, tmp_path):
     assert sorted((r.vid, r.chunk, r.nbrs) for r in split.collect()) == [(4, 0, []), (7, 0, [8]), (7, 1, [9])]
     out = str(tmp_path / "out")
     manifest = binary.write_adjacency_binary(adj.coalesce(1), out).collect()
-    assert [tuple(r)[1:] for r in manifest] == [(2, 2, len(data))]
-    assert (tmp_path / "out" / manifest[0].file).read_bytes() == data
+    assert [sum(c) for c in zip(*(tuple(r)[1:] for r in manifest))] == [2, 2, len(data)]
+    assert sorted(tuple(r) for r in binary.read_adjacency_binary(spark, out).collect()) == sorted(tuple(r) for r in adj.collect())
     with pytest.raises(Exception, match="ends inside a record"):
         binary.read_adjacency_binary(spark, _write(tmp_path / "cut", data[:-3])).collect()
 
@@ -81,6 +82,80 @@ def test_long_lists_go_over_rows(graph):
         text.metis_lines(adj).collect()
 
 
+def test_binary_names_and_targets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "graph.dat").write_bytes(struct.pack(">iqq", 2, 7, 8))
+    for path in (tmp_path / "in", tmp_path / "in" / "graph.dat"):
+        assert [r.vid for r in binary.read_adjacency_binary(spark, str(path)).collect()] == [7]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="no files to read"):
+        binary.read_adjacency_binary(spark, str(tmp_path / "none"))
+    adj = binary.read_adjacency_binary(spark, str(tmp_path / "in"))
+    with pytest.raises(Exception, match="is not empty"):
+        binary.write_adjacency_binary(adj, str(tmp_path / "in"))
+
+
+def test_chunks_survive_files(spark, graph, tmp_path):
+    g = graph([(0, i) for i in range(1, 30)] + [(0, 0), (3, 4)])
+    adj, whole = tables.adjacency(g, list_rows=5), tables.adjacency(g)
+    binary.write_adjacency_binary(adj, str(tmp_path / "adj"))
+    back = binary.read_adjacency_binary(spark, str(tmp_path / "adj"))
+    assert back.count() == adj.count() == back.select("vid", "chunk").distinct().count()
+    offsets, targets = text.csr_tables(tables.remap_adjacency(back, tables.renumber_vertices(back), list_rows=5))
+    assert sorted(r.pos for r in targets.filter("rel_vid = 1").collect()) == list(range(31))
+    assert checks.adjacency_integrity(back, whole).first().left_only == 0
+    degrees = {r.line.split("\t")[1].split(" ")[0] for r in text.adjacency_blogel_lines(back).filter("vid = 0").collect()}
+    assert degrees == {"31"}
+    vp = g.selectExpr("inline(array(struct(u AS vid), struct(v AS vid)))").distinct().selectExpr("vid", "cast(vid % 3 AS int) AS part")
+    pa = tables.split_local_remote(g, vp, list_rows=5)
+    binary.write_partitioned_binary(pa, str(tmp_path / "pa"), splits=2)
+    again = binary.read_partitioned_binary(spark, str(tmp_path / "pa"))
+    assert again.count() == pa.count() == again.select("vid", "chunk").distinct().count()
+    rows = lambda t: sorted(map(tuple, tables.partitioned_darts(t).collect()))
+    assert rows(again) == rows(pa)
+
+
+def test_faulty_adjacency(spark):
+    adj = lambda rows: spark.createDataFrame([(v, 0, n) for v, n in rows], tables.ADJACENCY)
+    edges = lambda rows: sorted((r.u, r.v) for r in jobs.edges_of_adjacency(adj(rows)).collect())
+    assert edges([(1, [2, 2, 1, 1]), (2, [1, 1])]) == [(1, 1), (1, 2), (1, 2)]
+    with pytest.raises(Exception, match="both ends alike: 3 - 5"):
+        edges([(5, [3]), (3, [])])
+    with pytest.raises(Exception, match="odd number of times: 4 - 4"):
+        edges([(4, [4])])
+
+
+def test_repeated_map_keys(spark, graph):
+    g = graph([(0, 1)])
+    vp = lambda rows: spark.createDataFrame(rows, "vid long, part int")
+    assert tables.attach_partition(g, vp([(0, 0), (1, 2), (1, 2)])).count() == 1
+    with pytest.raises(Exception, match="several parts for vertex 1"):
+        tables.attach_partition(g, vp([(0, 0), (1, 2), (1, 3)])).collect()
+
+
+def test_edge_without_a_vertex(spark, tmp_path):
+    (tmp_path / "e.tsv").write_text("1\t2\n3\t\n")
+    with pytest.raises(Exception, match="edge without a vertex"):
+        text.read_edge_list(spark, str(tmp_path / "e.tsv"))
+
+
+def test_graph_of_partitioned(spark, graph):
+    g = graph([(0, 1), (1, 2), (2, 0), (2, 2), (0, 1)])
+    vp = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "vid long, part int")
+    edges, parts = jobs.graph_of_partitioned(tables.split_local_remote(g, vp))
+    pairs = lambda t: sorted((min(r.u, r.v), max(r.u, r.v)) for r in t.collect())
+    assert pairs(edges) == pairs(g) and sorted(map(tuple, parts.collect())) == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_trail_text(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("(3,[5, 6, 5])\n (4, [7,8]) \n")
+    rows = sorted((r.part, r.seq, r.from_vid, r.to_vid) for r in text.read_trail_text(spark, str(tmp_path / "t.txt")).collect())
+    assert rows == [(3, 0, 5, 6), (3, 1, 6, 5), (4, 0, 7, 8)]
+    (tmp_path / "u.txt").write_text("3: 5 6\n")
+    with pytest.raises(Exception, match="malformed trail"):
+        text.read_trail_text(spark, str(tmp_path / "u.txt"))
+
+
 def test_missing_part_is_an_error(spark, graph):
     g = graph([(0, 1)])
     vp = spark.createDataFrame([(0, 0)], "vid long, part int")
