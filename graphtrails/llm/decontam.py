@@ -11,7 +11,7 @@ term, that is, a word of some benchmark item. Exact phrases are found from the r
 
 ``near_matches`` gives proximity matches: documents in which all terms of an item stand within a span.
 
-Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z became lower case. Null and empty texts have no
+Terms are 64-bit hashes of words. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z became lower case. Null and empty texts have no
 words. An item with fewer words than a window, but with one, is one window; items without words never
 occur. Items and documents that repeat an id with another text are told apart by the text; a repeated item
 counts once. Further columns are ignored.
@@ -25,17 +25,19 @@ from graphtrails.llm.words import doc_key, without
 from graphtrails.scratch import Scratch
 
 WINDOW = 13
+_SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """Words of a text; splitting leaves an empty one at either end, which goes. Case is changed later."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return F.filter(parts, lambda w: w != "")
+    """Words of a text, in their own case. Separators at the ends go first, as splitting would leave empty words there."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SEPARATORS))
+    return F.when(bare == "", F.lit(None)).otherwise(F.split(bare, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
 def lower(word: Column) -> Column:
-    return F.translate(word, _UPPER, _LOWER)
+    """A-Z in lower case. What is ASCII takes the short way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -47,14 +49,10 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, _k, _t, pos)`` of all words of the documents that are among ``terms(term, word)``.
-
-    The words are compared as they stand, in any case, so that only those found are changed.
-    """
+    """``(term, _k, _t, pos)`` of all words of the documents whose hash is among ``terms(term)``."""
     text = F.coalesce("text", F.lit(""))
     every = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), F.posexplode(words(text)).alias("pos", "_w"))
-    every = every.withColumn("word", F.when(F.col("_w").rlike("[A-Z]"), lower(F.col("_w"))).otherwise(F.col("_w")))
-    return every.join(terms, "word").select("term", "_k", "_t", "pos")
+    return every.select(F.xxhash64(lower(F.col("_w"))).alias("term"), "_k", "_t", "pos").join(terms, "term")
 
 
 class Index:
@@ -63,10 +61,9 @@ class Index:
     def __init__(self, docs: DataFrame, items: DataFrame, scratch: Scratch | None = None):
         self.scratch = scratch or Scratch.of(docs.sparkSession)
         named = item_terms(items)
-        terms = named.select("word").distinct().select(F.xxhash64("word").alias("term"), "word")
-        self.terms = self.scratch.save(terms, "terms")
         self.items = self.scratch.save(
             named.select("item", "item_id", "n", "q", F.xxhash64("word").alias("term")), "items")
+        self.terms = self.scratch.save(self.items.select("term").distinct(), "terms")
         self.postings = self.scratch.save(postings(docs, self.terms), "postings")
         self.counts = self.scratch.save(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
 
@@ -146,7 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, scratch
     text = F.coalesce("text", F.lit(""))
     counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("_k"), F.hash(text).alias("_t"),
-        F.size(words(text)).cast("long").alias("n_words"))
+        F.coalesce(F.size(words(text)), F.lit(0)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(hit.join(found, keys), keys, "left").select(
         "doc_id", *keys, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
