@@ -322,6 +322,7 @@ def test_classes_over_group_bounds(spark, monkeypatch):
             base = [f"w{i}_{j}" if j % 3 else x for j, x in enumerate(base)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "ASKED_GROUP", 4)
     assert rows_of(jaccard.jaccard_classes(docs, 2, 80)) == plain_classes(texts, 2, 80)
 
 
