@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -163,9 +164,31 @@ def _match_report(spark, folder):
     )
 
 
+def _faulty_parts(spark, folder):
+    """Partitioned adjacency in which some neighbour entries are missing on one side."""
+    g = _graph(spark, folder)
+    darts = tables.bidirect(tables.attach_partition(g, _parts(g))).filter("dart % 7 <> 3")
+    return tables.collect_parts(darts, F.col("dart"))
+
+
+def _own_part_remote(spark, folder):
+    pa = _pa(spark, folder)
+    wrong = F.map_concat("remote", F.map_from_arrays(F.array("part"), F.array(F.array("vid"))))
+    return checks.self_part_not_remote(pa.withColumn("remote", F.when(F.col("vid") % 5 == 2, wrong).otherwise(F.col("remote"))))
+
+
+def _meta_faults(spark, folder):
+    return meta.meta_symmetry(_meta(spark, folder).withColumn("weight", F.expr("weight + IF(src < dst AND (src + dst) % 3 = 0, 1, 0)")))
+
+
+def _boundary_faults(spark, folder):
+    tour = _tour(spark, folder)[0]
+    return checks.boundary_contained(replace(tour, classes=tour.classes.filter("vid % 6 <> 1")))
+
+
 def _unmatched(spark, folder):
     g = _graph(spark, folder)
-    return _count(eul.unmatched(g, eul.match_odd_vertices(g)), "unmatched")
+    return _count(eul.unmatched(g, eul.match_odd_vertices(g).filter("vid % 4 <> 1")), "unmatched")
 
 
 # --- merge tree ----------------------------------------------------------------------------------
@@ -211,6 +234,19 @@ def _local_in(spark, folder):
     return total.select((F.col("_a") + F.col("_b")).alias("local_edges"))
 
 
+def _eb_steps(spark, folder):
+    """Even boundary vertices of every level that own a walk or stand alone, and steps that don't follow each other."""
+    tour, trails = _tour(spark, folder)
+    steps = tour.scratch.save(part.spliced_steps(tour, trails), "spliced")
+    after = steps.select("level", "trail_id", F.col("seq").alias("_at"), F.col("from_vid").alias("_from"))
+    ahead = steps.withColumn("_at", F.expr("(seq + n_edges) % total")).join(after, ["level", "trail_id", "_at"], "left")
+    ends = steps.filter("seq = 0").select("level", F.col("from_vid").alias("vid"))
+    lone = trails.filter("kind = 'EB' AND loop IS NULL").select("level", F.col("source").alias("vid"))
+    owners = ends.unionByName(lone).groupBy("level").agg(F.count_distinct("vid").alias("owners"))
+    breaks = ahead.groupBy("level").agg(F.count_if(~F.col("to_vid").eqNullSafe(F.col("_from"))).alias("breaks"))
+    return owners.join(breaks, "level", "left").select("level", "owners", F.coalesce("breaks", F.lit(0)).alias("breaks"))
+
+
 def _attach(spark, folder):
     tour, trails = _tour(spark, folder)
     attached = part.attach_internal_cycles(tour, trails)
@@ -512,7 +548,7 @@ def core_queries() -> dict[str, Query]:
         # partition graph
         "meta_edge_map": on(pa, meta.meta_edge_map),
         "meta_graph": _meta,
-        "meta_symmetry": on(_meta, lambda m: _count(meta.meta_symmetry(m))),
+        "meta_symmetry": _meta_faults,
         "max_weight_matching": on(_meta, meta.max_weight_matching),
         "coarsen_meta": _coarsen,
         "merge_tree": on(_meta, meta.merge_tree),
@@ -525,6 +561,7 @@ def core_queries() -> dict[str, Query]:
         "local_trails_ob": partial(_trails_of, "OB"),
         "local_trails_eb": partial(_trails_of, "EB"),
         "local_trails_in": _local_in,
+        "eb_trail_steps": _eb_steps,
         "attach_internal_cycles": _attach,
         "pivot_vertices": _pivots,
         "trail_id": parted(
@@ -555,10 +592,10 @@ def core_queries() -> dict[str, Query]:
         "adjacency_integrity": lambda spark, folder: checks.adjacency_integrity(
             tables.flatten_partitioned(_pa(spark, folder)), _adj(spark, folder)
         ),
-        "remote_edges_symmetric": on(pa, lambda x: _count(checks.remote_edges_symmetric(x))),
-        "local_edges_symmetric": on(pa, lambda x: _count(checks.local_edges_symmetric(x))),
-        "self_part_not_remote": on(pa, lambda x: _count(checks.self_part_not_remote(x))),
-        "boundary_contained": tour(lambda t: _count(checks.boundary_contained(t))),
+        "remote_edges_symmetric": on(_faulty_parts, checks.remote_edges_symmetric),
+        "local_edges_symmetric": on(_faulty_parts, checks.local_edges_symmetric),
+        "self_part_not_remote": _own_part_remote,
+        "boundary_contained": _boundary_faults,
         "trail_invariants": lambda spark, folder: checks.trail_invariants(*_tour(spark, folder)),
         # jobs
         "edges_to_euler_graph": _job_euler,
@@ -659,7 +696,19 @@ def core_sql() -> dict[str, str]:
         "n_local, n_remote FROM cls)"
     )
     odd = "(SELECT count(*) FROM deg WHERE degree % 2 = 1)"
-    zero = "SELECT CAST(0 AS BIGINT) AS violations"
+    # neighbour entries of which some are missing on one side, and those without their like
+    faulty = (
+        f"faulty AS (SELECT CAST(tail % {PARTS} AS INTEGER) AS part, tail AS vid, CAST(head % {PARTS} AS INTEGER) AS npart, head AS nbr, count(*) AS n "
+        "FROM (SELECT 2 * eid AS dart, u AS tail, v AS head FROM edges UNION ALL SELECT 2 * eid + 1, v, u FROM edges) WHERE dart % 7 <> 3 GROUP BY 1, 2, 3, 4)"
+    )
+    one_way = lambda which: (
+        f"{g}, {faulty} SELECT a.part, a.vid, a.npart, a.nbr FROM faulty a LEFT JOIN faulty b ON b.part = a.npart AND b.vid = a.nbr "
+        f"AND b.npart = a.part AND b.nbr = a.vid WHERE {which} AND a.n IS DISTINCT FROM b.n"
+    )
+    weights = (
+        f"w AS (SELECT CAST(tail % {PARTS} AS INTEGER) AS src, CAST(head % {PARTS} AS INTEGER) AS dst, count(*) AS n FROM darts WHERE tail % {PARTS} <> head % {PARTS} GROUP BY 1, 2), "
+        "f AS (SELECT src, dst, n + CASE WHEN src < dst AND (src + dst) % 3 = 0 THEN 1 ELSE 0 END AS weight FROM w)"
+    )
     made = "((SELECT count(*) FROM edges) + {0} // 2)".format(odd)
 
     def circuit_row(graph: str) -> str:
@@ -718,13 +767,13 @@ def core_sql() -> dict[str, str]:
         "match_odd_vertices": f"{g} SELECT {odd} AS odd_vertices, {odd} AS matched, {odd} AS distinct_sinks, {odd} AS symmetric, CAST(0 AS BIGINT) AS to_itself, CAST(0 AS BIGINT) AS adjacent_before",
         "eulerize": f"{g} SELECT {made} AS edges, {made} AS edge_ids, CAST(0 AS BIGINT) AS odd_vertices",
         "match_report": f"{g} SELECT degree, count(*) AS vertices, count(*) AS matched, CAST(0 AS BIGINT) AS unmatched FROM deg WHERE degree % 2 = 1 GROUP BY 1",
-        "unmatched": f"{g} SELECT CAST(0 AS BIGINT) AS unmatched",
+        "unmatched": f"{g} SELECT count(*) AS unmatched FROM deg WHERE degree % 2 = 1 AND vid % 4 = 1",
         "euler_preconditions": f"{g}, hops AS (SELECT DISTINCT tail, head FROM darts), "
         "reach AS (SELECT min(vid) AS vid FROM deg UNION SELECT head FROM reach JOIN hops ON tail = vid) "
         f"SELECT {v} AS vertices, {odd} AS odd_vertices, CASE WHEN (SELECT count(*) FROM reach) = {v} THEN CAST(1 AS BIGINT) END AS components",
         "meta_edge_map": f"{g} SELECT part AS src, npart AS dst, count(*) AS weight FROM parted WHERE part <> npart GROUP BY 1, 2",
         "meta_graph": f"{levels} {meta_rows.format('r0', 'm1')}",
-        "meta_symmetry": zero,
+        "meta_symmetry": f"{even}, {weights} SELECT a.src, a.dst, a.weight, b.weight AS reverse FROM f a JOIN f b ON b.src = a.dst AND b.dst = a.src WHERE a.weight <> b.weight",
         "max_weight_matching": f"{levels} SELECT part_a, part_b FROM p1",
         "coarsen_meta": f"{levels}, top AS (SELECT DISTINCT root FROM r1) {meta_rows.format('top', 'm2')}",
         "merge_tree": f"{levels} SELECT * FROM tree",
@@ -736,6 +785,7 @@ def core_sql() -> dict[str, str]:
         "local_trails_ob": f"{levels} SELECT part, count(*) // 2 AS trails FROM classes WHERE level = 0 AND vtype = 'OB' GROUP BY 1",
         "local_trails_eb": f"{levels} SELECT part, count(*) AS trails FROM classes WHERE level = 0 AND vtype = 'EB' GROUP BY 1",
         "local_trails_in": f"{even} SELECT count(*) AS local_edges FROM edges WHERE u % {PARTS} = v % {PARTS}",
+        "eb_trail_steps": f"{levels} SELECT level, count(*) AS owners, CAST(0 AS BIGINT) AS breaks FROM classes WHERE vtype = 'EB' GROUP BY 1",
         "attach_internal_cycles": "SELECT CAST(0 AS BIGINT) AS left_alone, CAST(0 AS BIGINT) AS unknown_host",
         "pivot_vertices": f"{levels} SELECT level, part, vid, vtype FROM classes WHERE vtype <> 'IN'",
         "trail_id": f"{g}, {classes} SELECT part, vid, (CAST(part AS BIGINT) << 56) | (CAST(1 AS BIGINT) << 55) | vid AS trail_id FROM typed",
@@ -766,10 +816,11 @@ def core_sql() -> dict[str, str]:
         "edges_covered_once": f"{g} {covered(made)}",
         "trails_valid": f"{levels} SELECT DISTINCT level, root AS part, 'valid' AS verdict FROM roots",
         "adjacency_integrity": f"{g} SELECT 2 * {m} AS left_edges, 2 * {m} AS right_edges, 2 * {m} AS common, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only",
-        "remote_edges_symmetric": zero,
-        "local_edges_symmetric": zero,
-        "self_part_not_remote": zero,
-        "boundary_contained": zero,
+        "remote_edges_symmetric": one_way("a.part <> a.npart"),
+        "local_edges_symmetric": one_way("a.part = a.npart"),
+        "self_part_not_remote": f"{g} SELECT DISTINCT part, vid FROM parted WHERE vid % 5 = 2",
+        "boundary_contained": f"{levels} SELECT DISTINCT level - 1 AS level, tail AS vid FROM leveled WHERE level > 0 "
+        "AND level - 1 < (SELECT max(level) FROM tree) AND tail % 6 = 1",
         "trail_invariants": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('open trail with equal ends'), "
         "('odd boundary vertex not at exactly one end'), ('closed trail that does not return'), "
         "('trail without edges outside even boundary vertices'), ('even boundary vertex on no entry or several'), "

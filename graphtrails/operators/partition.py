@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from graphtrails.operators.chains import OPEN, chain_length, rank_chains, start_of
 from graphtrails.operators.circuit import circuit_of_links, require_even
@@ -226,6 +226,25 @@ def trail_table(tour: Tour) -> DataFrame:
     return paths.unionByName(rings).unionByName(lone)
 
 
+def spliced_steps(tour: Tour, trails: DataFrame | None = None) -> DataFrame:
+    """Steps of even boundary trails ``(level, part, trail_id, seq, element, is_trail, n_edges, total, from_vid, to_vid)``.
+
+    All rings of one owner are one closed walk: each is turned to begin at the owner, and they follow
+    each other in the order of their ids, so ``seq`` counts edges over the whole trail.
+    """
+    trails = trail_table(tour) if trails is None else trails
+    rings = trails.filter("kind = 'EB' AND loop IS NOT NULL").select("level", "loop", "trail_id", "source", F.col("n_edges").alias("_n"))
+    mine = Window.partitionBy("level", "trail_id")
+    rings = rings.withColumn("_base", F.coalesce(
+        F.sum("_n").over(mine.orderBy("loop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rings = rings.withColumn("_whole", F.sum("_n").over(mine))
+    steps = tour.steps.join(rings, ["level", "loop"])
+    first = steps.filter("from_vid = source").groupBy("level", "loop").agg(F.min("seq").alias("_first"))
+    return steps.join(first, ["level", "loop"]).select(
+        "level", "part", "trail_id", (F.col("_base") + F.pmod(F.col("seq") - F.col("_first"), F.col("_n"))).alias("seq"),
+        "element", "is_trail", "n_edges", F.col("_whole").alias("total"), "from_vid", "to_vid")
+
+
 def local_trails(tour: Tour, kind: str, level: int = 0, trails: DataFrame | None = None) -> DataFrame:
     """Trails of one kind (``OB``, ``EB`` or ``IN``) at one level; level 0 is inside the partitions."""
     trails = trail_table(tour) if trails is None else trails

@@ -181,10 +181,10 @@ def split_local_remote(
 ) -> DataFrame:
     """Partitioned adjacency: neighbours in the same part, and the others by their part."""
     darts = bidirect(attach_partition(g, vp, vm))
-    return _collect_parts(darts, F.col("dart"), list_rows)
+    return collect_parts(darts, F.col("dart"), list_rows)
 
 
-def _collect_parts(rows: DataFrame, spread: Column, list_rows: int) -> DataFrame:
+def collect_parts(rows: DataFrame, spread: Column, list_rows: int = GROUP_ROWS) -> DataFrame:
     """Group ``(part, tail, hpart, head)`` rows; a null head keeps a vertex without neighbours."""
     salted = with_salt(rows, ["tail"], spread, list_rows)
     by_part = salted.groupBy("part", F.col("tail").alias("vid"), "chunk", "hpart").agg(
@@ -224,7 +224,7 @@ def group_remote_by_part(
             )
         )
     both = local.unionByName(remote)
-    return _collect_parts(both, F.struct("_pos", "head"), list_rows)
+    return collect_parts(both, F.struct("_pos", "head"), list_rows)
 
 
 def partitioned_darts(pa: DataFrame) -> DataFrame:

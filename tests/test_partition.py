@@ -41,6 +41,16 @@ def test_cycle_in_two_parts_with_even_boundary(spark, graph):
     assert counts == {(0, 0): 2, (0, 1): 2}
 
 
+def test_rings_of_one_owner_are_one_walk(spark, graph):
+    # two triangles of part 0 meet at 1, which has two edges to part 1
+    g = graph([(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (5, 1), (1, 9), (9, 1)])
+    tour, trails = _run(spark, g, {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 9: 1})
+    steps = part.spliced_steps(tour, trails).filter("level = 0").orderBy("seq").collect()
+    assert [r.seq for r in steps] == list(range(6)) and {r.total for r in steps} == {6}
+    assert steps[0].from_vid == 1 == steps[-1].to_vid and len({r.trail_id for r in steps}) == 1
+    assert all(a.to_vid == b.from_vid for a, b in zip(steps, steps[1:]))
+
+
 def test_closed_trail_of_odd_boundary_vertices_is_kept(spark, graph):
     # a-b, a-c twice, c-d locally, one cut edge each; and a self-loop at such a vertex, b
     g = graph([(1, 2), (1, 3), (1, 3), (3, 4), (2, 2), (1, 11), (2, 11), (3, 12), (4, 12), (11, 11)])
