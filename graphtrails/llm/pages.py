@@ -3,8 +3,8 @@
 A page is a sequence of tags and words. Words score by the element they stand in, tags by their name: with
 weights learned from labelled pages, words of content elements are positive, and tags negative or next to zero.
 One linear scan finds the contiguous region with the highest sum; its blocks are the text. Labelled pages
-are those that mark their content with ``<article>`` or ``<main>``; at most ``MOST_PAGES`` of them (those with the lowest
-hash of their text) are counted, per kind of token, inside and outside of the mark. Elements that are never content
+are those that mark their content with ``<article>`` or ``<main>``; about ``MOST_PAGES`` of them at most (by a
+hash) are counted, per kind of token, inside and outside of the mark. Elements that are never content
 (scripts, styles, menus, forms, adverts, comments and the like, by tag, role or class) are out of the region
 wherever they stand.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphtrails.llm.words import bounded_batches
+from graphtrails.llm.words import bounded_batches, bounded_sample
 
 #: Labelled pages that weights are counted on, at most.
 MOST_PAGES = 2_000
@@ -161,8 +161,8 @@ def learn(pages: DataFrame, most: int = MOST_PAGES, kinds: int = 500) -> dict[st
     only stand inside cost next to nothing.
     """
     bounded_batches(pages.sparkSession)
-    labelled = pages.select("html").filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    chosen = labelled.orderBy(F.xxhash64("html")).limit(most)
+    labelled = pages.select("page_id", "html").filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    chosen = bounded_sample(labelled, "page_id", "html", most=most).select("html")
     counts = chosen.mapInArrow(_count, "kind string, inside long, outside long").groupBy("kind").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(kinds).collect()

@@ -1,7 +1,7 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
 Texts become numeric features in Arrow batches, once for all documents. Labelled rows outside the held-out
-fifth, at most ``MOST_ROWS`` of them (those with the lowest hash of their id), are brought to the driver as
+fifth, ``MOST_ROWS`` of them at most (by a hash of the id), are brought to the driver as
 features only. There shallow trees are boosted in turn over the features: each round fits a tree of up to
 four leaves on one feature's bins, and adds it to that feature's lookup table; then trees with one cut on
 either feature do the same for the best pairs. A score is the sum of the looked-up values of a row's bins.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from graphtrails.llm.words import BLANKS, arrow_bytes, bounded_batches, find_words, slices
+from graphtrails.llm.words import BLANKS, arrow_bytes, bounded_batches, bounded_sample, find_words, slices
 from graphtrails.scratch import Scratch
 
 #: Labelled rows that the model is fitted on, at most.
@@ -240,10 +240,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_marks(labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``(doc_id, y)`` of at most ``most`` labelled documents outside the held-out fold, by the hash of their id."""
+    """``(doc_id, y)`` of about ``most`` labelled documents at most outside the held-out fold, by a hash of their id."""
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    return marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return bounded_sample(marks, "doc_id", most=most)
 
 
 def train(rows: DataFrame, marks: DataFrame, most: int = MOST_ROWS) -> AdditiveModel:

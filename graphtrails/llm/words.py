@@ -30,6 +30,19 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), text.alias("text"))
 
 
+def bounded_sample(rows: DataFrame, *key: str, most: int) -> DataFrame:
+    """Rows whose hash of ``key`` is below a bound that lets about ``most`` rows through, or all where there are fewer.
+
+    The bound follows from a count, so nothing is sorted or gathered; it leaves four deviations of room below
+    ``most``. ``key`` should tell rows apart.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = max(1.0, most - 4 * most ** 0.5) / n
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
