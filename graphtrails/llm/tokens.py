@@ -18,30 +18,33 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphtrails.llm.words import bounded_batches, slices
+from graphtrails.llm.words import Words, arrow_bytes, bounded_batches, byte_set, find_words, slices
 from graphtrails.operators.ranks import prefix_sum
 from graphtrails.scratch import Scratch
 
 END = 0
-#: Pieces that an encoder remembers, at most; it starts anew beyond that.
-MEMORY = 400_000
+#: Words that an encoder remembers, at most (about 40 bytes each); it starts anew beyond that.
+MEMORY = 2_000_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-_BLANK = re.compile(r"[ \t\n\r]+")
 #: White space at an end or next to other white space; a single one between other characters is safe to cut at.
-_UNEVEN = re.compile(r"\s\s|^\s|\s$|[\x01\x02]")
-#: A word that ends in ASCII signs other than the apostrophe, after a letter.
-_SIGNS = re.compile(r"(\S*[^\W\d_])([!-&(-/:-@\[-`{-~]+)")
+_UNEVEN = re.compile(r"\s\s|^\s|\s$")
+_SPACES = byte_set(" \n")
+_BLANKS = byte_set(" \t\n\r")
+_WHITE = byte_set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
+#: First bytes of characters that may be white space beyond ASCII.
+_MAYBE_WHITE = byte_set("\xc2\xe1\xe2\xe3")
+_NO_SPACE = np.uint64(0x5851F42D4C957F2D)
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,27 +56,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _stays_letter(c: str) -> bool:
-    """Also when a tokenizer composes it and makes it lower case, which may add marks."""
-    return c.isalpha() and unicodedata.normalize("NFC", c).lower().isalpha()
-
-
-def _byte_words(text: str) -> list[str]:
-    """Pieces of a text at single spaces, which go to the following piece, and line ends.
+class Encoder:
+    """Texts to ids as little-endian 32-bit bytes. One per Python worker and file.
 
-    A piece stands for itself after a space; ``\x01`` for a line end; ``\x02`` says that no space comes before.
+    What is remembered is arrays: sorted hashes of words (with their lengths), and for each the place and the
+    number of its ids in a pool. Only new words become strings; these are encoded many at once, as one text with a
+    separator that is a token of its own.
     """
-    if _UNEVEN.search(text):
-        return ["\x02" + text]
-    return ("\x02" + text.replace("\n", " \x01 \x02")).split(" ")
-
-
-def _byte_text(piece: str) -> str:
-    return "\n" if piece == "\x01" else piece[1:] if piece[:1] == "\x02" else " " + piece
-
-
-class Encoder:
-    """Texts to ids as little-endian 32-bit bytes. One per Python worker and file."""
 
     _open: dict[str, "Encoder"] = {}
 
@@ -89,17 +78,17 @@ class Encoder:
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
         chain = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         splits = pre.get("pretokenizers") or [{}]
-        # separator: a string that is one token of its own between any two pieces without its character
+        self.rules = ""
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.split, self.text, separator = _byte_words, _byte_text, "\n"
+            self.rules, self.separator, self.sign = "byte", "\n", "\n"
         elif chain == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
-            self.split, self.text, separator = _BLANK.split, str, " 0 "
+            self.rules, self.separator, self.sign = "word", " 0 ", "0"
+        mark = self._ids(self.separator) if self.rules else []
+        if len(mark) != 1:
+            self.rules = ""
         else:
-            self.split, self.text, separator = None, str, ""
-        ids = self._ids(separator)
-        self.separator, self.mark = (separator, ids[0]) if len(ids) == 1 else ("", -1)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+            self.mark = mark[0]
+        self._forget()
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -107,57 +96,133 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def _forget(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+        # the first id of the pool is the separator: a line end
+        self.pool = np.array([self.mark] if self.rules else [], "<u4")
+
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
-    def _many(self, texts: list[str]) -> list[bytes]:
-        """Ids of short texts, encoded as one text with separators where that gives the same."""
-        sign = self.separator.strip(" ")
-        plain = [t for t in texts if t and sign and sign not in t and not t[-1:].isspace() and not t.lstrip(" ")[:1].isspace()
-                 and t[:2] != "  " and t != " "]
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2000):
-            some = plain[at:at + 2000]
-            ids = np.array(self._ids(self.separator.join(some)), "<u4")
+    def _joined(self, words: list[str], lead: str) -> list[np.ndarray]:
+        """Ids of words, each after ``lead``, encoded as one text; words with the separator's sign one by one."""
+        plain = [i for i, w in enumerate(words) if self.sign not in w]
+        out: list[np.ndarray | None] = [None] * len(words)
+        for at in range(0, len(plain), 4000):
+            some = plain[at:at + 4000]
+            ids = np.array(self._ids(lead + (self.separator + lead).join([words[i] for i in some])), "<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) == len(some) - 1:
-                raw, ends = ids.tobytes(), np.append(cuts, len(ids)).tolist()
-                found.update(zip(some, (raw[4 * a:4 * b] for a, b in zip([0] + [c + 1 for c in cuts.tolist()], ends))))
-        return [found[t] if t in found else self.whole(t) for t in texts]
-
-    def _learn(self, words: set[str]) -> None:
-        cut = {w: m.groups() if (m := _SIGNS.fullmatch(w)) and _stays_letter(m[1][-1]) else (w,) for w in words}
-        # signs after a letter have no space before them; in ``text`` a first part keeps its own
-        keys = {w: (self.text(parts[0]), *parts[1:]) for w, parts in cut.items()}
-        new = list({p for parts in keys.values() for p in parts if p not in self.parts})
-        if len(self.parts) + len(new) > MEMORY:
-            self.parts.clear()
-            new = list({p for parts in keys.values() for p in parts})
-        self.parts.update(zip(new, self._many(new)))
-        if len(self.words) + len(words) > MEMORY:
-            self.words.clear()
-        self.words.update((w, b"".join(map(self.parts.__getitem__, parts))) for w, parts in keys.items())
+                for i, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                    out[i] = ids[a:b]
+        return [np.array(self._ids(lead + w), "<u4") if x is None else x for w, x in zip(words, out)]
+
+    def _learn(self, keys: np.ndarray, words: list[str], spaced: np.ndarray) -> None:
+        ids: list[np.ndarray] = [None] * len(words)
+        for flag, lead in ((True, " " if self.rules == "byte" else ""), (False, "")):
+            own = np.flatnonzero(spaced == flag).tolist()
+            if own:
+                for i, x in zip(own, self._joined([words[i] for i in own], lead)):
+                    ids[i] = x
+        count = np.array([len(x) for x in ids], np.int32)
+        begin = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, *ids])
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys = every[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.count = np.concatenate([self.count, count])[order]
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.split is None:
+        if not self.rules:
             return [self.whole(t) for t in texts]
-        pieces = [self.split(t) for t in texts]
-        every = set().union(*pieces)
-        missing = every.difference(self.words)
-        if missing:
-            self._learn(every if len(self.words) + len(missing) > MEMORY else missing)
-        find = self.words.__getitem__
-        return [b"".join(map(find, p)) for p in pieces]
+        return self.encode_array(pa.array(texts, pa.string()))
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode``, of an Arrow array; null is empty."""
+        if not self.rules:
+            return [self.whole(t or "") for t in texts.to_pylist()]
+        apart: dict[int, bytes] = {}
+        if self.rules == "byte":
+            for d in self._uneven(texts):
+                apart[d] = self.whole(texts[d].as_py())
+            if apart:
+                keep = np.ones(len(texts), bool)
+                keep[list(apart)] = False
+                texts = pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))
+        w = find_words(texts, _SPACES if self.rules == "byte" else _BLANKS)
+        out = self._gather(w, len(texts))
+        for d, ids in apart.items():
+            out[d] = ids
+        return out
+
+    def _uneven(self, texts: pa.Array) -> list[int]:
+        """Texts with white space at an end or next to other white space: these are not cut."""
+        data, offsets = arrow_bytes(texts)
+        if not len(data):
+            return []
+        white = _WHITE[data]
+        near = white.copy()
+        near[1:] &= white[:-1]  # the second of two
+        size = np.diff(offsets)
+        some = size > 0
+        near[offsets[:-1][some]] = white[offsets[:-1][some]]
+        near[offsets[1:][some] - 1] |= white[offsets[1:][some] - 1]
+        doc = lambda mask: np.unique(np.searchsorted(offsets, np.flatnonzero(mask), "right") - 1)
+        sure = doc(near).tolist()
+        rest = set(doc(_MAYBE_WHITE[data]).tolist()).difference(sure)
+        return sure + [d for d in rest if _UNEVEN.search(texts[d].as_py())]
+
+    def _gather(self, w: Words, n: int) -> list[bytes]:
+        keys = w.hash
+        line = np.zeros(len(keys), bool)
+        spaced = np.ones(len(keys), bool)
+        if self.rules == "byte":
+            before = w.data[np.maximum(w.start - 1, 0)] if len(keys) else np.empty(0, np.uint8)
+            first = w.pos == 0
+            line = ~first & (before == 10)
+            spaced = ~first & ~line
+            keys = np.where(spaced, keys, keys ^ _NO_SPACE)
+        new = np.flatnonzero(self.keys[self._at(keys)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            fresh, first_seen = np.unique(keys[new], return_index=True)
+            if len(self.keys) + len(fresh) > MEMORY:
+                self._forget()
+                fresh, first_seen = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+            at = new[first_seen]
+            raw = w.data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
+            self._learn(fresh, words, spaced[at])
+        # entries of the pool in order, a line end before the words that follow one
+        spot = np.arange(len(keys)) + np.cumsum(line)
+        total = len(keys) + int(line.sum())
+        begin, count, doc = np.zeros(total, np.int64), np.ones(total, np.int64), np.zeros(total, np.int64)
+        if len(keys):
+            at = self._at(keys)
+            begin[spot], count[spot], doc[spot] = self.begin[at], self.count[at], w.doc
+            ends = spot[line] - 1
+            doc[ends] = w.doc[line]
+        each = np.bincount(doc, count, n).astype(np.int64) if total else np.zeros(n, np.int64)
+        ids = self.pool[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())].tobytes() if total else b""
+        bounds = (4 * np.append(0, np.cumsum(each))).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def encoded(name: str, end: int, batch: pa.RecordBatch) -> Iterator[bytes]:
     """Ids of each text of a batch and the end id, in order."""
     encoder, stop = Encoder.of(tokenizer_path(name)), np.array([end], "<u4").tobytes()
     for _, texts in slices(batch.column("text")):
-        for ids in encoder.encode([x or "" for x in texts.to_pylist()]):
+        for ids in encoder.encode_array(texts):
             yield ids + stop
 
 
