@@ -7,7 +7,8 @@
 3. What is left is partitioned twice into groups of similar documents, by its lowest and by its highest
    hash; a group too large for a task is split evenly. Inside a group, one posting list per token gives
    each member's overlaps with all others. Found links are joined into classes.
-4. Only links between different classes are open now. The token-group matrix stores for each group the
+4. Only links between different classes are open now. Documents are grouped by the commonest token they have
+   in common with another class, and the token-group matrix stores for each group the
    union of its members' rarest tokens. A document asks, by its own rarest tokens, for groups in which a
    larger class has one of them (classes are ordered by size, so the members of a very large class never
    ask); for these the bound on the overlap with the group's whole union is taken, and only groups that
@@ -37,8 +38,10 @@ from graphtrails.scratch import Scratch
 
 SHINGLE = 4
 PERCENT = 85
-#: Members of a group, and documents that ask for it, in one task.
+#: Members of a group that is compared inside, at most.
 GROUP = 400
+#: Members of a group of the matrix, and documents that ask for it in one task, at most.
+ASKED_GROUP = 2_000
 
 
 def _need(n, percent: int):
@@ -163,10 +166,10 @@ def _inside(percent: int):
     return inside
 
 
-def _grouped(sets: DataFrame, key: str, seed: int) -> DataFrame:
-    """Sets with the number of their group: those of one key, split evenly where they are too many."""
+def _grouped(sets: DataFrame, key: str, seed: int, most: int) -> DataFrame:
+    """Sets with the number of their group ``g``: those of one key, split evenly where they are too many."""
     counts = sets.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    split = F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("_n") / GROUP).cast("long"))
+    split = F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("_n") / most).cast("long"))
     return sets.join(counts, key).withColumn("g", F.xxhash64(key, split)).drop("_n")
 
 
@@ -196,10 +199,9 @@ def _pools(percent: int):
             # how many tokens of the pool decide: with one more than a linked pair may lack, one is common
             lead = np.array([len(x) - _shared(n, percent) + 1 for x, n in zip(lists, batch.column("n").to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("v").take(row), batch.column("component").take(row), batch.column("weight").take(row),
-                 batch.column("g").take(row), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(lead).take(row),
+                [batch.column("v").take(row), batch.column("component").take(row), batch.column("weight").take(row), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(lead).take(row),
                  pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))],
-                names=["v", "component", "weight", "g", "pool", "lead", "token"])
+                names=["v", "component", "weight", "pool", "lead", "token"])
     return pools
 
 
@@ -208,18 +210,18 @@ def linked_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     kept = sets.select("v", "n", "tokens", "low", "high")
     edges = None
     for seed, key in enumerate(("low", "high")):
-        found = _grouped(kept, key, seed).select("g", "v", "tokens").groupBy("g").applyInPandas(_inside(percent), "u long, v long")
+        found = _grouped(kept, key, seed, GROUP).select("g", "v", "tokens").groupBy("g").applyInPandas(_inside(percent), "u long, v long")
         edges = found if edges is None else edges.unionByName(found)
     edges = scratch.save(edges, "inside")
     first = scratch.save(components(edges, scratch), "classes")
     sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     labels = first.join(sizes, "component").select(F.col("vid").alias("v"), "component", "weight")
     # equal sizes of different classes are told apart by the class
-    named = _grouped(kept, "low", 0).join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    named = kept.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
     named = named.withColumn("weight", F.coalesce("weight", F.lit(1)))
-    named = scratch.save(named.select("g", "v", "n", "tokens", "component", "weight"), "named")
+    named = scratch.save(named.select("v", "n", "tokens", "component", "weight"), "named")
 
-    pools = named.mapInArrow(_pools(percent), "v long, component long, weight long, g long, pool long, lead long, token long")
+    pools = named.mapInArrow(_pools(percent), "v long, component long, weight long, pool long, lead long, token long")
     crossing = pools.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     crossing = crossing.filter("_lo <> _hi").select("token", "df")
@@ -228,21 +230,23 @@ def linked_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         pools.join(crossing, "token")
         .withColumn("_i", F.row_number().over(mine.orderBy("df", "token")))
         .withColumn("_c", F.count(F.lit(1)).over(mine))
+        .withColumn("top", F.max(F.struct("df", "token")).over(mine)["token"])
         .filter("_i <= lead - (pool - _c)")
-        .select("token", "v", "g", "component", "weight")
+        .select("token", "v", "top", "component", "weight")
     )
     decisive = scratch.save(decisive, "decisive")
+    groups = scratch.save(_grouped(decisive.select("v", "top").distinct(), "top", 2, ASKED_GROUP).select("v", "g"), "groups")
     rank = F.struct("weight", "component")
-    matrix = decisive.groupBy("token", "g").agg(F.max(rank).alias("top"))
-    asks = decisive.select("token", "v", rank.alias("rank")).join(matrix, "token").filter("rank < top").select("v", "g").distinct()
+    matrix = decisive.join(groups, "v").groupBy("token", "g").agg(F.max(rank).alias("most"))
+    asks = decisive.select("token", "v", rank.alias("rank")).join(matrix, "token").filter("rank < most").select("v", "g").distinct()
     asks = scratch.save(asks, "asks")
-    counts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("parts"))
+    counts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKED_GROUP).cast("long").alias("parts"))
     asking = (
         asks.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("v"), "parts")).select("g", "part", "v")
         .join(named.select("v", "component", "tokens"), "v")
         .select("g", "part", "v", F.col("component").alias("component"), F.col("tokens").alias("tokens"))
     )
-    members = named.select("g", "v", "component", "tokens").join(counts, "g").select(
+    members = named.select("v", "component", "tokens").join(groups, "v").join(counts, "g").select(
         "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         F.col("v").alias("v"), F.col("component").alias("component"), F.col("tokens").alias("tokens"))
     more = members.groupBy("g", "part").cogroup(asking.groupBy("g", "part")).applyInPandas(_across(percent), "u long, v long")
