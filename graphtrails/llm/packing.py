@@ -28,8 +28,10 @@ from graphtrails.llm.words import bounded_batches
 CAPACITY = 2048
 END = 1
 #: Tokens of a block (of one task at a time), and of a piece, at most.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PIECE = 512
+#: Tokens that the first number of windows leaves free in each, on average: windows are nearly equal, not equal.
+ROOM = 16
 _TASK_BITS = 33
 
 
@@ -70,8 +72,8 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Windows of pieces of at most ``capacity``, none over it; their number starts at the least possible."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    """Windows of pieces of at most ``capacity``, none over it; their number rises until that holds."""
+    k = max(1, -(-int(sizes.sum()) // max(1, capacity - ROOM)))
     while True:
         window = difference(sizes, k)
         if np.bincount(window, sizes, k).max() <= capacity:
