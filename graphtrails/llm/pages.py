@@ -5,12 +5,13 @@ weights learned from labelled pages, words of content elements are positive, and
 One linear scan finds the contiguous region with the highest sum; its blocks are the text. Labelled pages
 are those that mark their content with ``<article>`` or ``<main>``; about ``MOST_PAGES`` of them at most (by a
 hash) are counted, per kind of token, inside and outside of the mark. Elements that are never content
-(scripts, styles, menus, forms, adverts, comments and the like, by tag, role or class) are out of the region
-wherever they stand.
+(scripts, styles, menus, forms, adverts, comments and the like, by tag, role, or a whole word of class or id) are out of
+the region wherever they stand; so are articles inside of comments, asides and adverts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 ``\\n``. Null and empty pages have empty text. Pages without positive tokens have none either. Markup that is
-never closed ends with the page, at the latest where an article begins. Rows that repeat a ``page_id``
+never closed ends with the page, at the latest where an article begins; a self-closing ``<svg/>`` or ``<math/>`` is
+empty, and so are other self-closing elements without an end tag. Rows that repeat a ``page_id``
 stay. Further columns are ignored.
 """
 
@@ -45,30 +46,96 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar side footer header masthead cookie cookies consent notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social comment comments commentlist disqus replies reply related recommended "
-    "widget widgets toolbar pagination pager copyright legal disclaimer search form skip hidden".split())
+    "widget widgets toolbar pagination pager copyright legal disclaimer search form skip hidden "
+    "site-header site-footer site-navigation main-navigation main-nav nav-menu main-menu cookie-banner cookie-notice cookie-consent "
+    "comment-list comments-area comments-section comment-respond comment-form ad-banner ad-container ad-slot ad-wrapper adsbygoogle "
+    "social-share share-buttons related-posts related-articles newsletter-signup widget-area skip-link".split())
+# Of these, the comments and adverts, whose articles are not the page's; asides too.
+HOLDING = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus replies reply "
+    "comment-list comments-area comments-section comment-respond comment-form ad-banner ad-container ad-slot ad-wrapper adsbygoogle".split())
 
 _PIECE = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
     r"(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME_PART = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s=/>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_never(name: str, rest: str, inside: bool) -> bool:
-    if name in NEVER:
-        return True
-    if name == "header":
-        return not inside  # an article's own header holds its title
-    if not rest or name in MARKS or name in ("html", "body"):
-        return False
+#: What an element is: content, none, or none and holding its articles back too.
+CONTENT, NONE, HOLDER = 0, 1, 2
+
+
+def _role(name: str, rest: str, inside: bool) -> int:
+    role = CONTENT
+    if name == "aside":
+        return HOLDER
+    if name in NEVER or name == "header" and not inside:  # an article's own header holds its title
+        role = NONE
+    if not rest or name in MARKS or name in ("html", "body", "header"):
+        return role
+    seen = set()
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and any(w in NAMES for part in value.split() for w in _NAME_PART.findall(part)):
-            return True
-    return False
+        if key in seen:  # the first of a name counts
+            continue
+        seen.add(key)
+        if key in ("class", "id"):
+            words = value.split()
+            if any(w in HOLDING for w in words):
+                return HOLDER
+            if any(w in NAMES for w in words):
+                role = NONE
+        elif key == "role" and value == "complementary":
+            return HOLDER
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
+            role = NONE
+    return role
+
+
+def _is_empty(rest: str) -> bool:
+    """Whether a tag closes itself: its slash is not the end of a value without quotes."""
+    if not rest.endswith("/"):
+        return False
+    end = 0
+    for found in _ATTRIBUTE.finditer(rest):
+        end = found.end()
+    return end < len(rest)
+
+
+def _closed(page: str) -> set[int]:
+    """Where the tags begin whose elements have an end tag of their own."""
+    out, stack, at, no_end = set(), [], 0, set()
+    while (found := _PIECE.match(page, at)) is not None:
+        begin, at = at, found.end()
+        name = (found["name"] or "").lower()
+        if not name or name in VOID:
+            continue
+        if found["close"]:
+            if any(x == name for x, _ in stack):
+                while True:
+                    last, place = stack.pop()
+                    if last == name:
+                        out.add(place)
+                        break
+        elif name in RAW:
+            at = _after_raw(page, at, name, found["rest"], no_end)
+        else:
+            stack.append((name, begin))
+    return out
+
+
+def _after_raw(page: str, at: int, name: str, rest: str, no_end: set[str]) -> int:
+    """The end of an element whose content is no markup; ``no_end`` are names known to have no further end tag."""
+    empty = _is_empty(rest)
+    if empty and name in ("svg", "math"):
+        return at
+    if name not in no_end:
+        stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+        if stop:
+            return stop.end()
+        no_end.add(name)
+    return at if empty else len(page)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
@@ -78,13 +145,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
     is open. Text and tags of elements that are never content don't come. Blocks are numbered.
     """
     stack: list[str] = []
+    holders: list[tuple[int, int]] = []  # depth and place of open elements that hold their articles back
+    closed: set[int] | None = None
+    no_end: set[str] = set()
     block, never, marks = 0, 0, 0  # never: how many elements are open from the outermost one without content
     at, end = 0, len(page)
     while at < end:
         found = _PIECE.match(page, at)
         if found is None:
             return
-        at = found.end()
+        begin, at = at, found.end()
         text = found["text"]
         if text is not None:
             if not never:
@@ -110,25 +180,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
                     marks -= last in MARKS
                     if last == name:
                         break
+                while holders and holders[-1][0] >= len(stack):
+                    holders.pop()
                 if not never:
                     yield name, "", block, marks > 0
             continue
         if name in RAW:  # their content is no markup
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            at = _after_raw(page, at, name, found["rest"], no_end)
             continue
-        if name in MARKS:
-            never = 0
+        if never and name in MARKS:
+            if name == "article" and holders:
+                closed = _closed(page) if closed is None else closed
+                holders = [x for x in holders if x[1] in closed]
+            if name == "main" or not holders:
+                never, holders = 0, []
         if name == "p" and "p" in stack and not never:  # a paragraph ends where the next begins
             while stack.pop() != "p":
                 pass
         elif name == "li" and "li" in stack and not never and stack[-1] not in ("ul", "ol", "menu"):
             while stack.pop() != "li":
                 pass
+        role = _role(name, found["rest"], marks > 0)
         if never:
             never += 1
-        elif _is_never(name, found["rest"], marks > 0):
+        elif role:
             never = 1
+        if role == HOLDER:
+            holders.append((len(stack), begin))
         stack.append(name)
         marks += name in MARKS
         if not never:
@@ -141,7 +219,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside: Counter[str] = Counter()
         outside: Counter[str] = Counter()
         for page in batch.column("html").to_pylist():
-            for kind, text, _, marked in tokens(page or ""):
+            items = list(tokens(page or ""))
+            if not any(marked for _, _, _, marked in items):  # its only articles are no content
+                continue
+            for kind, text, _, marked in items:
                 if kind != "#br":
                     (inside if marked else outside)[kind[:40]] += len(text.split()) if kind[:1] == "#" else 1
         both = sorted(inside.keys() | outside.keys())

@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -48,6 +49,29 @@ def test_main_text(page, want):
     assert pages.main_text(page, WEIGHTS) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<div style="overflow:hidden"><p>a</p></div>', "a"), ('<p title="the hidden cost">a</p>', "a"), ("<p data-hidden>a</p><p data-class=ad>b</p>", "a\nb"),
+    ('<p title="x" HIDDEN>a</p><p aria-hidden=true>b</p><p title="> hidden" Class=\'x AD\'>c</p>', ""),
+    ('<div class="content with-sidebar"><p>a</p></div>', "a"), ('<div class="has-sidebar" id=no-comments><p>a</p></div>', "a"),
+    ('<div class="entry-header"><h1>a</h1></div><div class="x sidebar"><p>b</p></div><ol class="comment-list"><p>c</p></ol>', "a"),
+    ("<p>a</p><svg/><math /><p>b</p>", "a\nb"), ("<p>a</p><iframe src='x'/><p>b</p><iframe/><p>c</p>", "a\nb\nc"),
+    ("<p>a</p><svg width='1'/><p>b</p><svg><p>c</p></svg>", "a\nb"), ("<p>a</p><iframe src=x/><p>b</p></iframe><p>c</p>", "a\nc"),
+    ("<article><p>a</p></article><div class=comments><article><p>b</p></article><p>c</p></div><p>d</p>", "a\nd"),
+    ("<aside><article><p>a</p></article></aside><div class=ad><div><article><p>b</p></article></div></div><article><p>c</p></article>", "c"),
+    ("<div class=overlay><ul class='x comments'><article><p>a</p></article></ul><article><p>b</p></article></div>", "b"),
+    ("<body><div class=ad>x<article><p>a</p></article></body>", "a"), ("<aside><main><p>a</p></main></aside>", "a"),
+])
+def test_main_text_of_attributes_and_articles(page, want):
+    assert pages.main_text(page, WEIGHTS) == want
+
+
+def test_main_text_of_hostile_pages_in_time():
+    began = time.monotonic()
+    for page in ("<svg/><iframe/>" * 50_000, "<aside><article>" * 2_000, "<p " + "a = '" * 20_000 + ">", "<div " + " " * 50_000 + "x", "<p a" + " " * 20_000 + ">x"):
+        pages.main_text(page, WEIGHTS)
+    assert time.monotonic() - began < 20
+
+
 def test_main_text_of_hostile_pages():
     for page in ("<" * 20_000, "<p " + "a'" * 20_000, "<!--" * 5_000, "<b>" * 3_000 + "x", "&#x110000;&#0;&bogus; x", "<p a=\"" + "b" * 50_000):
         pages.main_text(page, WEIGHTS)
