@@ -3,7 +3,8 @@
 ``Encoder`` gives the ids that the tokenizers library gives for a whole text. Where the tokenizer's own
 splitting rules can't join two neighbouring pieces (a letter or sign, one space, a letter or sign), the
 pieces are encoded apart and remembered, as most of a corpus is the same words again. A tokenizer with
-other rules gets whole texts.
+other rules gets whole texts, and so does a text that holds the string of an added token (``<|endoftext|>``): it is
+that token's id, as the library gives by default.
 
 ``write_tokens`` writes ``(doc_id, n_tokens, ids list<int>)`` in ascending order of ``doc_id`` over all files:
 version 2 pages (delta and dictionary encoding), zstd, row groups of a set size, and page indexes, so
@@ -70,7 +71,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path) as f:
@@ -78,11 +78,15 @@ class Encoder:
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
         chain = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         splits = pre.get("pretokenizers") or [{}]
+        added = [x for x in rules.get("added_tokens") or [] if x["content"]]
+        self.added = [x["content"] for x in added]
         self.rules = ""
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.rules, self.separator, self.sign = "byte", "\n", "\n"
         elif chain == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
             self.rules, self.separator, self.sign = "word", " 0 ", "0"
+        if norm is not None and any(x.get("normalized") for x in added):  # found in texts in other spellings too
+            self.rules = ""
         mark = self._ids(self.separator) if self.rules else []
         if len(mark) != 1:
             self.rules = ""
@@ -151,14 +155,14 @@ class Encoder:
         """As ``encode``, of an Arrow array; null is empty."""
         if not self.rules:
             return [self.whole(t or "") for t in texts.to_pylist()]
-        apart: dict[int, bytes] = {}
-        if self.rules == "byte":
-            for d in self._uneven(texts):
-                apart[d] = self.whole(texts[d].as_py())
-            if apart:
-                keep = np.ones(len(texts), bool)
-                keep[list(apart)] = False
-                texts = pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))
+        whole = set(self._uneven(texts)) if self.rules == "byte" else set()
+        for content in self.added:
+            whole.update(pc.indices_nonzero(pc.fill_null(pc.match_substring(texts, content), False)).to_pylist())
+        apart = {d: self.whole(texts[d].as_py()) for d in whole}
+        if apart:
+            keep = np.ones(len(texts), bool)
+            keep[list(apart)] = False
+            texts = pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))
         w = find_words(texts, _SPACES if self.rules == "byte" else _BLANKS)
         out = self._gather(w, len(texts))
         for d, ids in apart.items():

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from graphtrails.llm import decontam, exchange, fingerprints, jaccard, lines, packing, quality, queries, substrings, tokens, words
 
@@ -220,6 +221,35 @@ def test_encoder_equals_the_library(texts, name):
         assert encoder.encode(every) == [encoder.whole(t) for t in every]
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", " <|startoftext|> A\n<|endoftext|>\n", "<|ENDOFTEXT|> <| endoftext|>",
+    "plain words", "<|endoftext|><|endoftext|> end", "it's <|endoftext", None, "漢字<|endoftext|>漢字",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_a_fresh_tokenizer(spark, texts, name):
+    fresh = Tokenizer.from_file(tokens.tokenizer_path(name))
+    plain = lambda t: fresh.encode(t or "", add_special_tokens=False).ids
+    every = ADDED + ODD + [t for _, t in texts]
+    encoder = tokens.Encoder(tokens.tokenizer_path(name))
+    for some in (every, ["<|endoftext|> first", "then words"], every[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_array(pa.array(some, pa.string()))] == [plain(t) for t in some]
+    assert encoder.encode(["a <|endoftext|> b"]) == [np.array(plain("a <|endoftext|> b"), "<u4").tobytes()]
+    df = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want, start = [], 0
+    for i, t in enumerate(ADDED):
+        ids = plain(t) + [0]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert sorted(tuple(r) for r in tokens.token_digests(df, name).collect()) == want
+    got = defaultdict(list)
+    for r in sorted(packing.pack(df, name).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+    assert dict(got) == {i: plain(t) + [1] for i, t in enumerate(ADDED)}
+
+
 def test_token_files(spark, docs, texts):
     encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     got = tokens.token_digests(docs).orderBy("start").collect()
