@@ -33,7 +33,7 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class of near duplicates."""
+    """The document with the smallest id of every class of near duplicates by op9's rule: 4-word shingles, 85 percent."""
     return jaccard.one_of_each(docs)
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from graphtrails.llm import decontam, exchange, fingerprints, jaccard, lines, packing, quality, queries, substrings, tokens, words
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -360,6 +361,19 @@ def test_classes_without_rows(none):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_pipeline_stage_follows_the_numbers_of_op9(spark, docs, texts):
+    """Also over copies with four spread edits, which are links by 5 words and 80 percent only."""
+    words = [f"p{i}" for i in range(200)]
+    edited = [f"q{i}" if i in (40, 80, 120, 160) else w for i, w in enumerate(words)]
+    more = [(900, " ".join(words)), (901, " ".join(edited)), (902, " ".join(words[:-1] + ["r"]))]
+    rows = [x for x in texts if [i for i, _ in texts].count(x[0]) == 1 and x[0] is not None] + more
+    kept = corpus_pipeline.keep_one_of_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert ids == {r[0] for r in plain_classes(rows, 4, 85) if r[0] == r[2]}
+    assert {900, 901} <= ids and 902 not in ids
+    assert 901 not in {r[0] for r in plain_classes(rows, 5, 80) if r[0] == r[2]}
+
+
 def test_one_of_each(docs, texts):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
