@@ -2,9 +2,10 @@
 
 Labelled outcomes of pages (good or not) are counted per host, per registered domain and per suffix. The
 share of good pages has a beta prior at every level: the suffix is shrunk to all pages, the domain to its suffix,
-the host to its domain, each with the strength of ``STRENGTH`` pages. A url passes where the upper bound of
-the host's posterior, mean plus ``BOUND`` standard deviations, reaches ``LEAST``, that is, hosts are blocked once
-their labels show that they are bad. Rules go first: the longest one that fits decides.
+the host to its domain, each with the strength of ``STRENGTH`` pages, a fixed number at all levels: only the means are
+estimated. A url passes where the upper bound of the host's posterior, mean plus ``BOUND`` standard deviations, reaches
+``LEAST``. A host without labels has the mean of its domain, suffix or all pages, so it is blocked where that is below
+about 0.45. Rules go first: the longest one that fits decides.
 
 A page is labelled when its main text, with or without its first block (a title), is that of a labelled
 document, white space aside. It is good when its quality is 1 and
