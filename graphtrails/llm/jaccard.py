@@ -11,8 +11,8 @@
    in common with another class, and the token-group matrix stores for each group the
    union of its members' rarest tokens. A document asks, by its own rarest tokens, for groups in which a
    larger class has one of them (classes are ordered by size, so the members of a very large class never
-   ask); for these the bound on the overlap with the group's whole union is taken, and only groups that
-   reach the bound are opened and compared with every member.
+   ask). One common token is enough to ask: the whole sets of members and askers come to the group first, and
+   there the bound on the overlap with its union is taken, before the query is compared with every member.
 
 Two documents link when ``100 * intersection >= percent * union``. Words are runs of bytes other than
 ``[\\x20\\x09-\\x0D]``, A-Z in lower case; a text of fewer words than a shingle is one shingle, one without
