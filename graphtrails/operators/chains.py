@@ -4,22 +4,26 @@ An element ``k`` has two ports, ``2k`` and ``2k + 1``. A link joins two ports, s
 open chains and closed rings. The result places every element in its chain: which chain, which way
 round, and where.
 
-Each round takes out an independent set of elements (those whose hash is below both neighbours') and
-links their neighbours directly; at least a third of the rows goes in expectation, so all rounds
-together shuffle a small multiple of the input. The way back gives each removed element its place
-next to the neighbour that took over its links. Doubling pointers instead would shuffle all rows in
-every one of its rounds. What is left when no more than an eighth of the input and ``FINISH_ROWS``
-rows remain is walked in one small task.
+Each round deals the elements to tasks by ``k``. A task takes out every element that stands between
+two others it holds, so of a run of neighbours only the two ends stay; then it takes out each element
+whose hash is below both neighbours' and tells the neighbours, in the next round, whom they are linked
+to now. At least a third goes per round in expectation, whatever the tasks hold, and more as fewer
+tasks are left; so all rounds together shuffle a small multiple of the input. Everything that one
+round takes out, runs of several elements included, is placed in terms of an element that outlives
+the round: one join per round places it again on the way back.
 
 Distances are measured between the middles of elements and doubled, so that they are whole numbers
 and add up when an element is taken out. What a removed element keeps is its place and direction as
-seen from a neighbour; such frames compose.
+seen from another one; such frames compose.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphtrails.scratch import Scratch
@@ -29,61 +33,151 @@ from graphtrails.scratch import Scratch
 #: ``own`` is the length of ``k``.
 ELEMENTS = ["k", "pa", "ga", "pb", "gb", "own"]
 OPEN = -1
-#: Rounds of one job: each is a shuffle, and its rows are written once per job.
-ROUNDS_IN_JOB = 6
-
-_DONE = "((pa = -1 AND pb = -1) OR (pa <> -1 AND shiftright(pa, 1) = k))"
-_ACTIVE = f"(parent IS NULL AND NOT {_DONE})"
-
-# One round: every row sends itself, and a removed one its far link to each neighbour. The round
-# number ``n`` is data, so that all rounds run the same generated code.
-_ROUND = f"""
-SELECT k, coalesce(max(ma), max(pa)) AS pa, coalesce(max(na), max(ga)) AS ga,
-       coalesce(max(mb), max(pb)) AS pb, coalesce(max(nb), max(gb)) AS gb,
-       max(own) AS own, max(parent) AS parent, max(c) AS c, max(r) AS r, max(n) AS n
-FROM (
-  SELECT inline(filter(array(
-    named_struct('k', k, 'pa', pa, 'ga', ga, 'pb', pb, 'gb', gb, 'own', own,
-      'parent', IF(gone, shiftright(port, 1), parent),
-      'c', IF(gone, IF(port & 1 = 1, gap, -gap), c),
-      'r', IF(gone, IF(port & 1 = IF(pa <> -1, 0, 1), 1, 0), r),
-      'n', n + 1, 'ma', null, 'na', null, 'mb', null, 'nb', null),
-    IF(gone AND pa <> -1,
-      named_struct('k', shiftright(pa, 1), 'pa', null, 'ga', null, 'pb', null, 'gb', null,
-        'own', null, 'parent', null, 'c', null, 'r', null, 'n', null,
-        'ma', IF(pa & 1 = 0, pb, null), 'na', IF(pa & 1 = 0, ga + gb, null),
-        'mb', IF(pa & 1 = 1, pb, null), 'nb', IF(pa & 1 = 1, ga + gb, null)), null),
-    IF(gone AND pb <> -1,
-      named_struct('k', shiftright(pb, 1), 'pa', null, 'ga', null, 'pb', null, 'gb', null,
-        'own', null, 'parent', null, 'c', null, 'r', null, 'n', null,
-        'ma', IF(pb & 1 = 0, pa, null), 'na', IF(pb & 1 = 0, ga + gb, null),
-        'mb', IF(pb & 1 = 1, pa, null), 'nb', IF(pb & 1 = 1, ga + gb, null)), null)
-    ), x -> x IS NOT NULL))
-  FROM (
-    SELECT *, IF(pa <> -1, pa, pb) AS port, IF(pa <> -1, ga, gb) AS gap,
-      {_ACTIVE}
-      AND (pa = -1 OR xxhash64(k, n) < xxhash64(shiftright(pa, 1), n))
-      AND (pb = -1 OR xxhash64(k, n) < xxhash64(shiftright(pb, 1), n)) AS gone
-    FROM ({{state}})))
-GROUP BY k"""
-
-# Replace ``parent`` by what ``up`` says of it, where it says anything.
-_THROUGH = """
-SELECT g.k, coalesce(u.parent, g.parent) AS parent,
-       IF(u.k IS NULL, g.c, u.c + IF(u.r = 1, -g.c, g.c)) AS c,
-       IF(u.k IS NULL, g.r, g.r ^ u.r) AS r
-FROM {gone} g LEFT JOIN {up} u ON g.parent = u.k"""
+#: A round uses no more tasks than give each so many elements; a task's bound is the session's
+#: number of shuffle partitions, as for any other shuffle.
+TASK_ROWS = 100_000
+
+# What a row of a round's table is. An element that stays has the columns of ELEMENTS. One that is
+# gone has its parent in ``pa``, its distance from the parent's middle in ``ga`` and its direction in
+# ``pb``. Word to element ``k`` has the side in ``pa``, the new link in ``pb`` and its distance in ``gb``.
+STAYS, DONE, GONE, WORD = range(4)
+_COLUMNS = ["kind", *ELEMENTS]
+_SCHEMA = "kind int, k long, pa long, ga long, pb long, gb long, own long"
+_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ELEMENTS]])
+_MOST_OUT = 1 << 16
+
+
+def _mixed(k: np.ndarray, number: int) -> np.ndarray:
+    """A bijection of 64 bits for each round number, so ranks never tie."""
+    with np.errstate(over="ignore"):
+        x = k.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (number + 1)) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _walk(into: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Follow links that stay inside the task, from every port at once, by doubling.
+
+    ``into`` is the local port that a link comes in at, -1 where it leaves the task or is open.
+    Returns the last way out, the distance to the middle of its element, and the least element met; on a
+    ring, which has no last way out, any.
+    """
+    held = into >= 0
+    ahead = np.where(held, into ^ 1, np.arange(len(into)))
+    far = np.where(held, gap, 0)
+    least = np.arange(len(into)) >> 1
+    for _ in range(len(into).bit_length()):
+        if not held[ahead].any():
+            break
+        least = np.minimum(least, least[ahead])
+        far = far + far[ahead]
+        ahead = ahead[ahead]
+    return ahead, far, least
+
+
+def _one_round(number: int, state: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+    """Take elements out of what a task holds; the rows of the round's table."""
+    word = state["kind"] == WORD
+    told = {c: v[word] for c, v in state.items()}
+    order = np.argsort(state["k"][~word], kind="stable")
+    k, own = state["k"][~word][order], state["own"][~word][order]
+    link = np.stack([state["pa"][~word][order], state["pb"][~word][order]], 1).ravel()
+    gap = np.stack([state["ga"][~word][order], state["gb"][~word][order]], 1).ravel()
+    at = 2 * np.searchsorted(k, told["k"]) + told["pa"]
+    link[at], gap[at] = told["pb"], told["gb"]
+
+    # inside the task
+    n = len(k)
+    to = np.minimum(np.searchsorted(k, link >> 1), n - 1)
+    into = np.where((link != OPEN) & (k[to] == link >> 1), 2 * to + (link & 1), -1)
+    last, far, least = _walk(into, gap)
+    ring = (into >= 0)[last]
+    first = np.unique(least[ring])  # a ring is cut before its least element, and so has ends
+    if len(first):
+        cut = into.copy()
+        cut[2 * first], cut[into[2 * first]] = -1, -1
+        last, far, _ = _walk(cut, gap)
+    whole = np.zeros(n, bool)
+    whole[ring[0::2]] = True
+    a, b = last[0::2], last[1::2]
+    open_a, open_b = (link[a] == OPEN) | whole, (link[b] == OPEN) | whole
+    # the side on which the element is placed from: of two open ends the smaller, on a ring the first
+    on_first = np.zeros(n, bool)
+    on_first[first] = True
+    side_b = np.where(open_a & open_b, (a >> 1) > (b >> 1), open_a)
+    side_b = np.where(whole, ~(on_first[a >> 1] & (a & 1 == 0)), side_b)
+    side = side_b.astype(np.int64)
+    port = 2 * np.arange(n) + side
+    parent, facing, away = last[port] >> 1, (last[port] ^ 1) & 1, far[port]
+    stays = (parent == np.arange(n)) | (~open_a & ~open_b & (b >> 1 == np.arange(n)))
+    stays = np.where(whole, on_first, stays)
+    middle = np.flatnonzero(~stays)
+    up = parent[middle]
+    c = np.where(facing[middle] == 1, away[middle], -away[middle])
+    r = (side[middle] == facing[middle]).astype(np.int64)
+
+    # the links of what stays: unchanged out of the task, else to the other end of the run
+    held = np.flatnonzero(stays)
+    ports = np.stack([2 * held, 2 * held + 1], 1).ravel()
+    z = last[ports]
+    inner = into[ports] >= 0
+    new_link = np.where(~inner, link[ports], np.where(link[z] == OPEN, OPEN, 2 * k[z >> 1] + ((z ^ 1) & 1)))
+    new_gap = np.where(~inner, gap[ports], far[ports] + np.where(link[z] == OPEN, gap[z], 0))
+    closed = np.repeat(whole[held], 2)
+    around = np.repeat(far[2 * held + 1] + gap[2 * held], 2)
+    new_link = np.where(closed, 2 * k[ports >> 1] + (1 - (ports & 1)), new_link)
+    new_gap = np.where(closed, around, new_gap)
+    la, lb, ga, gb = new_link[0::2], new_link[1::2], new_gap[0::2], new_gap[1::2]
+    me = k[held]
+
+    # between tasks
+    done = ((la == OPEN) & (lb == OPEN)) | ((la != OPEN) & (la >> 1 == me))
+    rank = _mixed(me, number)
+    low = ~done & ((la == OPEN) | (rank < _mixed(la >> 1, number))) & ((lb == OPEN) | (rank < _mixed(lb >> 1, number)))
+    by_a = la != OPEN
+    to_port, reach = np.where(by_a, la, lb), np.where(by_a, ga, gb)
+    low_c = np.where(to_port & 1 == 1, reach, -reach)
+    low_r = ((to_port & 1) == np.where(by_a, 0, 1)).astype(np.int64)
+
+    # what hung on an element that goes as well hangs on that one's neighbour
+    where = np.searchsorted(held, up)
+    moved = low[where]
+    up_k = np.where(moved, to_port[where] >> 1, k[up])
+    c = np.where(moved, low_c[where] + np.where(low_r[where] == 1, -c, c), c)
+    r = np.where(moved, r ^ low_r[where], r)
+
+    zero = lambda x: np.zeros(len(x), np.int64)
+    rows = lambda kind, *columns: dict(zip(_COLUMNS, [np.full(len(columns[0]), kind, np.int32), *columns], strict=True))
+    for kind, these in ((STAYS, ~done & ~low), (DONE, done)):
+        yield rows(kind, me[these], la[these], ga[these], lb[these], gb[these], own[held][these])
+    yield rows(GONE, k[middle], up_k, c, r, zero(middle), zero(middle))
+    yield rows(GONE, me[low], to_port[low] >> 1, low_c[low], low_r[low], zero(me[low]), zero(me[low]))
+    for here, other in ((la, lb), (lb, la)):
+        says = low & (here != OPEN)
+        yield rows(WORD, here[says] >> 1, here[says] & 1, zero(me[says]), other[says], (ga + gb)[says], zero(me[says]))
+
+
+def _contract(number: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    full = [b for b in batches if b.num_rows]
+    if not full:
+        return
+    held = pa.Table.from_batches(full)
+    state = {c: held.column(c).to_numpy() for c in _COLUMNS}
+    for rows in _one_round(number, state):
+        for at in range(0, len(rows["k"]), _MOST_OUT):
+            yield pa.record_batch([rows[c][at:at + _MOST_OUT] for c in _COLUMNS], schema=_ARROW)
 
 
 # The place of a removed element, from that of its parent, and what is known of the chain.
 _PLACE = """
 SELECT g.k, u.chain, u.closed, u.before, u.after, u.own,
-       u.c + IF(u.r = 1, -g.c, g.c) AS c, g.r ^ u.r AS r
-FROM {gone} g JOIN {up} u ON g.parent = u.k"""
+       u.c + IF(u.r = 1, -g.ga, g.ga) AS c, cast(g.pb AS int) ^ u.r AS r
+FROM {gone} g JOIN {up} u ON g.pa = u.k"""
 
 
-def rank_chains(elements: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Contract ``ELEMENTS`` rows; return ``(places, chains)``.
+def rank_chains(elements: DataFrame, scratch: Scratch, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Contract ``ELEMENTS`` rows; return ``(places, chains)``. ``rows`` is their number, if it is known.
 
     ``places(k, chain, closed, before, after, own, c, r)``: the chain is named by one of its elements;
     ``c`` is the doubled distance from that element's middle, ``r`` is 1 where ``k`` runs against it.
@@ -91,32 +185,29 @@ def rank_chains(elements: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     element's middle to both ends, the whole length for a ring; ``own`` is the naming element's length.
     """
     spark = scratch.spark
-    state = elements.selectExpr(
-        *ELEMENTS, "cast(null as long) AS parent", "cast(null as long) AS c", "cast(null as int) AS r", "0 AS n"
-    )
-    batches: list[DataFrame] = []
-    text = reduce(lambda inner, _: _ROUND.replace("{state}", inner), range(ROUNDS_IN_JOB), "SELECT * FROM {state}")
-    active = None
-    while active is None or active > 0:
-        saved, seen = scratch.save(spark.sql(text, state=state), "contract", active=F.expr(f"count_if({_ACTIVE})"))
-        batches.append(saved)
-        active = seen["active"]
-        state = saved.filter(_ACTIVE)
-
-    done = reduce(DataFrame.unionByName, [b.filter(f"parent IS NULL AND {_DONE}") for b in batches])
-    done = scratch.save(done.selectExpr(
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    state = elements.selectExpr(f"{STAYS} AS kind", *ELEMENTS)
+    left = state.count() if rows is None else rows
+    rounds: list[DataFrame] = []
+    while left > 0 or not rounds:
+        tasks = max(1, min(most, -(-left // TASK_ROWS)))
+        number = len(rounds)
+        saved, seen = scratch.save(
+            state.repartition(tasks, "k").mapInArrow(partial(_contract, number), _SCHEMA), "contract",
+            left=F.count_if(F.col("kind").isin(STAYS, WORD)))
+        rounds.append(saved)
+        left = seen["left"]
+        state = saved.filter(F.col("kind").isin(STAYS, WORD))
+
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    done = scratch.save(union([t.filter(F.col("kind") == DONE) for t in rounds]).selectExpr(
         "k", "k AS chain", "pa <> -1 AS closed", "ga AS before", "gb AS after", "own", "cast(0 AS long) AS c", "0 AS r"), "chains")
     parts = [done]
-    for batch in reversed(batches):
-        gone = batch.filter("parent IS NOT NULL").select("k", "parent", "c", "r")
-        steps = ROUNDS_IN_JOB
-        while steps > 1:  # inside a job a removed element may point to one removed after it
-            gone = spark.sql(_THROUGH, gone=gone, up=gone)
-            steps = (steps + 1) // 2
-        later = reduce(DataFrame.unionByName, parts)
-        parts.append(scratch.save(spark.sql(_PLACE, gone=gone, up=later), "places"))
-    scratch.drop(*batches)
-    return reduce(DataFrame.unionByName, parts), done.select("chain", "closed", "before", "after")
+    for table in reversed(rounds):
+        placed = spark.sql(_PLACE, gone=table.filter(F.col("kind") == GONE), up=union(parts))
+        parts.append(scratch.save(placed, "places"))
+    scratch.drop(*rounds)
+    return union(parts), done.select("chain", "closed", "before", "after")
 
 
 def start_of(length: Column | str) -> Column:
