@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphtrails.llm import decontam, fingerprints, hosts, jaccard, lines, packing, pages, quality, substrings, tokens
+from graphtrails.llm import decontam, fingerprints, hosts, jaccard, lines, packing, pages, periodic, quality, substrings, tokens, toxicity, tries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def queries() -> dict[str, Query]:
         "op8_token_output": _documents(tokens.token_digests),
         "op9_jaccard_join": _documents(jaccard.jaccard_classes),
         "op10_packing": _documents(packing.packing_report),
+        "op11_toxicity": lambda spark, folder: toxicity.toxicity_scores(
+            table(spark, folder, "documents"), table(spark, folder, "labels")),
+        "op12_conversation_trie": lambda spark, folder: tries.rebuilt_trie(table(spark, folder, "conversations")),
+        "op13_periodic_runs": _documents(periodic.run_report),
     }
 
 
@@ -128,9 +132,48 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, documents.doc
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+# A checksum of a decimal number's digits, bit by bit: a digit is taken in, then eight marks of -1 shift it out.
+_CONVERSATION_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, n, c - c % 20 AS b, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+    lambda x: list_concat([CAST(ascii(x) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c)
+), lead AS (
+  SELECT convs.c, convs.b, convs.h, least(convs.h, coalesce(k.n, 0)) AS lead FROM convs LEFT JOIN convs k ON k.c = convs.b
+), built AS (
+  SELECT lead.c, pos, role, text FROM lead JOIN turns ON turns.c = lead.b WHERE pos < lead
+  UNION ALL
+  SELECT lead.c, pos - h + lead, role, text FROM lead JOIN turns ON turns.c = lead.c WHERE pos >= h
+), prefixes AS (
+  SELECT c, pos + 1 AS depth, text, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY pos)) AS id FROM built
+), named AS (
+  SELECT *, lag(id, 1, '') OVER (PARTITION BY c ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY c) AS last FROM prefixes
+  UNION ALL
+  SELECT lead.c, 0, '', '', NULL, NOT EXISTS (SELECT 1 FROM built WHERE built.c = lead.c) FROM lead
+), nodes AS (
+  SELECT id, min(c) AS conv_id, max(depth) AS depth, max(up) AS up, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(max(text), '[^\x20\x09-\x0D]+')) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM named GROUP BY id
+), kids AS (
+  SELECT up AS id, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), below AS (
+  SELECT named.id, sum(saved) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM nodes JOIN named ON named.c = nodes.conv_id AND named.depth <= nodes.depth LEFT JOIN kids ON kids.id = nodes.id GROUP BY named.id
+)
+SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, nodes.n_convs, coalesce(kids.n, 0) AS n_children,
+       below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN below ON below.id = nodes.id LEFT JOIN kids ON kids.id = nodes.id LEFT JOIN nodes up ON up.id = nodes.up
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_conversation_trie": _CONVERSATION_TRIE,
         "op2_decontamination": _DECONTAMINATION,
         "op3_line_dedup": _LINE_DEDUP,
         "op4_substring_dedup": _SUBSTRING_DEDUP,
