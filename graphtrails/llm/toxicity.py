@@ -43,6 +43,8 @@ _MARK = 1
 #: Both offsets of a subsequence's later symbols from its first.
 _OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 _LOWEST = -4.0
+#: Example strings whose subsequences are held as a matrix at once.
+_PART = 256
 
 
 def _symbol_table() -> np.ndarray:
@@ -223,7 +225,8 @@ def fit(toxic: dict[str, int], plain: dict[str, int], landmarks: int = LANDMARKS
     use = values > 1e-4 * max(values.max(), 1e-9)
     white = vectors[:, use] / np.sqrt(values[use])
     basis = profile.T.astype(float) @ white
-    x = np.concatenate([_profiles(list(part), known)[0] @ basis for part in (toxic, plain)])
+    every = [*toxic, *plain]
+    x = np.concatenate([_profiles(every[at:at + _PART], known)[0] @ basis for at in range(0, len(every), _PART)])
     y = np.concatenate([np.ones(len(toxic)), -np.ones(len(plain))])
     weight = np.sqrt(np.maximum([*toxic.values(), *plain.values()], 1))
     for kind in (1, -1):  # both kinds weigh the same
