@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +90,13 @@ class Transform:
         return np.ascontiguousarray(y.transpose(0, 2, 1)).reshape(m, self.n)
 
 
-_transform = cache(Transform)
+_transforms: dict[int, Transform] = {}
+
+
+def _transform(n: int) -> Transform:
+    if n not in _transforms:
+        _transforms[n] = Transform(n)
+    return _transforms[n]
 
 
 def _take(values: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
