@@ -30,6 +30,8 @@ from graphtrails.scratch import Scratch
 GROUP, MOST_SHARED = 20, 4
 #: Ids that one piece of text names at most.
 PIECE_IDS = 20_000
+#: Turns of one conversation whose hashes are joined in one window.
+BLOCK = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,36 +71,38 @@ def rebuilt_turns(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFr
     return own.unionByName(lent), base.select("c", (F.col("lead") + F.col("own")).alias("n"))
 
 
-def _sums_before(rows: DataFrame, place: str, total: int, values: list[str], scratch: Scratch) -> DataFrame:
-    """Add ``_x`` for each value ``x``: its exclusive-or (for hashes) or sum over all rows of a lower ``place``.
+def prefixes(turns: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(c, depth, fa, fb, pa, pb, words, ends)``: the names of every prefix and of the one before it; ``ends`` where it is the whole.
 
-    Places are whole numbers from 0 without gaps, so partitions of equal length follow from ``total``.
+    Hashes are joined inside blocks of ``BLOCK`` turns first, then over a conversation's blocks.
     """
-    tasks = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total))
-    held = rows.withColumn("_p", F.expr(f"({place} * {tasks}L) div {max(total, 1)}L").cast("int"))
-    fold = lambda v: F.bit_xor(v) if v.startswith("x") else F.sum(v)
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    parts = held.groupBy("_p").agg(*[fold(v).alias(v) for v in values]).select(
-        "_p", *[F.coalesce(fold(v).over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values])
-    inside = Window.partitionBy("_p").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    join = lambda v: F.col(f"_in_{v}").bitwiseXOR(F.col(f"_base_{v}")) if v.startswith("x") else F.col(f"_in_{v}") + F.col(f"_base_{v}")
-    return (
-        held.withColumns({f"_in_{v}": F.coalesce(fold(v).over(inside), F.lit(0)) for v in values})
-        .join(F.broadcast(scratch.save(parts, "parts")), "_p")
-        .withColumns({f"_{v}": join(v) for v in values})
-        .drop("_p", *[f"_in_{v}" for v in values], *[f"_base_{v}" for v in values])
-    )
-
-
-def prefixes(turns: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(c, depth, fa, fb, pa, pb, words, ends)``: the names of every prefix and of the one before it; ``ends`` where it is the whole."""
-    ranked, seen = scratch.save(dense_rank(turns, [F.col("c"), F.col("pos")], "at", scratch, start=0), "rebuilt", n=F.count(F.lit(1)))
-    hashed = ranked.select(
-        "c", "pos", "words", "at", F.xxhash64("ta", "tb", "pos").alias("xa"), F.xxhash64("pos", "tb", F.lit(7), "ta").alias("xb"))
-    summed = scratch.save(_sums_before(hashed, "at", seen["n"], ["xa", "xb"], scratch), "sums")
-    start = summed.filter("pos = 0").select("c", F.col("_xa").alias("_sa"), F.col("_xb").alias("_sb"))
-    return summed.join(start, "c").join(convs, "c").selectExpr(
-        "c", "pos + 1 AS depth", "_xa ^ xa ^ _sa AS fa", "_xb ^ xb ^ _sb AS fb", "_xa ^ _sa AS pa", "_xb ^ _sb AS pb", "words", "pos + 1 = n AS ends")
+    block = Window.partitionBy("c", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    hashed = turns.select(
+        "c", "pos", "words", F.expr(f"pos div {BLOCK}").alias("block"),
+        F.xxhash64("ta", "tb", "pos").alias("xa"), F.xxhash64("pos", "tb", F.lit(7), "ta").alias("xb"))
+    inside = scratch.save(hashed.withColumn("_a", F.bit_xor("xa").over(block)).withColumn("_b", F.bit_xor("xb").over(block)), "inside")
+    earlier = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    whole = inside.filter(f"pos % {BLOCK} = {BLOCK} - 1").select("c", "block", "_a", "_b")  # a full block's last turn
+    whole = scratch.save(whole.select(
+        "c", (F.col("block") + 1).alias("block"), F.bit_xor("_a").over(earlier).alias("_ba"), F.bit_xor("_b").over(earlier).alias("_bb")), "blocks")
+    named = inside.join(whole, ["c", "block"], "left").join(convs, "c").withColumn(
+        "fa", F.expr("_a ^ coalesce(_ba, 0L)")).withColumn("fb", F.expr("_b ^ coalesce(_bb, 0L)"))
+    return named.selectExpr("c", "pos + 1 AS depth", "fa", "fb", "fa ^ xa AS pa", "fb ^ xb AS pb", "words", "pos + 1 = n AS ends")
+
+
+def _running(rows: DataFrame, total: int, values: list[str], scratch: Scratch) -> DataFrame:
+    """Add ``_x`` for each value ``x``: its sum over all rows with a lower ``at``.
+
+    ``at`` has all whole numbers below ``total``, so parts of equal length follow from it.
+    """
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total))
+    held = rows.withColumn("_p", F.expr(f"(at * {parts}L) div {max(total, 1)}L").cast("int"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    bases = scratch.save(held.groupBy("_p").agg(*[F.sum(v).alias(v) for v in values]).select(
+        "_p", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_base_{v}") for v in values]), "bases")
+    inside = Window.partitionBy("_p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumns({f"_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(F.broadcast(bases), "_p").withColumns(
+        {f"_{v}": F.col(f"_{v}") + F.col(f"_base_{v}") for v in values})
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +185,11 @@ def trie_nodes(turns: DataFrame, convs: DataFrame, scratch: Scratch | None = Non
     # children of one parent get numbers in a row; the root, without a parent, comes first
     order = [F.col("pa").asc_nulls_first(), F.col("pb").asc_nulls_first(), F.col("conv_id")]
     nodes, seen = scratch.save(dense_rank(nodes.unionByName(root), order, "v", scratch, start=0), "nodes", n=F.count(F.lit(1)))
-    kids = scratch.save(nodes.filter("pa IS NOT NULL").groupBy("pa", "pb").agg(
-        F.min("v").alias("first"), F.count(F.lit(1)).alias("n_children")).withColumnsRenamed({"pa": "fa", "pb": "fb"}), "kids")
-    held = scratch.save(nodes.join(kids, ["fa", "fb"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "held")
+    kids = nodes.filter("pa IS NOT NULL").groupBy(F.col("pa").alias("fa"), F.col("pb").alias("fb")).agg(
+        F.min("v").alias("first"), F.count(F.lit(1)).alias("n_children"))
+    last = each.filter("ends").select("fa", "fb", "c").unionByName(convs.filter("n = 0").selectExpr("0L AS fa", "0L AS fb", "c"))
+    held = nodes.join(kids, ["fa", "fb"], "left").join(end_digests(last), ["fa", "fb"], "left")
+    held = scratch.save(held.withColumn("n_children", F.coalesce("n_children", F.lit(0))), "held")
     above = held.filter("n_children > 0").selectExpr(
         "fa AS pa", "fb AS pb", "v AS up", "conv_id AS parent_conv_id", "first AS up_first", "n_children AS up_children")
     held = scratch.save(held.join(above, ["pa", "pb"], "left"), "tree")
@@ -195,18 +201,21 @@ def trie_nodes(turns: DataFrame, convs: DataFrame, scratch: Scratch | None = Non
         "k", link("last", 1).alias("pa"), gap("last").alias("ga"), link("next", 0).alias("pb"), gap("next").alias("gb"),
         F.lit(1).cast("long").alias("own"))
     places, _ = rank_chains(elements, scratch, 2 * seen["n"])
-    tour = places.select("k", start_of(F.lit(1)).alias("at"))
-    worth = held.select((2 * F.col("v")).alias("k"), F.expr("IF(n_children = 0, 1L, 0L) AS leaves"), F.expr("(n_convs - 1) * words AS saved"))
-    weighed = tour.join(worth, "k", "left").select(
-        "k", "at", F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce("saved", F.lit(0)).alias("saved"))
-    sums = _sums_before(weighed, "at", 2 * seen["n"], ["leaves", "saved"], scratch)
-    over = lambda s: (F.max(F.when(F.col("k") % 2 == 1, F.col(s))) - F.max(F.when(F.col("k") % 2 == 0, F.col(s))))
-    below = sums.groupBy(F.shiftright("k", 1).alias("v")).agg(over("_leaves").alias("n_leaves"), over("_saved").alias("saved_tokens"))
-
-    last = each.filter("ends").select("fa", "fb", "c").unionByName(convs.filter("n = 0").selectExpr("0L AS fa", "0L AS fb", "c"))
-    return held.join(below, "v").join(end_digests(last), ["fa", "fb"], "left").select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
-        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+    ends = places.select(F.shiftright("k", 1).alias("v"), (F.col("k") % 2).alias("out"), start_of(F.lit(1)).alias("at")).groupBy("v").agg(
+        F.max(F.expr("IF(out = 0, at, null)")).alias("enter"), F.max(F.expr("IF(out = 1, at, null)")).alias("leave"))
+    # a node's columns travel with its enter arc; the exit arc only carries the place
+    facts = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children"]
+    along = scratch.save(held.join(ends, "v").selectExpr(
+        "v", *facts, "coalesce(sha, sha2('', 256)) AS ends_sha256", "enter", "leave",
+        "IF(n_children = 0, 1L, 0L) AS leaves", "(n_convs - 1) * words AS saved"), "along")
+    facts = [*facts, "ends_sha256"]
+    points = along.withColumnRenamed("enter", "at").drop("leave").withColumn("out", F.lit(0)).unionByName(
+        along.selectExpr("v", "leave AS at", "1 AS out", "0L AS leaves", "0L AS saved"), allowMissingColumns=True)
+    sums = _running(points, 2 * seen["n"], ["leaves", "saved"], scratch)
+    return sums.groupBy("v").agg(
+        *[F.max(c).alias(c) for c in facts],
+        *[F.sum(F.expr(f"IF(out = 1, _{v}, -_{v})")).alias(n) for v, n in (("leaves", "n_leaves"), ("saved", "saved_tokens"))]
+    ).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
