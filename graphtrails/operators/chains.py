@@ -193,7 +193,8 @@ def rank_chains(elements: DataFrame, scratch: Scratch, rows: int | None = None)
         tasks = max(1, min(most, -(-left // TASK_ROWS)))
         number = len(rounds)
         saved, seen = scratch.save(
-            state.repartition(tasks, "k").mapInArrow(partial(_contract, number), _SCHEMA), "contract",
+            # coalesce: where a session's settings raise the number of partitions, tasks still hold their fill
+            state.repartition(tasks, "k").coalesce(tasks).mapInArrow(partial(_contract, number), _SCHEMA), "contract",
             left=F.count_if(F.col("kind").isin(STAYS, WORD)))
         rounds.append(saved)
         left = seen["left"]
