@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphtrails.functions.graph import first_dart
-from graphtrails.operators.chains import OPEN, rank_chains, start_of
+from graphtrails.operators.chains import OPEN, chain_length, rank_chains, start_of
 from graphtrails.operators.hooks import climb, hook_round, relabel
 from graphtrails.operators.pairing import pair_darts
+from graphtrails.operators.ranks import dense_rank
 from graphtrails.operators.skew import GROUP_ROWS, hot_groups
 from graphtrails.operators.tables import bidirect, degrees
 from graphtrails.scratch import Scratch
@@ -176,35 +177,86 @@ def euler_circuit(
 
 
 def circuit_of_links(links: DataFrame, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Rank the closed trails that ``links(k, u, v, pa, pb)`` give, splice them, and rank again."""
+    """Rank the closed trails that ``links(k, u, v, pa, pb)`` give, splice them, and put their segments in order."""
     places = _rank_edges(links, scratch)
     back = F.col("r") == 1
     dart = first_dart("k")
-    passages = links.join(places, "k").select(
-        F.when(back, F.col("u")).otherwise(F.col("v")).alias("place"),
-        F.col("chain").alias("obj"),
+    steps = scratch.save(links.join(places, "k").select(
+        "chain", start_of(F.lit(1)).alias("seq"), chain_length().alias("total"), F.col("k").alias("eid"),
+        F.when(back, F.col("v")).otherwise(F.col("u")).alias("from_vid"),
+        F.when(back, F.col("u")).otherwise(F.col("v")).alias("to_vid"),
         (dart + F.when(back, 0).otherwise(1)).alias("arr"),
         F.when(back, F.col("pa")).otherwise(F.col("pb")).alias("out"),
-    )
+    ), "ranked")
+    passages = steps.select(F.col("to_vid").alias("place"), F.col("chain").alias("obj"), "arr", "out")
     changes = _merge_trails(passages, group_rows, scratch)
-    if changes is not None:
-        mates = changes.select(F.inline(F.array(
-            F.struct(F.col("arr").alias("dart"), F.col("out").alias("mate")),
-            F.struct(F.col("out").alias("dart"), F.col("arr").alias("mate")),
-        )))
-        mates = mates.groupBy(F.shiftright("dart", 1).alias("k")).agg(
-            F.max(F.when(F.col("dart") % 2 == 0, F.col("mate"))).alias("na"),
-            F.max(F.when(F.col("dart") % 2 == 1, F.col("mate"))).alias("nb"),
-        )
-        links = scratch.save(
-            links.join(mates, "k", "left").select(
-                "k", "u", "v", F.coalesce("na", "pa").alias("pa"), F.coalesce("nb", "pb").alias("pb")
-            ),
-            "spliced",
-        )
-        places = _rank_edges(links, scratch)
-    return (
-        _steps(links, places)
-        .withColumnRenamed("chain", "component")
-        .drop("closed")
-    )
+    if changes is None:
+        return steps.select(F.col("chain").alias("component"), "seq", "eid", "from_vid", "to_vid")
+    cuts = steps.join(changes.withColumnRenamed("out", "new_out"), "arr").select("chain", "seq", "total", "eid", "out", "new_out")
+    return _moved(steps, _segments(cuts, scratch))
+
+
+_SEGMENTS = """
+SELECT c.chain, c.total, c.out AS first_out, coalesce(n.i, f.first_i) AS seg,
+       (c.seq + 1) % c.total AS start, IF(n.i IS NULL, f.first_seq + c.total, n.seq) - c.seq AS len
+FROM {cuts} c LEFT JOIN {cuts} n ON n.i = c.i + 1 AND n.chain = c.chain
+JOIN (SELECT chain, min(i) AS first_i, min(seq) AS first_seq FROM {cuts} GROUP BY chain) f ON f.chain = c.chain"""
+
+_SEGMENT_LINKS = """
+SELECT c.i, s.seg AS after, l.len + s.len AS gap
+FROM {cuts} c JOIN {segments} s ON s.first_out = c.new_out JOIN {segments} l ON l.seg = c.i"""
+
+_SEGMENT_ELEMENTS = """
+SELECT k, max(pa) AS pa, max(ga) AS ga, max(pb) AS pb, max(gb) AS gb, max(own) AS own FROM (
+  SELECT i AS k, null AS pa, null AS ga, 2 * after AS pb, gap AS gb, null AS own FROM {links} UNION ALL
+  SELECT after, 2 * i + 1, gap, null, null, null FROM {links} UNION ALL
+  SELECT seg, null, null, null, null, len FROM {segments})
+GROUP BY k"""
+
+# Where the places of a trail move to, from ``lo`` to below ``hi``; the segment over the trail's end has two ranges.
+_SHIFTS = """
+SELECT chain, component, inline(filter(array(
+  named_struct('lo', start, 'hi', least(start + len, total), 'shift', at - start),
+  named_struct('lo', 0L, 'hi', start + len - total, 'shift', at - start + total)), x -> x.lo < x.hi))
+FROM {placed}"""
+
+
+def _segments(cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(chain, component, lo, hi, shift)``: how the stretches between changed links are placed in the circuits.
+
+    ``cuts(chain, seq, total, eid, out, new_out)`` are the steps whose way out changed, from the dart ``out`` to ``new_out``. A
+    segment runs from one cut of its trail to the next and is named by the number of the cut at its end. Only segments are ranked.
+    """
+    spark = scratch.spark
+    cuts, seen = scratch.save(
+        dense_rank(cuts, [F.col("chain"), F.col("seq")], "i", scratch, start=0), "cuts", n=F.count(F.lit(1)))
+    segments = scratch.save(spark.sql(_SEGMENTS, cuts=cuts), "segments")
+    linked = scratch.save(spark.sql(_SEGMENT_LINKS, cuts=cuts, segments=segments), "segment-links")
+    places, _ = rank_chains(spark.sql(_SEGMENT_ELEMENTS, links=linked, segments=segments), scratch, seen["n"])
+    named = cuts.select(F.col("i").alias("_name"), F.col("eid").alias("component"))
+    placed = places.withColumnRenamed("chain", "_name").join(named, "_name").join(
+        segments.withColumnRenamed("seg", "k"), "k").select("chain", "component", "start", "len", "total", start_of("len").alias("at"))
+    return scratch.save(spark.sql(_SHIFTS, placed=placed), "shifts")
+
+
+#: Steps of a trail that are placed in one window.
+BLOCK_STEPS = 1 << 16
+
+
+def _moved(steps: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Steps at their places in the circuits: each takes the shift of the last range that begins at or before it.
+
+    A range is repeated in every block of steps that it goes on into, so blocks are placed independently.
+    """
+    block = lambda c: F.expr(f"{c} div {BLOCK_STEPS}")
+    begins = shifts.select(
+        "chain", F.explode(F.sequence(block("lo"), block("(hi - 1)"))).alias("_b"), "lo", "shift", "component"
+    ).select("chain", "_b", F.greatest("lo", F.col("_b") * BLOCK_STEPS).alias("seq"), "shift", "component", F.lit(0).alias("_step"))
+    rows = steps.select("chain", block("seq").alias("_b"), "seq", "eid", "from_vid", "to_vid", F.lit(1).alias("_step")).unionByName(
+        begins, allowMissingColumns=True)
+    upto = Window.partitionBy("chain", "_b").orderBy("seq", "_step").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    return rows.select(
+        F.coalesce(last("component"), "chain").alias("component"), (F.col("seq") + F.coalesce(last("shift"), F.lit(0))).alias("seq"),
+        "eid", "from_vid", "to_vid", "_step",
+    ).filter("_step = 1").drop("_step")

@@ -126,7 +126,7 @@ def partition_tour(
         pair_darts(bidirect(edges), scratch, group_rows)
         .withColumn("link", F.greatest("level", "mate_level"))
         .drop("mate_level"),
-        "darts",
+        "darts", by="level",
     )
     loops, steps, every_end, carried = [], [], [], None
     for level in range(height + 1):
@@ -136,9 +136,15 @@ def partition_tour(
         )
         if carried is not None:
             ends = ends.unionByName(carried)
-        linked = spark.sql(_LINKED, ends=ends, level=level)
+        # what no link of this level reaches stays as it is, and isn't ranked
+        reached = ends.join(ends.filter(F.col("link") == level).select("k").distinct(), "k", "left_semi")
+        linked = spark.sql(_LINKED, ends=reached, level=level)
         bodies = scratch.save(spark.sql(_BODIES, ends=ends), "bodies")
         places, chains = rank_chains(spark.sql(_ELEMENTS, linked=linked), scratch)
+        idle = bodies.join(reached.select("k").distinct(), "k", "left_anti").selectExpr(
+            "k", "k AS chain", "false AS closed", "len AS before", "len AS after", "len AS own", "cast(0 AS long) AS c", "0 AS r")
+        places = places.unionByName(idle)
+        chains = chains.unionByName(idle.select("chain", "closed", "before", "after"))
         root = roots.filter(F.col("level") == level).select("part", "root")
         chains = scratch.save(
             chains.join(bodies.selectExpr("k AS chain", "part"), "chain")

@@ -49,8 +49,11 @@ class Scratch:
             cls._by_app[app] = cls(spark)
         return cls._by_app[app]
 
-    def save(self, df: DataFrame, name: str, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
-        """Write ``df`` and read it back; ``metrics`` are aggregates observed during the same write."""
+    def save(self, df: DataFrame, name: str, by: str | None = None, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
+        """Write ``df`` and read it back; ``metrics`` are aggregates observed during the same write.
+
+        With ``by`` the table has a folder for each value of that column, so a filter on it reads only these.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
         watch = None
@@ -58,8 +61,10 @@ class Scratch:
         if metrics:
             watch = Observation()
             out = df.observe(watch, *[c.alias(n) for n, c in metrics.items()])
-        out.write.parquet(path)
+        (out.write.partitionBy(by) if by else out.write).parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
+        if by:
+            saved = saved.select(df.columns)
         saved._scratch_path = path
         return (saved, {k: v or 0 for k, v in watch.get.items()}) if metrics else saved
 
