@@ -1,16 +1,22 @@
-"""Binary formats: streaming decoders over file lists, and a sink with atomic commit.
+"""Binary formats: readers by byte range over an index of record starts, and a sink that commits by manifest.
 
-Records have variable length and no sync mark, so one file is read by one task, as a stream; the sink
-keeps files at task size. Fixed records (vertex maps) are read by byte range.
+Records have variable length and no sync mark. A pass over the heads alone finds a record start every
+``RANGE_BYTES`` of a longer file, and cuts the list of a longer record; the ranges are then decoded apart, as
+arrays. Fixed records (vertex maps) are read by byte range at once.
+
+The sink deals rows to files by the running sum of their bytes, so a vertex with very many neighbours fills several
+files. A file whose first record goes on with a vertex says so in its name: ``-c<records before>x<longest list>``.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +26,16 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from graphtrails.functions.graph import PART_SHIFT, VERTEX_MASK, pack_remote
-from graphtrails.operators.skew import GROUP_ROWS, with_salt
+from graphtrails.operators.ranks import prefix_sum
+from graphtrails.operators.skew import GROUP_ROWS
+from graphtrails.scratch import Scratch
 from graphtrails.sources.text import remote_map
 
-BATCH_VALUES = 1 << 17
 RANGE_BYTES = 64 << 20
 MAP_RECORD = 16
-
-_LONGS = pa.list_(pa.int64())
-_ADJ = pa.schema([("vid", pa.int64()), ("chunk", pa.int32()), ("nbrs", _LONGS)])
-_PACKED = pa.schema(
-    [("part", pa.int32()), ("vid", pa.int64()), ("chunk", pa.int32()), ("local", _LONGS), ("packed", _LONGS)]
-)
-
+#: Bytes read ahead while heads are looked for.
+_AHEAD = 1 << 20
+_GOES_ON = re.compile(r"-c(\d+)x(\d+)\.bin$")
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:") and not path.startswith("file://"):
@@ -40,111 +43,213 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+MANIFEST = "_manifest"
+_MANIFEST_SCHEMA = "file string, vertices long, edges long, bytes long"
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """Paths and lengths of the files that ``path`` names, whatever they are called, but for those that
-    start with ``_`` or ``.``; none is an error. The content column is pruned from the scan."""
+    start with ``_`` or ``.``; none is an error. In a folder with a manifest only the files it names count.
+    The content column is pruned from the scan."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
+    listed = f"{path.rstrip('/')}/{MANIFEST}/files.csv"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(listed)
+    if "*" not in path and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        named = spark.read.schema(_MANIFEST_SCHEMA).csv(listed).select(F.col("file").alias("_file"))
+        files = files.withColumn("_file", F.element_at(F.split("path", "/"), -1)).join(named, "_file", "left_semi").drop("_file")
     if files.isEmpty():
         raise ValueError(f"no files to read at {path}")
     return files
 
 
-def _exactly(stream, size: int) -> bytes:
-    data = stream.read(size)
-    if len(data) != size:
-        raise ValueError(f"file ends inside a record: {size} bytes wanted, {len(data)} found")
-    return data
-
-
-def _values(stream, count: int, piece: int) -> Iterator[np.ndarray]:
-    while count > 0:
-        n = min(count, piece)
-        yield np.frombuffer(_exactly(stream, 8 * n), ">i8").astype("int64")
-        count -= n
-
-
-def _adjacency_rows(stream, piece: int) -> Iterator[tuple]:
-    last, chunk = None, 0
-    while head := stream.read(4):
-        degree = int.from_bytes(head, "big") - 1
-        vid = int.from_bytes(_exactly(stream, 8), "big", signed=True)
-        if vid != last:  # records of one vertex in a row are parts of its list
-            last, chunk = vid, 0
-        for nbrs in _values(stream, degree, piece) if degree else [np.empty(0, "int64")]:
-            yield vid, chunk, nbrs
-            chunk += 1
-
-
-def _partitioned_rows(stream, piece: int) -> Iterator[tuple]:
-    none, last, after = np.empty(0, "int64"), None, 0
-    while head := stream.read(1):
-        part = int.from_bytes(head, "big", signed=True)
-        vid = int.from_bytes(_exactly(stream, 8), "big", signed=True)
-        begin = after if vid == last else 0  # records of one vertex in a row are parts of its lists
-        last, chunk, near = vid, begin, none
-        for values in _values(stream, int.from_bytes(_exactly(stream, 4), "big"), piece):
-            if len(near):
-                yield part, vid, chunk, near, none
-                chunk += 1
-            near = values
-        for far in _values(stream, int.from_bytes(_exactly(stream, 4), "big"), piece):
-            yield part, vid, chunk, near, far
-            near, chunk = none, chunk + 1
-        if len(near) or chunk == begin:
-            yield part, vid, chunk, near, none
-            chunk += 1
-        after = chunk
-
-
-def _decode(rows_of, schema: pa.Schema, piece: int):
+def _longs_of(data: bytes, at: int, count: int = 1) -> np.ndarray:
+    return np.frombuffer(data, ">i8", count, at)
+
+
+class _Heads:
+    """The heads of a file's records, read with little else of it."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.held = file, size, 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        if at + n > self.size:
+            raise ValueError(f"file ends inside a record: {n} bytes wanted at {at} of {self.size}")
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.file.seek(at)
+            self.at, self.held = at, self.file.read(max(n, min(_AHEAD, self.size - at)))
+        return self.held[at - self.at:at - self.at + n]
+
+    def number(self, at: int, n: int) -> int:
+        return int.from_bytes(self.bytes(at, n), "big", signed=True)
+
+
+def _adjacency_head(heads: _Heads, at: int) -> tuple[int, int, list[tuple[str, int, int]]]:
+    """Part, vertex, and ``(name, first byte, longs)`` of the lists of a record."""
+    return 0, heads.number(at + 4, 8), [("near", at + 12, heads.number(at, 4) - 1)]
+
+
+def _partitioned_head(heads: _Heads, at: int) -> tuple[int, int, list[tuple[str, int, int]]]:
+    near = heads.number(at + 9, 4)
+    far_at = at + 13 + 8 * near
+    return heads.number(at, 1), heads.number(at + 1, 8), [("near", at + 13, near), ("far", far_at + 4, heads.number(far_at, 4))]
+
+
+_HEADS = {"adjacency": _adjacency_head, "partitioned": _partitioned_head}
+_INDEX = "path string, at long, to long, part int, vid long, list string, chunk int"
+
+
+def _ranges_of(layout: str, piece: int, range_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of whole records ``(path, at, to)`` with the number ``chunk`` of the first row if ``vid`` goes on there; and of lists.
+
+    A row with ``list`` is a stretch of one list of ``vid``, whose rows are numbered from ``chunk``.
+    """
+    head = _HEADS[layout]
+    for batch in batches:
+        rows = []
+        for path, size in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True):
+            goes_on = _GOES_ON.search(path)
+            last, number = None, int(goes_on[1]) * max(1, -(-int(goes_on[2]) // piece)) if goes_on else 0
+            if size <= range_bytes:
+                rows.append((path, 0, size, None, None, None, number))
+                continue
+            system, name = _open(path)
+            with system.open_input_file(name) as file:
+                heads, at, begin, base = _Heads(file, size), 0, 0, (None, number)
+                while at < size:
+                    part, vid, lists = head(heads, at)
+                    end = lists[-1][1] + 8 * lists[-1][2]
+                    if end > size:
+                        raise ValueError(f"file ends inside a record: {end} bytes wanted, {size} found")
+                    if last is not None and vid != last:
+                        number = 0
+                    large = end - at > range_bytes and any(n for _, _, n in lists)
+                    if large or at - begin >= range_bytes:
+                        if at > begin:
+                            rows.append((path, begin, at, None, base[0], None, base[1]))
+                        begin, base = at, (vid, number)
+                    if large:
+                        step = 8 * piece * max(1, range_bytes // (8 * piece))
+                        for kind, first, count in lists:
+                            for a in range(first, first + 8 * count, step):
+                                b = min(a + step, first + 8 * count)
+                                rows.append((path, a, b, part, vid, kind, number))
+                                number += -(-(b - a) // (8 * piece))
+                        begin, base = end, (vid, number)
+                    else:
+                        near, far = lists[0][2], lists[-1][2] if len(lists) > 1 else 0
+                        number += int(_rows_of(np.array([near]), np.array([far]), piece)[0])
+                    at, last = end, vid
+                    if begin == at:
+                        base = (last, number)
+                if begin < size:
+                    rows.append((path, begin, size, None, base[0], None, base[1]))
+        if rows:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "at", "to", "part", "vid", "list", "chunk"])
+
+
+def _rows_of(near: np.ndarray, far: np.ndarray, piece: int) -> np.ndarray:
+    """Rows that records with lists of these lengths become; the last row of the first list holds the first of the second."""
+    a, b = -(-near // piece), -(-far // piece)
+    return np.maximum(a, 1) - 1 + np.maximum(b, 1)
+
+
+def _records(layout: str, data: bytes) -> tuple[np.ndarray, ...]:
+    """Part, vertex, lengths of both lists, and the longs of both, of whole records."""
+    raw, at, starts, lengths = np.frombuffer(data, np.uint8), 0, [], []
+    heads = _Heads(io.BytesIO(data), len(data))
+    heads.held = data
+    while at < len(data):
+        _, _, lists = _HEADS[layout](heads, at)
+        starts.append(at)
+        lengths.append([n for _, _, n in lists])
+        at = lists[-1][1] + 8 * lists[-1][2]
+    if at > len(data):
+        raise ValueError(f"file ends inside a record: {at} bytes wanted, {len(data)} found")
+    start = np.array(starts, np.int64)
+    length = np.array(lengths, np.int64).reshape(len(starts), -1)
+    near, far = length[:, 0], length[:, 1] if length.shape[1] > 1 else np.zeros(len(start), np.int64)
+    longs = np.ones(len(raw), bool)
+    lead = 12 if layout == "adjacency" else 13
+    longs[(start[:, None] + np.arange(lead)).ravel()] = False
+    if layout == "partitioned":
+        longs[((start + lead + 8 * near)[:, None] + np.arange(4)).ravel()] = False
+    values = raw[longs].view(">i8").astype(np.int64)
+    vid = raw[(start[:, None] + (4 if layout == "adjacency" else 1) + np.arange(8)).ravel()].view(">i8").astype(np.int64)
+    part = raw[start].view(np.int8).astype(np.int32) if layout == "partitioned" else np.zeros(len(start), np.int32)
+    first = np.repeat(np.tile([True, False], len(near)), np.stack([near, far], 1).ravel())
+    return part, vid, near, far, values[first], values[~first]
+
+
+def _row_batches(layout: str, piece: int, row: dict) -> Iterator[pa.RecordBatch]:
+    """The rows of one range of the index."""
+    system, name = _open(row["path"])
+    with system.open_input_file(name) as file:
+        file.seek(row["at"])
+        data = file.read(row["to"] - row["at"])
+    if row["list"]:
+        values = np.frombuffer(data, ">i8").astype(np.int64)
+        none = np.empty(0, np.int64)
+        near, far = (values, none) if row["list"] == "near" else (none, values)
+        part, vid, n, m = np.array([row["part"]], np.int32), np.array([row["vid"]]), np.array([len(near)]), np.array([len(far)])
+        begins = row["vid"]
+    else:
+        part, vid, n, m, near, far = _records(layout, data)
+        begins = row["vid"] if row["vid"] is not None else vid[0] if len(vid) else None
+    rows = _rows_of(n, m, piece)
+    of = np.repeat(np.arange(len(vid)), rows)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+    size = lambda length, number: np.where(number >= 0, np.clip(length - number * piece, 0, piece), 0)
+    near_size = size(n[of], j)
+    far_size = size(m[of], j - np.maximum(-(-n[of] // piece) - 1, 0))
+    new = np.ones(len(of), bool)  # rows of one vertex in a row are parts of its lists
+    new[1:] = vid[of][1:] != vid[of][:-1]
+    run = np.cumsum(new) - 1
+    chunk = np.arange(len(of)) - np.flatnonzero(new)[run] if len(of) else np.empty(0, np.int64)
+    if len(of) and vid[0] == begins:
+        chunk = chunk + np.where(run == 0, row["chunk"], 0)
+    lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
+    columns = {"part": pa.array(part[of], pa.int32()), "vid": pa.array(vid[of], pa.int64()), "chunk": pa.array(chunk, pa.int32()),
+               "near": lists(near_size, near), "far": lists(far_size, far)}
+    if layout == "adjacency":
+        yield pa.record_batch([columns[c] for c in ("vid", "chunk", "near")], names=["vid", "chunk", "nbrs"])
+    else:
+        yield pa.record_batch(list(columns.values()), names=["part", "vid", "chunk", "local", "packed"])
+
+
+def _read_records(spark: SparkSession, path: str, layout: str, piece: int, schema: str, range_bytes: int) -> DataFrame:
+    files = _files(spark, path).repartition("path")
+    index = Scratch.of(spark).save(files.mapInArrow(partial(_ranges_of, layout, piece, range_bytes), _INDEX), "ranges")
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"].to_pylist():
-                system, name = _open(path)
-                with system.open_input_stream(name) as raw:
-                    stream = io.BufferedReader(raw, 1 << 20)
-                    rows, size = [], 0
-                    for row in rows_of(stream, piece):
-                        rows.append(row)
-                        size += sum(len(x) for x in row if isinstance(x, np.ndarray)) + 1
-                        if size >= BATCH_VALUES:
-                            yield _batch(rows, schema)
-                            rows, size = [], 0
-                    if rows:
-                        yield _batch(rows, schema)
-
-    return decode
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = []
-    for values, field in zip(zip(*rows), schema):
-        if pa.types.is_list(field.type):
-            ends = np.cumsum([0, *map(len, values)], dtype="int32")
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values))))
-        else:
-            columns.append(pa.array(values, field.type))
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-
-def read_adjacency_binary(spark: SparkSession, path: str, list_rows: int = GROUP_ROWS) -> DataFrame:
-    """``adjacency`` from big-endian ``[degree+1 int][vid long][sink long]*``."""
-    rows = _decode(_adjacency_rows, _ADJ, list_rows)
-    return _files(spark, path).mapInArrow(rows, "vid long, chunk int, nbrs array<long>")
+            for row in batch.to_pylist():
+                yield from _row_batches(layout, piece, row)
+
+    return index.repartition("path", "at").mapInArrow(decode, schema)
+
+
+def read_adjacency_binary(
+    spark: SparkSession, path: str, list_rows: int = GROUP_ROWS, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """``adjacency`` from big-endian ``[degree+1 int][vid long][sink long]*``.
+
+    A file of more than ``range_bytes`` is read by several tasks, and so is a record of that size.
+    """
+    return _read_records(spark, path, "adjacency", list_rows, "vid long, chunk int, nbrs array<long>", range_bytes)
 
 
 def read_partitioned_binary(
-    spark: SparkSession, path: str, grouped: bool = True, list_rows: int = GROUP_ROWS
+    spark: SparkSession, path: str, grouped: bool = True, list_rows: int = GROUP_ROWS, range_bytes: int = RANGE_BYTES
 ) -> DataFrame:
     """Partitioned adjacency from ``[part byte][vid long][n int][long]*n[n int][part<<56 | vid]*n``.
 
     ``grouped`` gives remotes as a map by part, else as a list of structs ``(vid, part)``. A list
     longer than ``list_rows`` goes over several rows.
     """
-    rows = _files(spark, path).mapInArrow(
-        _decode(_partitioned_rows, _PACKED, list_rows),
-        "part int, vid long, chunk int, local array<long>, packed array<long>",
-    )
+    rows = _read_records(
+        spark, path, "partitioned", list_rows, "part int, vid long, chunk int, local array<long>, packed array<long>", range_bytes)
     remotes = F.transform(
         "packed",
         lambda x: F.struct(
@@ -256,21 +361,23 @@ _ENCODERS = {
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list  # (staged, file, vertices, edges, bytes)
+    files: list  # (file, vertices, edges, bytes)
 
 
 class _Writer(DataSourceArrowWriter):
-    """One file per task, or per ``file_key`` of a task; staged, then moved by the driver on commit."""
+    """One file per task, or per ``file_key`` of a task, in a folder and under a name of the attempt's own.
+
+    A file counts once the manifest names it: nothing is moved, and files of lost attempts are never read.
+    """
 
     def __init__(self, path: str, layout: str):
         self.path, self.layout = path.rstrip("/"), layout
-        self.stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        system, folder = _open(self.stage)
+        system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
         done, key, sink = [], None, None
         for batch in iterator:
@@ -279,14 +386,14 @@ class _Writer(DataSourceArrowWriter):
                     if sink:
                         sink.close()
                     key = name
-                    staged = f"{folder}/{name}-{attempt}"
-                    sink = system.open_output_stream(staged)
-                    done.append([staged, f"{name}.bin", 0, 0, 0])
+                    file = f"{name}-{attempt}{self._goes_on(piece)}.bin"
+                    sink = system.open_output_stream(f"{folder}/{file}")
+                    done.append([file, 0, 0, 0])
                 data, edges = _ENCODERS[self.layout](piece)
                 sink.write(data.tobytes())
-                done[-1][2] += piece.num_rows
-                done[-1][3] += edges
-                done[-1][4] += len(data)
+                done[-1][1] += piece.num_rows
+                done[-1][2] += edges
+                done[-1][3] += len(data)
         if sink:
             sink.close()
         return _Written(done)
@@ -302,26 +409,25 @@ class _Writer(DataSourceArrowWriter):
             if b > a:
                 yield str(keys[a]), batch.slice(a, b - a)
 
+    @staticmethod
+    def _goes_on(piece: pa.RecordBatch) -> str:
+        """Marks a file whose first record goes on with a vertex."""
+        before = piece["before"][0].as_py() if "before" in piece.schema.names else 0
+        return f"-c{before}x{piece['longest'][0].as_py()}" if before else ""
+
     def commit(self, messages: list) -> None:
         system, folder = _open(self.path)
         text = io.StringIO()
-        lines = csv.writer(text)
-        for message in messages:
-            for staged, name, vertices, edges, size in message.files if message else []:
-                system.move(staged, f"{folder}/{name}")
-                lines.writerow([name, vertices, edges, size])
-        system.create_dir(f"{folder}/_manifest", recursive=True)
-        with system.open_output_stream(f"{folder}/_manifest/files.csv") as out:
+        csv.writer(text).writerows(row for message in messages if message for row in message.files)
+        system.create_dir(f"{folder}/{MANIFEST}", recursive=True)
+        with system.open_output_stream(f"{folder}/{MANIFEST}/files.csv") as out:
             out.write(text.getvalue().encode())
-        self._drop_stage()
 
     def abort(self, messages: list) -> None:
-        self._drop_stage()
-
-    def _drop_stage(self) -> None:
-        system, folder = _open(self.stage)
-        if system.get_file_info(folder).type == fs.FileType.Directory:
-            system.delete_dir(folder)
+        system, folder = _open(self.path)
+        for message in messages:
+            for file, *_ in message.files if message else []:
+                system.delete_file(f"{folder}/{file}")
 
 
 class BinaryGraphSink(DataSource):
@@ -348,28 +454,51 @@ def _write(df: DataFrame, path: str, layout: str) -> DataFrame:
     _must_be_new(spark, path)
     spark.dataSource.register(BinaryGraphSink)
     df.write.format("graphtrails_binary").option("layout", layout).mode("append").save(path)
-    return spark.read.schema("file string, vertices long, edges long, bytes long").csv(
-        f"{path.rstrip('/')}/_manifest/files.csv"
-    )
+    return spark.read.schema(_MANIFEST_SCHEMA).csv(f"{path.rstrip('/')}/{MANIFEST}/files.csv")
+
+
+#: Bytes of records in one file of the sink.
+FILE_BYTES = 256 << 20
 
 
-def write_adjacency_binary(adj: DataFrame, path: str) -> DataFrame:
-    """Write one file per task into a new folder; return the manifest ``(file, vertices, edges, bytes)``.
+def _dealt(rows: DataFrame, groups: list[str], order: list[str], size, values: list[str], file_bytes: int) -> DataFrame:
+    """Add ``_file``, the number of a row's file in its group by the running sum of bytes, and what its name needs.
 
-    The format has no chunks: the rows of one vertex are records next to each other, which the reader
-    numbers again.
+    ``before`` counts the vertex's rows before it, ``longest`` is the length of its longest list.
     """
-    placed = adj.repartition("vid").sortWithinPartitions("vid", "chunk")
-    return _write(placed.select("vid", "nbrs"), path, "adjacency")
+    scratch = Scratch.of(rows.sparkSession)
+    sized = rows.withColumn("_bytes", size.cast("long"))
+    longest = F.max(F.greatest(*[F.size(v) for v in values], F.lit(0))).alias("longest")
+    keys = sized.groupBy(*groups, *order).agg(F.sum("_bytes").alias("_bytes"), longest)  # once, should a row stand twice
+    summed = scratch.save(prefix_sum(keys, [F.col(c) for c in [*groups, *order]], "_bytes", "_sum", scratch), "sums")
+    start = F.lit(0)
+    numbered = summed
+    if groups:
+        numbered, start = summed.join(F.broadcast(summed.groupBy(*groups).agg(F.min("_sum").alias("_first"))), groups), F.col("_first")
+    numbered = numbered.select(*groups, *order, ((F.col("_sum") - start) / file_bytes).cast("long").alias("_file"))
+    several = summed.filter("chunk > 0").groupBy(*groups, "vid").agg(F.max("longest").alias("longest"))
+    return rows.join(numbered, [*groups, *order]).join(several, [*groups, "vid"], "left").withColumn(
+        "longest", F.coalesce("longest", F.lit(1))).withColumn("before", F.col("chunk").cast("long"))
+
+
+def write_adjacency_binary(adj: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write files of about ``file_bytes`` into a new folder; return the manifest ``(file, vertices, edges, bytes)``.
+
+    The format has no chunks: the rows of one vertex are records next to each other, over several files if they fill
+    them, which the reader numbers again. File names sort like the vertices.
+    """
+    dealt = _dealt(adj, [], ["vid", "chunk"], 12 + 8 * F.size("nbrs"), ["nbrs"], file_bytes)
+    keyed = dealt.withColumn("file_key", F.format_string("part-%08d", "_file"))
+    placed = keyed.repartitionByRange("_file").sortWithinPartitions("_file", "vid", "chunk")
+    return _write(placed.select("file_key", "vid", "nbrs", "before", "longest"), path, "adjacency")
 
 
 def write_partitioned_binary(
-    pa_table: DataFrame, path: str, splits: int = 8, split_rows: int = 50_000_000
+    pa_table: DataFrame, path: str, splits: int = 8, file_bytes: int = FILE_BYTES
 ) -> DataFrame:
-    """Write the rows of part ``p`` to files ``split-<p % splits>-<n>.bin``; return the manifest.
+    """Write the rows of part ``p`` to files ``split-<p % splits>-<n>-...bin`` of about ``file_bytes``; return the manifest.
 
-    A split with more than ``split_rows`` vertices goes to several files, so that a large part is not
-    one task's work. Parts must fit a signed byte in this format.
+    Parts must fit a signed byte in this format.
     """
     packed = F.flatten(
         F.transform(
@@ -381,12 +510,12 @@ def write_partitioned_binary(
     )
     rows = pa_table.select(
         F.pmod("part", F.lit(splits)).alias("_split"), part.alias("part"), "vid", "chunk", "local", packed.alias("packed")
-    ).withColumnRenamed("chunk", "_chunk")
-    salted = with_salt(rows, ["_split"], F.col("vid"), split_rows, "_n")
-    keyed = salted.withColumn("file_key", F.format_string("split-%05d-%05d", "_split", "_n"))
+    )
+    dealt = _dealt(rows, ["_split"], ["vid", "chunk"], 17 + 8 * (F.size("local") + F.size("packed")), ["local", "packed"], file_bytes)
+    keyed = dealt.withColumn("file_key", F.format_string("split-%05d-%08d", "_split", "_file"))
     return _write(
-        keyed.repartition("_split", "_n").sortWithinPartitions("file_key", "vid", "_chunk")
-        .select("file_key", "part", "vid", "local", "packed"),
+        keyed.repartition("_split", "_file").sortWithinPartitions("file_key", "vid", "chunk")
+        .select("file_key", "part", "vid", "local", "packed", "before", "longest"),
         path, "partitioned",
     )
 

@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -63,9 +64,9 @@ def test_partitioned_bytes(spark, tmp_path):
     assert rows[7].local == [8, 9] and rows[7].remote == {5: [12]} and rows[7].part == 3
     assert rows[4].local == [] and rows[4].remote == {}
     manifest = binary.write_partitioned_binary(pa, str(tmp_path / "out"), splits=2).collect()
-    files = {r.file: (tmp_path / "out" / r.file).read_bytes() for r in manifest}
-    assert files == {"split-00000-00000.bin": data[-17:], "split-00001-00000.bin": data[:-17]}
-    many = binary.write_partitioned_binary(pa.union(pa), str(tmp_path / "many"), splits=1, split_rows=1).collect()
+    files = {r.file[:11]: (tmp_path / "out" / r.file).read_bytes() for r in manifest}
+    assert files == {"split-00000": data[-17:], "split-00001": data[:-17]}
+    many = binary.write_partitioned_binary(pa.union(pa), str(tmp_path / "many"), splits=1, file_bytes=1).collect()
     assert sum(r.vertices for r in many) == 4
 
 
@@ -190,3 +191,43 @@ def test_trail_lines_over_pieces(spark):
     steps = spark.createDataFrame([(9, i, i, i + 1) for i in range(5)], "trail_id long, seq long, from_vid long, to_vid long")
     lines = {r.piece: r.line for r in text.trail_lines(steps, line_steps=3).collect()}
     assert lines == {0: "9,0,1,2,3", 1: "9,3,4,5"}
+
+
+@pytest.mark.parametrize("range_bytes, list_rows", [(64, 3), (200, 2), (16, 1), (1 << 20, 5)])
+def test_binary_by_range_equals_the_stream(spark, tmp_path, range_bytes, list_rows):
+    """A plain decoder over bytes gives the lists; ranges of any size give the same, under numbers that don't repeat."""
+    rng = random.Random(range_bytes)
+    lists = [(v, [rng.randrange(1 << 40) for _ in range(n)]) for v, n in enumerate([0, 1, 3, 0, 40, 2, 7, 1, 90, 0, 5])]
+    data = b"".join(struct.pack(f">iq{len(n)}q", len(n) + 1, v, *n) for v, n in lists)
+    path = _write(tmp_path / "adj", data)
+    rows = binary.read_adjacency_binary(spark, path, list_rows, range_bytes).collect()
+    assert max(len(r.nbrs) for r in rows) <= list_rows
+    assert len({(r.vid, r.chunk) for r in rows}) == len(rows)
+    for v, n in lists:
+        own = sorted((r for r in rows if r.vid == v), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and sum((r.nbrs for r in own), []) == n
+    both = [(v % 3, v, n, [(5 << 56) | x for x in n[::2]]) for v, n in lists]
+    data = b"".join(struct.pack(f">bqi{len(a)}qi{len(b)}q", p, v, len(a), *a, len(b), *b) for p, v, a, b in both)
+    rows = binary.read_partitioned_binary(spark, _write(tmp_path / "part", data), False, list_rows, range_bytes).collect()
+    for p, v, a, b in both:
+        own = sorted((r for r in rows if r.vid == v), key=lambda r: r.chunk)
+        assert {r.part for r in own} == {p} and [r.chunk for r in own] == list(range(len(own)))
+        assert sum((r.local for r in own), []) == a and [x.vid for r in own for x in r.remote_ids] == [x & ((1 << 56) - 1) for x in b]
+    if range_bytes < 1000:
+        with pytest.raises(Exception, match="inside a record"):
+            binary.read_adjacency_binary(spark, _write(tmp_path / "cut", data[:-3]), list_rows, range_bytes).collect()
+
+
+def test_one_vertex_fills_several_files(spark, tmp_path):
+    rows = [(1, 0, [5]), *[(2, c, [10 * c, 10 * c + 1, 10 * c + 2]) for c in range(9)], (3, 0, []), (4, 0, [7, 8])]
+    adj = spark.createDataFrame(rows, "vid long, chunk int, nbrs array<long>").repartition(3)
+    manifest = binary.write_adjacency_binary(adj, str(tmp_path / "adj"), file_bytes=100).collect()
+    assert len(manifest) >= 3 and sum(m.vertices for m in manifest) == len(rows) and sum(m.edges for m in manifest) == 30
+    assert max(m.bytes for m in manifest) <= 100 + 36
+    for list_rows in (3, 2):
+        back = binary.read_adjacency_binary(spark, str(tmp_path / "adj"), list_rows).collect()
+        assert len({(r.vid, r.chunk) for r in back}) == len(back)
+        own = sorted((r for r in back if r.vid == 2), key=lambda r: r.chunk)
+        assert sum((r.nbrs for r in own), []) == [10 * c + i for c in range(9) for i in range(3)]
+    (tmp_path / "adj" / "part-left-over.bin").write_bytes(b"not in the manifest")
+    assert binary.read_adjacency_binary(spark, str(tmp_path / "adj")).count() == len(rows)
