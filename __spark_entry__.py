@@ -25,6 +25,8 @@ from graphtrails.scratch import Scratch, one_row
 from graphtrails.sources import binary, text
 
 PARTS = 8
+#: Neighbours in one row in the queries on vertices of many.
+HUB_ROWS = 50
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -435,10 +437,118 @@ def _trail_line_file(spark, folder):
 
 def _trail_text_file(spark, folder):
     tour, to = _tour(spark, folder)[0], _folder(spark, "trails.txt")
-    text.trail_tuple_lines(tour.steps.filter("level = 0"), "loop").select("line").write.text(to)
+    text.write_trail_text(tour.steps.filter("level = 0"), to, "loop", line_steps=7)
     return _pairs(text.read_trail_text(spark, to), "part")
 
 
+def _hub_adjacency(spark, folder):
+    return _nbr_text(tables.adjacency(_graph(spark, folder, "part_supp"), HUB_ROWS))
+
+
+def _hub_parts(spark, folder):
+    g = _graph(spark, folder, "part_supp")
+    pa = tables.split_local_remote(g, _parts(g), list_rows=HUB_ROWS)
+    rows = tables.partitioned_darts(pa.withColumn("part", F.struct("part", "chunk")).select("part", "vid", "local", F.transform_keys(
+        "remote", lambda k, _: F.struct(k.alias("part"), F.lit(0).alias("chunk"))).alias("remote")))
+    return rows.select("vid", F.col("part.part").alias("part"), F.col("part.chunk").alias("chunk"), "nbr", F.col("npart.part").alias("npart"))
+
+
+def _hub_metis(spark, folder):
+    adj = tables.adjacency(_even(spark, folder), 7)
+    to = _folder(spark, "metis")
+    text.write_metis_text(tables.remap_adjacency(adj, tables.renumber_vertices(adj), 7), to)
+    return spark.read.text(_text_files(to)).withColumnRenamed("value", "line")
+
+
+def _hub_csv(spark, folder):
+    to = _folder(spark, "csv")
+    text.write_adjacency_csv(tables.adjacency(_graph(spark, folder), 7), to)
+    return spark.read.text(_text_files(to)).withColumnRenamed("value", "line")
+
+
+def _text_files(folder: str) -> str:
+    """The files of a sink of pieces; every file of the small test graphs ends with a whole line."""
+    return f"{folder}/*.bin"
+
+
+def _binary_of(adj: DataFrame, spark: SparkSession) -> str:
+    to = _folder(spark, "source")
+    binary.write_adjacency_binary(adj, to)
+    return to
+
+
+def _file_tool(job: Callable, spark, folder, shown: Callable = lambda adj: adj):
+    """A job from one adjacency file to another, read back."""
+    to = _folder(spark, "tool")
+    job(spark, _binary_of(_adj(spark, folder).withColumn("nbrs", F.reverse("nbrs")), spark), to)
+    return _nbr_text(shown(binary.read_adjacency_binary(spark, to)))
+
+
+def _text_to_binary(spark, folder):
+    source, to = _folder(spark, "adjacency.txt"), _folder(spark, "tool")
+    text.write_lines(text.adjacency_csv_lines(_adj(spark, folder), ":", ", "), source, ["vid", "chunk"])
+    jobs.adjacency_text_to_binary(spark, source, to)
+    return _nbr_text(binary.read_adjacency_binary(spark, to))
+
+
+def _partitioned_tool(job: Callable, spark, folder):
+    source, to = _folder(spark, "source"), _folder(spark, "tool")
+    binary.write_partitioned_binary(_pa(spark, folder), source)
+    job(spark, source, to)
+    return to
+
+
+def _line_tool(job: Callable, files: str, spark, folder):
+    """A job from an adjacency file to lines, read back."""
+    to = _folder(spark, "tool")
+    job(spark, _binary_of(_adj(spark, folder).withColumn("nbrs", F.reverse("nbrs")), spark), to)
+    return spark.read.text(f"{to}/{files}").withColumnRenamed("value", "line")
+
+
+def _file_tools() -> dict[str, Query]:
+    adjacency_back = lambda job: lambda spark, folder: _nbr_text(binary.read_adjacency_binary(spark, _partitioned_tool(job, spark, folder)))
+    return {
+        "hub_adjacency": _hub_adjacency,
+        "hub_partitioned": _hub_parts,
+        "hub_metis_text": _hub_metis,
+        "hub_csv_text": _hub_csv,
+        "adjacency_text_to_binary": _text_to_binary,
+        "keep_even_vertices": lambda spark, folder: _file_tool(jobs.keep_even_vertices, spark, folder, text.canonical_adjacency),
+        "canonical_file": partial(_file_tool, jobs.canonical_file),
+        "flatten_partitioned_file": adjacency_back(jobs.flatten_partitioned_file),
+        "meta_graph_of_file": lambda spark, folder: spark.read.parquet(_partitioned_tool(jobs.meta_graph_of_file, spark, folder)),
+        "adjacency_file_to_csv": partial(_line_tool, jobs.adjacency_file_to_csv, "*.bin"),
+        "adjacency_file_to_blogel": partial(_line_tool, jobs.adjacency_file_to_blogel, "*.bin"),
+        "degrees_of_file": partial(_line_tool, jobs.degrees_of_file, "*.txt"),
+        "partitioned_file_to_text": lambda spark, folder: spark.read.text(
+            _partitioned_tool(jobs.partitioned_file_to_text, spark, folder)).withColumnRenamed("value", "line"),
+    }
+
+
+def _file_tools_sql(core: dict[str, str]) -> dict[str, str]:
+    lines = lambda name: f"SELECT line FROM ({core[name]})"
+    hub = f"(row_number() OVER (PARTITION BY tail ORDER BY head) - 1) // {HUB_ROWS}"
+    parts = f"CAST(tail % {PARTS} AS INTEGER) AS part, CAST(head % {PARTS} AS INTEGER) AS npart"
+    place = f"(row_number() OVER (PARTITION BY tail ORDER BY part <> npart, npart, head) - 1) // {HUB_ROWS}"
+    return {
+        "hub_adjacency": f"{_base('part_supp')} SELECT vid, chunk, {_LIST.format('head', ',')} AS nbrs FROM "
+        f"(SELECT tail AS vid, head, CAST({hub} AS INTEGER) AS chunk FROM darts) GROUP BY 1, 2",
+        "hub_partitioned": f"{_base('part_supp')} SELECT tail AS vid, part, CAST({place} AS INTEGER) AS chunk, head AS nbr, npart "
+        f"FROM (SELECT tail, head, {parts} FROM darts)",
+        "hub_metis_text": lines("metis_lines"),
+        "hub_csv_text": lines("adjacency_csv_lines"),
+        "adjacency_text_to_binary": core["adjacency"],
+        "keep_even_vertices": f"SELECT vid, chunk, nbrs FROM ({core['split_by_parity']}) WHERE parity = 0",
+        "canonical_file": core["adjacency"],
+        "flatten_partitioned_file": core["adjacency"],
+        "meta_graph_of_file": core["meta_edge_map"],
+        "adjacency_file_to_csv": lines("adjacency_csv_lines"),
+        "adjacency_file_to_blogel": lines("adjacency_blogel_lines"),
+        "degrees_of_file": lines("degree_histogram_lines"),
+        "partitioned_file_to_text": lines("partitioned_lines"),
+    }
+
+
 def _tour_binary_file(spark, folder):
     to = _folder(spark, "tour")
     binary.write_tour_binary(circuit.euler_circuit(_even(spark, folder)), to)
@@ -500,7 +610,7 @@ def core_queries() -> dict[str, Query]:
     tour = lambda use: lambda spark, folder: use(_tour(spark, folder)[0])
     trails = lambda use: lambda spark, folder: use(_tour(spark, folder)[1])
     parted = lambda use: lambda spark, folder: use(_graph(spark, folder), _parts(_graph(spark, folder)))
-    return {
+    return _file_tools() | {
         # reshaping
         "bidirect": on(g, tables.bidirect),
         "adjacency": on(adj, _nbr_text),
@@ -727,7 +837,7 @@ def core_sql() -> dict[str, str]:
     v = "(SELECT count(*) FROM deg)"
     vertex_map = "SELECT vid, rel_vid FROM vm"
     meta_rows = "SELECT r.root AS src, dst, coalesce(weight, 0) AS weight FROM {0} r LEFT JOIN {1} ON src = r.root"
-    return {
+    core = {
         "bidirect": f"{g} SELECT 2 * eid AS dart, eid, u AS tail, v AS head FROM edges UNION ALL SELECT 2 * eid + 1, eid, v, u FROM edges",
         "adjacency": f"{g} {adj}",
         "adjacency_to_edges": f"{g} SELECT tail AS src, head AS dst FROM darts",
@@ -834,6 +944,7 @@ def core_sql() -> dict[str, str]:
         "read_trail_text": f"{even} SELECT part, least(vid, nbr) AS lo, greatest(vid, nbr) AS hi, count(*) // 2 AS copies FROM parted WHERE part = npart GROUP BY 1, 2, 3",
         "circuit_of_file": f"{even} SELECT {m} AS edges, CAST(1 AS BIGINT) AS circuits, CAST(0 AS BIGINT) AS breaks",
     }
+    return core | _file_tools_sql(core)
 
 
 # --- with the operators on documents and pages ---------------------------------------------------

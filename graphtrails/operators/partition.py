@@ -18,7 +18,7 @@ from graphtrails.operators.circuit import circuit_of_links, require_even
 from graphtrails.operators.hooks import meeting_roots
 from graphtrails.operators.meta import edge_levels, merge_tree, meta_graph, pair_roots, part_roots, tree_height
 from graphtrails.operators.pairing import pair_darts
-from graphtrails.operators.skew import GROUP_ROWS, with_salt
+from graphtrails.operators.skew import GROUP_ROWS, ordered_chunks
 from graphtrails.operators.tables import attach_partition, bidirect
 from graphtrails.scratch import Scratch
 
@@ -403,8 +403,8 @@ def level_report(tour: Tour) -> DataFrame:
 def part_lists(rows: DataFrame, list_rows: int = GROUP_ROWS) -> DataFrame:
     """Collect ``end_remotes`` to ``(level, part, trail_id, end, vid, other, chunk, remote)`` maps."""
     keys = ["level", "part", "trail_id", "end", "vid", "other"]
-    salted = with_salt(rows, ["level", "trail_id", "end"], F.col("dart"), list_rows)
-    lists = salted.groupBy(*keys, "chunk", "rpart").agg(F.array_sort(F.collect_list("nbr")).alias("_l"))
+    chunks = ordered_chunks(rows, ["level", "trail_id", "end"], ["rpart", "nbr", "dart"], list_rows)
+    lists = chunks.groupBy(*keys, "chunk", "rpart").agg(F.array_sort(F.collect_list("nbr")).alias("_l"))
     return lists.groupBy(*keys, "chunk").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("rpart", "_l")))).alias("remote")
     )

@@ -1,4 +1,4 @@
-"""Hot-group handling: find the few heavy keys and split them by a salt."""
+"""Hot-group handling: find heavy keys and split their rows, by a salt or by order."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphtrails.operators.ranks import dense_rank
+from graphtrails.scratch import Scratch
+
 #: A group up to this many rows is left to one task.
 GROUP_ROWS = 1_000_000
 #: At most this many heavy keys are shipped to the executors with the plan.
@@ -33,18 +36,23 @@ def hot_groups(df: DataFrame, keys: Sequence[str], cap: int = GROUP_ROWS) -> Dat
     return df.sparkSession.createDataFrame(first, heavy.schema)
 
 
-def with_salt(
-    df: DataFrame, keys: Sequence[str], spread: Column, cap: int = GROUP_ROWS, out: str = "chunk"
+def ordered_chunks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], list_rows: int = GROUP_ROWS, scratch: Scratch | None = None
 ) -> DataFrame:
-    """Add an int column that is 0 in groups up to ``cap`` rows and splits larger ones evenly.
+    """Add ``chunk``: the place of a row in its group, by ``order``, over ``list_rows``.
 
-    ``spread`` must tell the rows of a group apart, so that the split is even and repeatable.
+    So a group's chunks follow each other in order, and each but the last is full. Only groups of more than one chunk are
+    ranked, over range partitions; their keys are a written table, whose size the planner sees. ``order`` must be strict.
     """
-    hot = hot_groups(df, keys, cap)
-    if hot is None:
-        return df.withColumn(out, F.lit(0))
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn(out, F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int"))
-        .drop("_salts")
-    )
+    scratch = scratch or Scratch.of(rows.sparkSession)
+    keys = list(keys)
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > list_rows)
+    long = scratch.save(long.select(*keys), "long-groups")
+    short = rows.join(long, keys, "left_anti").withColumn("chunk", F.lit(0))
+    # kept as one column, so that ranking carries rows of any names
+    held = rows.join(long, keys, "left_semi").select(
+        *keys, *[(c if isinstance(c, Column) else F.col(c)).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*rows.columns).alias("_row"))
+    ranked = dense_rank(held, [F.col(c) for c in keys] + [F.col(f"_o{i}") for i in range(len(order))], "_at", scratch, start=0)
+    first = ranked.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    chunk = F.expr(f"cast((_at - _first) div {list_rows} AS int)").alias("chunk")
+    return short.unionByName(ranked.join(first, keys).select("_row.*", chunk))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphtrails.functions.graph import first_dart
 from graphtrails.operators.ranks import dense_rank
-from graphtrails.operators.skew import GROUP_ROWS, with_salt
+from graphtrails.operators.skew import GROUP_ROWS, ordered_chunks
 from graphtrails.scratch import Scratch
 
 ADJACENCY = "vid long, chunk int, nbrs array<long>"
@@ -40,8 +40,8 @@ def bidirect(g: DataFrame) -> DataFrame:
 
 
 def adjacency(g: DataFrame, list_rows: int = GROUP_ROWS) -> DataFrame:
-    """Sorted neighbours of every vertex, parallel edges kept."""
-    darts = with_salt(bidirect(g), ["tail"], F.col("dart"), list_rows)
+    """Sorted neighbours of every vertex, parallel edges kept; a longer list goes over several rows, in order."""
+    darts = ordered_chunks(bidirect(g).select("tail", "head", "dart"), ["tail"], ["head", "dart"], list_rows)
     return darts.groupBy(F.col("tail").alias("vid"), "chunk").agg(
         F.array_sort(F.collect_list("head")).alias("nbrs")
     )
@@ -121,10 +121,9 @@ def remap_adjacency(adj: DataFrame, vm: DataFrame, list_rows: int = GROUP_ROWS)
             F.when(F.col("_nbr").isNotNull(), _required(F.col("_dst"), F.col("_nbr"), "dense id")),
         )
     )
-    salted = with_salt(
-        mapped.withColumnRenamed("chunk", "_old"), ["rel_vid"], F.struct("_old", "_pos"), list_rows
-    )
-    return salted.groupBy(F.col("rel_vid").alias("vid"), "chunk").agg(
+    mapped = Scratch.of(adj.sparkSession).save(mapped.select("rel_vid", F.col("chunk").alias("_old"), "_pos", "_dst"), "mapped")
+    chunks = ordered_chunks(mapped, ["rel_vid"], ["_dst", "_old", "_pos"], list_rows)
+    return chunks.groupBy(F.col("rel_vid").alias("vid"), "chunk").agg(
         F.array_sort(F.collect_list("_dst")).alias("nbrs")
     )
 
@@ -181,13 +180,17 @@ def split_local_remote(
 ) -> DataFrame:
     """Partitioned adjacency: neighbours in the same part, and the others by their part."""
     darts = bidirect(attach_partition(g, vp, vm))
-    return collect_parts(darts, F.col("dart"), list_rows)
+    return collect_parts(darts.select("part", "tail", "hpart", "head", "dart"), ["dart"], list_rows)
+
 
+def collect_parts(rows: DataFrame, ties: list[str], list_rows: int = GROUP_ROWS) -> DataFrame:
+    """Group ``(part, tail, hpart, head)`` rows; a null head keeps a vertex without neighbours.
 
-def collect_parts(rows: DataFrame, spread: Column, list_rows: int = GROUP_ROWS) -> DataFrame:
-    """Group ``(part, tail, hpart, head)`` rows; a null head keeps a vertex without neighbours."""
-    salted = with_salt(rows, ["tail"], spread, list_rows)
-    by_part = salted.groupBy("part", F.col("tail").alias("vid"), "chunk", "hpart").agg(
+    In a list over several rows the local neighbours come first, then the others by their part. ``ties`` tell equal rows apart.
+    """
+    order = [F.coalesce(F.col("hpart") != F.col("part"), F.lit(False)), "hpart", "head", *ties]
+    chunks = ordered_chunks(rows, ["part", "tail"], order, list_rows)
+    by_part = chunks.groupBy("part", F.col("tail").alias("vid"), "chunk", "hpart").agg(
         F.array_sort(F.collect_list("head")).alias("_list")
     )
     return by_part.groupBy("part", "vid", "chunk").agg(
@@ -223,8 +226,8 @@ def group_remote_by_part(
                 _required(F.col("hpart"), F.col("_r"), "part").cast("int").alias("hpart"),
             )
         )
-    both = local.unionByName(remote)
-    return collect_parts(both, F.struct("_pos", "head"), list_rows)
+    both = Scratch.of(rows.sparkSession).save(local.unionByName(remote), "listed")
+    return collect_parts(both, ["_pos"], list_rows)
 
 
 def partitioned_darts(pa: DataFrame) -> DataFrame:

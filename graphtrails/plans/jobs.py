@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphtrails.operators.circuit import euler_circuit
 from graphtrails.operators.eulerize import eulerize
 from graphtrails.operators.partition import Tour, partition_tour, trail_table
+from graphtrails.operators.skew import ordered_chunks
 from graphtrails.operators.tables import (
     absolute_parts,
     adjacency,
+    adjacency_degrees,
     adjacency_to_edges,
+    flatten_partitioned,
     group_remote_by_part,
     partition_map_gaps,
     partitioned_darts,
@@ -30,13 +33,16 @@ from graphtrails.sources.binary import (
 )
 from graphtrails.sources.text import (
     csr_tables,
-    metis_lines,
+    partitioned_lines,
     read_adjacency_text,
     read_edge_list,
     read_partition_map_lines,
     read_partition_map_pairs,
     read_partitioned_text,
+    write_adjacency_blogel,
+    write_adjacency_csv,
     write_lines,
+    write_metis_text,
     write_trails,
 )
 
@@ -132,7 +138,7 @@ def export_for_partitioner(
     if metis or csr or relabelled:
         rel = scratch.save(remap_adjacency(adj, vm), "relabelled")
         if metis:
-            write_lines(metis_lines(rel), f"{out}/metis", ["rel_vid"])
+            write_metis_text(rel, f"{out}/metis")
         if csr:
             offsets, targets = csr_tables(rel, scratch)
             for name, table in (("csr_offsets", offsets), ("csr_targets", targets)):
@@ -177,3 +183,63 @@ def circuit_of_file(spark: SparkSession, path: str, out: str) -> None:
     scratch = Scratch.of(spark)
     g = edges_of_adjacency(read_adjacency_binary(spark, path), scratch)
     write_trails(euler_circuit(g, scratch), out, "component")
+
+
+# --- one graph file to another ---------------------------------------------------------------------
+
+
+def adjacency_text_to_binary(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Adjacency text to binary adjacency; returns the manifest."""
+    return write_adjacency_binary(read_adjacency_text(spark, path), out)
+
+
+def keep_even_vertices(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """The vertices of even degree of a binary adjacency, with their lists; returns the manifest."""
+    adj = Scratch.of(spark).save(read_adjacency_binary(spark, path), "adjacency")
+    odd = adjacency_degrees(adj).filter(F.col("degree") % 2 == 1)
+    return write_adjacency_binary(adj.join(odd, "vid", "left_anti"), out)
+
+
+def flatten_partitioned_file(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Partitioned binary to binary adjacency without parts, every list in order; returns the manifest."""
+    return write_adjacency_binary(_in_order(flatten_partitioned(read_partitioned_binary(spark, path))), out)
+
+
+def canonical_file(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Binary adjacency with vertices and neighbours ascending, so that equal graphs are equal files; returns the manifest."""
+    return write_adjacency_binary(_in_order(read_adjacency_binary(spark, path)), out)
+
+
+def _in_order(adj: DataFrame) -> DataFrame:
+    """Lists in order, over all the rows that a vertex has."""
+    each = adj.select("vid", F.col("chunk").alias("_old"), F.posexplode_outer("nbrs").alias("_pos", "nbr"))
+    each = Scratch.of(adj.sparkSession).save(each, "listed")
+    return ordered_chunks(each, ["vid"], ["nbr", "_old", "_pos"]).groupBy("vid", "chunk").agg(F.array_sort(F.collect_list("nbr")).alias("nbrs"))
+
+
+def meta_graph_of_file(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """Partitioned binary to the table of cut edges between parts; returns it."""
+    pa = read_partitioned_binary(spark, path)
+    darts = Scratch.of(spark).save(partitioned_darts(pa), "darts")
+    meta = darts.filter("part <> npart").groupBy(F.col("part").alias("src"), F.col("npart").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    meta.write.parquet(out)
+    return spark.read.schema(meta.schema).parquet(out)
+
+
+def adjacency_file_to_csv(spark: SparkSession, path: str, out: str, src_sep: str = ",", sink_sep: str = ",") -> None:
+    write_adjacency_csv(_in_order(read_adjacency_binary(spark, path)), out, src_sep, sink_sep)
+
+
+def adjacency_file_to_blogel(spark: SparkSession, path: str, out: str, src_sep: str = "\t", sink_sep: str = " ") -> None:
+    write_adjacency_blogel(_in_order(read_adjacency_binary(spark, path)), out, src_sep, sink_sep)
+
+
+def degrees_of_file(spark: SparkSession, path: str, out: str) -> None:
+    """Binary adjacency to lines ``degree,vertices`` in order of degree."""
+    counts = adjacency_degrees(read_adjacency_binary(spark, path)).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
+    write_lines(counts.select("degree", F.concat_ws(",", "degree", "vertices").alias("line")), out, ["degree"])
+
+
+def partitioned_file_to_text(spark: SparkSession, path: str, out: str) -> None:
+    """Partitioned binary to lines ``part:v l1,l2 p:r1,r2``, in order of part and vertex."""
+    write_lines(partitioned_lines(read_partitioned_binary(spark, path)), out, ["part", "vid", "chunk"])

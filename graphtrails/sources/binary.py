@@ -354,7 +354,12 @@ def _encode_tour(batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
     return np.asarray(batch["vid"]).astype(">i8").view(np.uint8), 0
 
 
+def _encode_text(batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
+    return np.frombuffer("".join(batch["text"].to_pylist()).encode(), np.uint8), 0
+
+
 _ENCODERS = {
+    "text": _encode_text,
     "adjacency": _encode_adjacency, "partitioned": _encode_partitioned, "vertex_map": _encode_map, "tour": _encode_tour,
 }
 
@@ -520,6 +525,11 @@ def write_partitioned_binary(
     )
 
 
+def write_text(rows: DataFrame, path: str) -> DataFrame:
+    """Write ``text`` as it stands, row after row; file names sort like the partitions."""
+    return _write(rows.select("text"), path, "text")
+
+
 def write_vertex_map(vm: DataFrame, path: str) -> DataFrame:
     return _write(vm.select("vid", "rel_vid"), path, "vertex_map")
 

@@ -31,17 +31,23 @@ def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", scratch: Scr
     return scratch.save(pairs.select(F.monotonically_increasing_id().alias("eid"), both("u"), both("v")), "edge-list")
 
 
+def _whole(text: Column, kind: str = "long") -> Column:
+    """A whole number; anything else is an error, whatever the session's ANSI mode."""
+    number = F.trim(text).try_cast(kind)
+    return F.when(number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("malformed number: "), F.coalesce(text, F.lit("null")))).cast(kind))
+
+
 def _longs(text: Column, sep: str) -> Column:
-    return F.transform(
-        F.filter(F.split(text, sep), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long")
-    )
+    """The numbers between separators; a missing text is an error."""
+    there = F.when(text.isNotNull(), text).otherwise(F.raise_error(F.lit("malformed line: no list")).cast("string"))
+    return F.transform(F.filter(F.split(there, sep), lambda x: F.trim(x) != ""), lambda x: _whole(x))
 
 
 def read_adjacency_text(spark: SparkSession, path: str) -> DataFrame:
     """``adjacency`` from lines ``v:n1, n2``."""
     halves = F.split("value", ":", 2)
     return spark.read.text(path).filter("trim(value) <> ''").select(
-        F.trim(halves[0]).cast("long").alias("vid"), F.lit(0).alias("chunk"), _longs(halves[1], ",").alias("nbrs")
+        _whole(F.get(halves, 0)).alias("vid"), F.lit(0).alias("chunk"), _longs(F.get(halves, 1), ",").alias("nbrs")
     )
 
 
@@ -73,13 +79,13 @@ def read_partitioned_text(spark: SparkSession, path: str, dialect: str = "parts"
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
     head = F.split("value", "@", 2)
-    body = F.split(head[1], "&", 2)
-    lists = F.split(body[1], "#", 2)
+    body = F.split(F.get(head, 1), "&", 2)
+    lists = F.split(F.get(body, 1), "#", 2)
     remote = F.coalesce(F.get(lists, F.lit(1)), F.lit(""))
     rows = spark.read.text(path).filter("trim(value) <> ''").select(
-        F.trim(head[0]).cast("int").alias("part"),
-        F.trim(body[0]).cast("long").alias("vid"),
-        _longs(lists[0], ",").alias("local"),
+        _whole(F.get(head, 0), "int").alias("part"),
+        _whole(F.get(body, 0)).alias("vid"),
+        _longs(F.get(lists, 0), ",").alias("local"),
         remote.alias("_remote"),
     )
     if dialect == "plain":
@@ -88,8 +94,8 @@ def read_partitioned_text(spark: SparkSession, path: str, dialect: str = "parts"
     structs = F.transform(
         fields,
         lambda x: F.struct(
-            F.trim(F.split(x, ":")[0]).cast("long").alias("vid"),
-            F.trim(F.split(x, ":")[1]).cast("int").alias("part"),
+            _whole(F.get(F.split(x, ":"), 0)).alias("vid"),
+            _whole(F.get(F.split(x, ":"), 1), "int").alias("part"),
         ),
     )
     return rows.select(
@@ -104,7 +110,7 @@ def read_partition_map_lines(spark: SparkSession, path: str, scratch: Scratch |
     """
     scratch = scratch or Scratch.of(spark)
     lines = spark.read.text(path).select(
-        F.trim("value").cast("int").alias("part"),
+        _whole(F.col("value"), "int").alias("part"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_at"),
@@ -122,7 +128,7 @@ def read_partition_map_pairs(spark: SparkSession, path: str) -> DataFrame:
     """``vertex_part`` from lines ``vid part ...``."""
     fields = F.split(F.trim("value"), r"\s+")
     return spark.read.text(path).filter("trim(value) <> ''").select(
-        fields[0].cast("long").alias("vid"), fields[1].cast("int").alias("part")
+        _whole(F.get(fields, 0)).alias("vid"), _whole(F.get(fields, 1), "int").alias("part")
     )
 
 
@@ -135,6 +141,16 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
 
 
+def write_pieces(pieces: DataFrame, path: str, order: list[str]) -> None:
+    """Write ``text`` in order, without line ends of its own, over files whose names sort like their content.
+
+    A line may be made of pieces that several tasks write; the files after each other are the text.
+    """
+    from graphtrails.sources.binary import write_text  # which reads text's helpers
+
+    write_text(pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("text"), path)
+
+
 def adjacency_csv_lines(adj: DataFrame, src_sep: str = ",", sink_sep: str = ",") -> DataFrame:
     """``v <src_sep> n1 <sink_sep> n2 ...``; a vertex without neighbours gets no separator."""
     vid = F.col("vid").cast("string")
@@ -145,8 +161,8 @@ def adjacency_csv_lines(adj: DataFrame, src_sep: str = ",", sink_sep: str = ",")
 def adjacency_blogel_lines(adj: DataFrame, src_sep: str = "\t", sink_sep: str = " ") -> DataFrame:
     """``v <src_sep> degree <sink_sep> n1 ...``; on every line of a vertex the degree is that of the whole vertex."""
     sinks = F.transform("nbrs", lambda x: x.cast("string"))
-    degree = F.sum(F.size("nbrs").cast("long")).over(Window.partitionBy("vid")).cast("string")
-    return adj.select(
+    degree = F.col("degree").cast("string")
+    return adj.join(adjacency_degrees(adj), "vid").select(
         "vid", "chunk",
         F.concat(
             F.col("vid").cast("string"), F.lit(src_sep), F.array_join(F.concat(F.array(degree), sinks), sink_sep)
@@ -154,6 +170,35 @@ def adjacency_blogel_lines(adj: DataFrame, src_sep: str = "\t", sink_sep: str =
     )
 
 
+def _pieces(adj: DataFrame, head: Column, sep: str) -> DataFrame:
+    """``(vid, chunk, text)``: a vertex's line in as many pieces as its list has rows; the last one ends the line."""
+    last = adj.groupBy("vid").agg(F.max("chunk").alias("_last"))
+    lead = F.when(F.col("chunk") == 0, head).otherwise(F.lit(sep))
+    end = F.when(F.col("chunk") == F.col("_last"), "\n").otherwise("")
+    return adj.join(last, "vid").select("vid", "chunk", F.concat(lead, join_longs(F.array_sort("nbrs"), sep), end).alias("text"))
+
+
+def adjacency_csv_pieces(adj: DataFrame, src_sep: str = ",", sink_sep: str = ",") -> DataFrame:
+    """The lines of ``adjacency_csv_lines``, one for each vertex however long its list is, in pieces for ``write_pieces``."""
+    vid = F.col("vid").cast("string")
+    return _pieces(adj, F.when(F.size("nbrs") > 0, F.concat(vid, F.lit(src_sep))).otherwise(vid), sink_sep)
+
+
+def adjacency_blogel_pieces(adj: DataFrame, src_sep: str = "\t", sink_sep: str = " ") -> DataFrame:
+    """``v <src_sep> degree <sink_sep> n1 ...``, one line for each vertex, in pieces for ``write_pieces``."""
+    head = F.concat(F.col("vid").cast("string"), F.lit(src_sep), F.col("degree").cast("string"))
+    full = F.when(F.size("nbrs") > 0, F.concat(head, F.lit(sink_sep))).otherwise(head)
+    return _pieces(adj.join(adjacency_degrees(adj), "vid"), full, sink_sep)
+
+
+def write_adjacency_csv(adj: DataFrame, path: str, src_sep: str = ",", sink_sep: str = ",") -> None:
+    write_pieces(adjacency_csv_pieces(adj, src_sep, sink_sep), path, ["vid", "chunk"])
+
+
+def write_adjacency_blogel(adj: DataFrame, path: str, src_sep: str = "\t", sink_sep: str = " ") -> None:
+    write_pieces(adjacency_blogel_pieces(adj, src_sep, sink_sep), path, ["vid", "chunk"])
+
+
 def _remote_text(remote: Column) -> Column:
     return F.array_join(
         F.transform(
@@ -182,24 +227,32 @@ def boundary_lines(tour: Tour, trails: DataFrame | None = None) -> DataFrame:
 def metis_lines(adj_rel: DataFrame) -> DataFrame:
     """``(rel_vid, line)``: row 0 holds vertices and edges, row ``k`` the neighbours of vertex ``k``.
 
-    The format has one line per vertex, so a vertex whose list is split over rows is an error: export
-    such graphs by ``csr_tables``.
+    A line is one row here, so a vertex whose list is split over rows is an error; ``write_metis_text`` takes it.
     """
-    split = F.raise_error(F.concat(F.lit("list too long for one line: vertex "), F.col("vid").cast("string")))
+    split = F.raise_error(F.concat(F.lit("list too long for one row: vertex "), F.col("vid").cast("string")))
     body = adj_rel.select(
         F.when(F.col("chunk") == 0, F.col("vid")).otherwise(split.cast("long")).alias("rel_vid"),
         join_longs(F.array_sort("nbrs"), " ").alias("line"),
     )
+    return _metis_header(adj_rel).unionByName(body)
+
+
+def _metis_header(adj_rel: DataFrame) -> DataFrame:
     odd = F.raise_error(F.lit("odd number of directed edges")).cast("long")
     edges = F.coalesce(F.sum("degree"), F.lit(0))
-    header = adjacency_degrees(adj_rel).agg(
+    return adjacency_degrees(adj_rel).agg(
         F.lit(0).cast("long").alias("rel_vid"),
         F.concat_ws(
             " ", F.count(F.lit(1)).cast("string"),
             F.when(edges % 2 == 0, F.shiftright(edges, 1)).otherwise(odd).cast("string"),
         ).alias("line"),
     )
-    return header.unionByName(body)
+
+
+def write_metis_text(adj_rel: DataFrame, path: str) -> None:
+    """The lines of ``metis_lines`` as files that follow each other; a vertex of any degree has one line, in pieces of its rows."""
+    header = _metis_header(adj_rel).select(F.col("rel_vid").alias("vid"), F.lit(0).alias("chunk"), F.concat("line", F.lit("\n")).alias("text"))
+    write_pieces(header.unionByName(_pieces(adj_rel, F.lit(""), " ")), path, ["vid", "chunk"])
 
 
 def csr_tables(adj_rel: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -257,12 +310,21 @@ def write_trail_lines(steps: DataFrame, path: str, trail: str = "trail_id") -> N
     write_lines(trail_lines(steps, trail), path, [trail, "piece"])
 
 
-def trail_tuple_lines(steps: DataFrame, trail: str = "trail_id") -> DataFrame:
-    """``(part,[v0, v1, ...])``, one trail per line, as the format has it; very long trails belong into tables."""
-    rows = steps.groupBy("part", trail).agg(F.array_sort(F.collect_list(F.struct("seq", "from_vid", "to_vid"))).alias("_s"))
-    vertices = F.concat(F.transform("_s", lambda s: s["from_vid"]), F.array(F.element_at("_s", -1)["to_vid"]))
-    return rows.select("part", trail, F.concat(
-        F.lit("("), F.col("part").cast("string"), F.lit(",["), join_longs(vertices, ", "), F.lit("])")).alias("line"))
+def trail_tuple_pieces(steps: DataFrame, trail: str = "trail_id", line_steps: int = 1_000_000) -> DataFrame:
+    """``(part, trail, piece, text)``: lines ``(part,[v0, v1, ...])``, one for each trail, in pieces of ``line_steps`` steps."""
+    piece = F.floor(F.col("seq") / line_steps).cast("long").alias("piece")
+    rows = steps.groupBy("part", trail, piece).agg(F.array_sort(F.collect_list(F.struct("seq", "from_vid", "to_vid"))).alias("_s"))
+    ends = steps.groupBy("part", trail).agg((F.max("seq") / line_steps).cast("long").alias("_last"))
+    visits = join_longs(F.transform("_s", lambda s: s["from_vid"]), ", ")
+    lead = F.when(F.col("piece") == 0, F.concat(F.lit("("), F.col("part").cast("string"), F.lit(",["))).otherwise(", ")
+    end = F.concat(F.lit(", "), F.element_at("_s", -1)["to_vid"].cast("string"), F.lit("])\n"))
+    return rows.join(ends, ["part", trail]).select(
+        "part", trail, "piece", F.concat(lead, visits, F.when(F.col("piece") == F.col("_last"), end).otherwise("")).alias("text"))
+
+
+def write_trail_text(steps: DataFrame, path: str, trail: str = "trail_id", line_steps: int = 1_000_000) -> None:
+    """Lines ``(part,[v0, v1, ...])`` as ``read_trail_text`` takes them; no trail is gathered in one row."""
+    write_pieces(trail_tuple_pieces(steps, trail, line_steps), path, ["part", trail, "piece"])
 
 
 def read_trail_text(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:

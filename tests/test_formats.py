@@ -74,15 +74,57 @@ def test_long_lists_go_over_rows(graph):
     g = graph([(0, i) for i in range(1, 30)] + [(0, 0)])
     adj = tables.adjacency(g, list_rows=5)
     rows = [r for r in adj.collect() if r.vid == 0]
-    assert len(rows) > 1 and sorted(x for r in rows for x in r.nbrs) == [0, 0, *range(1, 30)]
+    whole = [0, 0, *range(1, 30)]
+    assert {r.chunk: r.nbrs for r in rows} == {c: whole[5 * c:5 * c + 5] for c in range(7)}
     row = checks.adjacency_integrity(adj, tables.adjacency(g)).first()
     assert row.common == 60 and row.left_only == row.right_only == 0
     offsets, targets = text.csr_tables(tables.remap_adjacency(adj, tables.renumber_vertices(adj), list_rows=5))
     assert sorted(r.pos for r in targets.filter("rel_vid = 1").collect()) == list(range(31))
-    with pytest.raises(Exception, match="too long for one line"):
+    with pytest.raises(Exception, match="too long for one row"):
         text.metis_lines(adj).collect()
 
 
+def _joined(folder):
+    return b"".join(p.read_bytes() for p in sorted(folder.glob("*.bin"))).decode()
+
+
+def test_lines_of_several_pieces(spark, graph, tmp_path):
+    g = graph([(1, i) for i in range(2, 31)] + [(1, 1), (5, 6)])
+    adj = tables.adjacency(g, list_rows=5).union(spark.createDataFrame([(99, 0, [])], tables.ADJACENCY))
+    text.write_adjacency_csv(adj, str(tmp_path / "csv"), ":", " ")
+    lines = _joined(tmp_path / "csv").split("\n")
+    assert lines[0] == "1:" + " ".join(map(str, [1, 1, *range(2, 31)])) and lines[-3:] == ["30:1", "99", ""]
+    text.write_adjacency_blogel(adj, str(tmp_path / "blogel"))
+    lines = _joined(tmp_path / "blogel").split("\n")
+    assert lines[0] == "1\t31 " + " ".join(map(str, [1, 1, *range(2, 31)])) and lines[-2] == "99\t0"
+    text.write_metis_text(tables.remap_adjacency(adj, tables.renumber_vertices(adj), list_rows=4), str(tmp_path / "metis"))
+    lines = _joined(tmp_path / "metis").split("\n")
+    assert lines[:2] == ["31 31", " ".join(map(str, [1, 1, *range(2, 31)]))] and lines[-2:] == ["", ""] and len(lines) == 33
+    steps = spark.createDataFrame([(2, 7, i, 10 + i, 11 + i) for i in range(20)] + [(0, 3, 0, 5, 5)], "part int, trail_id long, seq long, from_vid long, to_vid long")
+    text.write_trail_text(steps, str(tmp_path / "trails"), line_steps=3)
+    assert _joined(tmp_path / "trails") == "(0,[5, 5])\n(2,[" + ", ".join(map(str, range(10, 31))) + "])\n"
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_lines_are_errors(spark, tmp_path, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        readers = {
+            text.read_adjacency_text: ["1:2, x", "1", "a:1"], text.read_partition_map_pairs: ["1 x", "1", "x 2"],
+            text.read_partitioned_text: ["0@1&2#x:1", "0@1&2#3", "0@1", "0:1&2", "0@1&a", "x@1&2"], text.read_partition_map_lines: ["x"],
+        }
+        for reader, wrong in readers.items():
+            for i, line in enumerate(wrong):
+                path = tmp_path / f"{reader.__name__}-{i}"
+                path.write_text(line + "\n")
+                with pytest.raises(Exception, match="malformed"):
+                    reader(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+
 def test_binary_names_and_targets(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "graph.dat").write_bytes(struct.pack(">iqq", 2, 7, 8))
