@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from graphtrails.llm.words import doc_key, without
+from graphtrails.llm.words import NO_ID, doc_key, without
 from graphtrails.scratch import Scratch
 
 WINDOW = 13
@@ -35,24 +35,32 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.lit(None)).otherwise(F.split(bare, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
-def lower(word: Column) -> Column:
+def lower(text: Column) -> Column:
     """A-Z in lower case. What is ASCII takes the short way."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, _UPPER, _LOWER))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def item_terms(items: DataFrame) -> DataFrame:
     """``(item, item_id, n, q, word)``: the words of every item at positions from 0."""
     text = F.coalesce("text", F.lit(""))
-    rows = items.select("item_id", F.xxhash64("item_id", text).alias("item"), words(text).alias("w")).distinct()
-    return rows.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("q", "_w")).select(
-        "item", "item_id", "n", "q", lower(F.col("_w")).alias("word"))
+    rows = items.select("item_id", F.xxhash64("item_id", text).alias("item"), words(lower(text)).alias("w")).distinct()
+    return rows.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("q", "word"))
+
+
+#: Stands after a document's last word; no word, as it is a separator.
+_END = "\n"
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, _k, _t, pos)`` of all words of the documents whose hash is among ``terms(term)``."""
+    """``(term, _k, _t, pos)`` of all words of the documents whose hash is among ``terms(term)``.
+
+    Every row of ``docs`` also has a posting of the term of ``_END``, at the number of its words.
+    """
     text = F.coalesce("text", F.lit(""))
-    every = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), F.posexplode(words(text)).alias("pos", "_w"))
-    return every.select(F.xxhash64(lower(F.col("_w"))).alias("term"), "_k", "_t", "pos").join(terms, "term")
+    ended = F.array_append(F.coalesce(words(lower(text)), F.array().cast("array<string>")), F.lit(_END))
+    every = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), F.posexplode(ended).alias("pos", "_w"))
+    wanted = terms.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_END)).alias("term")))
+    return every.select(F.xxhash64("_w").alias("term"), "_k", "_t", "pos").join(wanted, "term")
 
 
 class Index:
@@ -64,7 +72,11 @@ class Index:
         self.items = self.scratch.save(
             named.select("item", "item_id", "n", "q", F.xxhash64("word").alias("term")), "items")
         self.terms = self.scratch.save(self.items.select("term").distinct(), "terms")
-        self.postings = self.scratch.save(postings(docs, self.terms), "postings")
+        stored = self.scratch.save(postings(docs, self.terms), "postings")
+        end = F.xxhash64(F.lit(_END))
+        self.postings = stored.filter(F.col("term") != end)
+        #: ``(_k, _t, n_words)`` of every row of ``docs``.
+        self.sizes = stored.filter(F.col("term") == end).select("_k", "_t", F.col("pos").cast("long").alias("n_words"))
         self.counts = self.scratch.save(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
 
     def windows(self, size: int) -> DataFrame:
@@ -140,10 +152,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, scratch
         F.sum(F.greatest(F.col("_end") - F.col("_from"), F.lit(0))).alias("n_hit"))
     found = matches.select(*keys, F.col("item_id").cast("string").alias("_i")).distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("_i")), ",").alias("_items"))
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("_k"), F.hash(text).alias("_t"),
-        F.coalesce(F.size(words(text)), F.lit(0)).cast("long").alias("n_words"))
+    counted = index.sizes.withColumn("doc_id", F.nullif("_k", F.lit(NO_ID)))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counted.join(hit.join(found, keys), keys, "left").select(
         "doc_id", *keys, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

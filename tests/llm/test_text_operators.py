@@ -59,6 +59,18 @@ def test_contamination(docs, texts, items):
     assert any(r[5] for r in got) and sum(r[2] > 0 for r in got) >= 3
 
 
+def test_contamination_in_both_ansi_modes(spark, docs, items):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    got = []
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            got.append(sorted(map(str, decontam.contamination_report(docs, items).collect())))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got[0] == got[1] and not any("n_words=-1" in r for r in got[0])
+
+
 def test_contamination_without_rows(docs, none, items):
     assert decontam.contamination_report(none, items).count() == 0
     assert not any(r["n_hit"] for r in decontam.contamination_report(docs, items.limit(0)).collect())
