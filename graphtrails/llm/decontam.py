@@ -57,10 +57,10 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     Every row of ``docs`` also has a posting of the term of ``_END``, at the number of its words.
     """
     text = F.coalesce("text", F.lit(""))
-    ended = F.array_append(F.coalesce(words(lower(text)), F.array().cast("array<string>")), F.lit(_END))
+    ended = F.array_append(F.coalesce(words(text), F.array().cast("array<string>")), F.lit(_END))
     every = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), F.posexplode(ended).alias("pos", "_w"))
     wanted = terms.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_END)).alias("term")))
-    return every.select(F.xxhash64("_w").alias("term"), "_k", "_t", "pos").join(wanted, "term")
+    return every.select(F.xxhash64(lower(F.col("_w"))).alias("term"), "_k", "_t", "pos").join(wanted, "term")
 
 
 class Index:
