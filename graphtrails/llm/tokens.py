@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ from graphtrails.operators.ranks import prefix_sum
 from graphtrails.scratch import Scratch
 
 END = 0
-#: Words that an encoder remembers, at most (about 40 bytes each); it starts anew beyond that.
+#: Words that an encoder remembers, at most (about 60 bytes each); beyond that it keeps those it met again.
 MEMORY = 2_000_000
+#: Letter, digit and sign runs that it remembers, at most (about 150 bytes each); it starts anew beyond that.
+PIECES = 300_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -46,6 +49,21 @@ _WHITE = byte_set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
 #: First bytes of characters that may be white space beyond ASCII.
 _MAYBE_WHITE = byte_set("\xc2\xe1\xe2\xe3")
 _NO_SPACE = np.uint64(0x5851F42D4C957F2D)
+#: Words of these characters are split here: their classes and lower case are the same in every Unicode version.
+_PLAIN = re.compile("[\\n\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+#: The two splitting rules that are known, as the library's byte level and the tokenizer's file state them (fixed values).
+_BYTE_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _plain_rule(rule: str) -> re.Pattern:
+    """The rule for plain words, one a line: classes written out; a line end is a match of its own."""
+    kind = lambda k: "".join(re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k)
+    letters, digits = kind("L"), kind("N")
+    written = rule.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{digits}]")
+    for name, chars in (("L", letters), ("N", digits)):
+        written = written.replace(rf"[\p{{{name}}}]", f"[{chars}]").replace(rf"\p{{{name}}}", f"[{chars}]")
+    return re.compile(written + r"|\n")
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,18 +75,101 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The character by which byte-level tokenizers show each byte: itself if it prints, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+#: From a byte's character in latin-1 to the one it is shown by; line ends stay.
+_LETTERS = str.maketrans({b: x for b, x in enumerate(_byte_letters()) if b != 10})
+
+
+class _Places:
+    """Numbers of 64-bit keys in the order in which they were added: a hash table in arrays, at most half full."""
+
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self.slot_key, self.slot = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        last = np.uint64(len(self.slot) - 1)
+        spot = (keys & last).view(np.int64)
+        at = self.slot[spot]
+        wrong = np.flatnonzero((self.slot_key[spot] != keys) & (at >= 0))
+        spot = spot[wrong]
+        while len(wrong):
+            spot = (spot + 1) & int(last)
+            at[wrong] = self.slot[spot]
+            more = (self.slot_key[spot] != keys[wrong]) & (at[wrong] >= 0)
+            wrong, spot = wrong[more], spot[more]
+        return at
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add keys that differ and aren't there yet."""
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        if 2 * len(self.keys) > len(self.slot):
+            size = 1 << int(4 * len(self.keys) - 1).bit_length()
+            self.slot_key, self.slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            first = 0
+        number = np.arange(first, len(self.keys))
+        mask = len(self.slot) - 1
+        spot = (self.keys[number] & np.uint64(mask)).view(np.int64)
+        while len(number):
+            free = self.slot[spot] < 0
+            self.slot[spot[free]] = number[free]  # of several for one slot, the last stays
+            left = self.slot[spot] != number
+            placed = ~left
+            self.slot_key[spot[placed]] = self.keys[number[placed]]
+            number, spot = number[left], (spot[left] + 1) & mask
+
+
+class _Pool:
+    """Lists of ids, one after the other."""
+
+    def __init__(self, first: np.ndarray):
+        self.ids, self.size = first, len(first)
+        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def add(self, ids: np.ndarray, count: np.ndarray) -> None:
+        if self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.size], np.empty(self.size + len(ids), "<u4")])
+        self.ids[self.size:self.size + len(ids)] = ids
+        self.begin = np.concatenate([self.begin, self.size + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
+        self.size += len(ids)
+
+    def take(self, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return self.ids[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
+def _lines(w: Words, which: np.ndarray, lead: str) -> str:
+    """Some words, one a line, each after ``lead`` (a space or nothing)."""
+    size = w.end[which] - w.start[which] + len(lead) + 1
+    ends = np.cumsum(size)
+    text = w.data[np.minimum(np.repeat(w.start[which] - len(lead) - ends + size, size) + np.arange(ends[-1]), len(w.data) - 1)]
+    text[ends - 1] = 10
+    if lead:
+        text[ends - size] = 32
+    return text[:-1].tobytes().decode()
+
+
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes. One per Python worker and file.
 
-    What is remembered is arrays: sorted hashes of words (with their lengths), and for each the place and the
-    number of its ids in a pool. Only new words become strings; these are encoded many at once, as one text with a
-    separator that is a token of its own.
+    What is remembered is arrays: hashes of words (with their lengths), and for each the place and the number of its ids in a
+    pool. Only new words become strings. These are split by the tokenizer's own rule, and the library encodes
+    each run that it didn't have yet, many at once, as one text with a separator that is a token of its own.
+    Words beyond Latin letters are encoded whole by the library.
     """
 
     _open: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -80,11 +181,14 @@ class Encoder:
         splits = pre.get("pretokenizers") or [{}]
         added = [x for x in rules.get("added_tokens") or [] if x["content"]]
         self.added = [x["content"] for x in added]
-        self.rules = ""
+        self.rules, self.split = "", None
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.rules, self.separator, self.sign = "byte", "\n", "\n"
+            self.rules, self.separator, self.sign, self.split = "byte", "\n", "\n", _plain_rule(_BYTE_RULE)
         elif chain == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
             self.rules, self.separator, self.sign = "word", " 0 ", "0"
+            if [splits[0].get("pattern"), *splits[1:]] == [{"Regex": _WORD_RULE}, {
+                    "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
+                self.split = _plain_rule(_WORD_RULE)
         if norm is not None and any(x.get("normalized") for x in added):  # found in texts in other spellings too
             self.rules = ""
         mark = self._ids(self.separator) if self.rules else []
@@ -92,6 +196,14 @@ class Encoder:
             self.rules = ""
         else:
             self.mark = mark[0]
+        # the same model without rules: runs are given in its letters, a line end between them
+        self.runs = Tokenizer(self.tokenizer.model)
+        self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        if self.split is not None:
+            vocab, end = self.tokenizer.get_vocab(), rules["model"].get("end_of_word_suffix") or ""
+            self.letters = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, number in vocab.items():
+                self.letters[number] = len(token.removesuffix(end) if end else token)
         self._forget()
 
     @classmethod
@@ -101,10 +213,24 @@ class Encoder:
         return cls._open[path]
 
     def _forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.begin, self.count = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.known, self.again = _Places(), np.empty(0, bool)
         # the first id of the pool is the separator: a line end
-        self.pool = np.array([self.mark] if self.rules else [], "<u4")
+        self.pool = _Pool(np.array([self.mark] if self.rules else [], "<u4"))
+        self._forget_pieces()
+
+    def _forget_pieces(self) -> None:
+        self.pieces = {"\n": -1}
+        self.piece_pool = _Pool(np.empty(0, "<u4"))
+
+    def _keep_used(self) -> None:
+        """Forget the words that were met in one slice of texts only, or all where that leaves more than half."""
+        keep, keys, pool = np.flatnonzero(self.again), self.known.keys, self.pool
+        self.known, self.again, self.pool = _Places(), np.empty(0, bool), _Pool(pool.ids[:1].copy())
+        if 2 * len(keep) <= MEMORY:
+            self.known.add(keys[keep])
+            self.again = np.zeros(len(keep), bool)
+            begin, count = pool.begin[keep], pool.count[keep]
+            self.pool.add(pool.take(begin, count.astype(np.int64)), count)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -125,26 +251,65 @@ class Encoder:
                     out[i] = ids[a:b]
         return [np.array(self._ids(lead + w), "<u4") if x is None else x for w, x in zip(words, out)]
 
-    def _learn(self, keys: np.ndarray, words: list[str], spaced: np.ndarray) -> None:
-        ids: list[np.ndarray] = [None] * len(words)
-        for flag, lead in ((True, " " if self.rules == "byte" else ""), (False, "")):
-            own = np.flatnonzero(spaced == flag).tolist()
-            if own:
-                for i, x in zip(own, self._joined([words[i] for i in own], lead)):
-                    ids[i] = x
-        count = np.array([len(x) for x in ids], np.int32)
-        begin = len(self.pool) + np.cumsum(count) - count
-        self.pool = np.concatenate([self.pool, *ids])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.count = np.concatenate([self.count, count])[order]
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return at
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Ids of runs that aren't known yet. Where a run's ids end follows from the letters of each id."""
+        for at in range(0, len(pieces), 4000):
+            some = pieces[at:at + 4000]
+            text = "\n".join(some).encode()
+            ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text)) - np.arange(len(some))
+            ids = np.array(self.runs.encode_batch_fast([text.decode("latin-1").translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
+            letters = np.cumsum(self.letters[ids])
+            cuts = np.searchsorted(letters, ends)
+            if letters[-1] != ends[-1] or (letters[cuts] != ends).any():
+                raise ValueError("ids don't spell the text they stand for")
+            self.piece_pool.add(ids, np.diff(cuts, prepend=-1))
+            first = len(self.pieces) - 1
+            self.pieces.update(zip(some, range(first, first + len(some))))
+
+    def _split(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``n`` plain words, one a line, and how many each has."""
+        pieces = self.split.findall(text.lower() if self.rules == "word" else text)
+        own = set(pieces)
+        own.discard("\n")
+        new = [x for x in own if x not in self.pieces]
+        if len(self.pieces) + len(new) > PIECES:
+            self._forget_pieces()
+            new = list(own)
+        self._learn_pieces(new)
+        at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        ends = at < 0
+        word = np.cumsum(ends)[~ends]
+        at = at[~ends]
+        count = self.piece_pool.count[at].astype(np.int64)
+        return self.piece_pool.take(self.piece_pool.begin[at], count), np.bincount(word, count, n).astype(np.int64)
+
+    def _learn(self, keys: np.ndarray, w: Words, seen: np.ndarray, spaced: np.ndarray) -> None:
+        """Remember the words ``seen`` by their ``keys``, in this order; ``spaced`` says which follow a space."""
+        lead = " " if self.rules == "byte" else ""
+        ids, counts, order = [], [], []
+        for flag, before in ((True, lead), (False, "")):
+            own = np.flatnonzero(spaced == flag)
+            if not len(own):
+                continue
+            text = _lines(w, seen[own], before)
+            words = None
+            if self.split is None or not _PLAIN.fullmatch(text):
+                words = text.split("\n")
+                odd = np.array([self.split is None or not _PLAIN.fullmatch(x) for x in words])
+                lists = self._joined([words[i][len(before):] for i in np.flatnonzero(odd).tolist()], before)
+                ids += lists
+                counts.append(np.array([len(x) for x in lists], np.int64)), order.append(own[odd])
+                text, own = "\n".join([words[i] for i in np.flatnonzero(~odd).tolist()]), own[~odd]
+            if len(own):
+                some, count = self._split(text, len(own))
+                ids.append(some), counts.append(count), order.append(own)
+        first = len(self.known.keys)
+        self.known.add(keys)
+        self.again = np.concatenate([self.again, np.zeros(len(keys), bool)])
+        # lists stand in the pool as they were made; their places go to the words' numbers
+        self.pool.add(np.concatenate(ids), np.concatenate(counts))
+        made = first + np.argsort(np.concatenate(order))
+        self.pool.begin[first:], self.pool.count[first:] = self.pool.begin[made], self.pool.count[made]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.rules:
@@ -196,28 +361,30 @@ class Encoder:
             line = ~first & (before == 10)
             spaced = ~first & ~line
             keys = np.where(spaced, keys, keys ^ _NO_SPACE)
-        new = np.flatnonzero(self.keys[self._at(keys)] != keys) if len(self.keys) else np.arange(len(keys))
+        at = self.known.find(keys)
+        self.again[at[at >= 0]] = True
+        new = np.flatnonzero(at < 0)
         if len(new):
-            fresh, first_seen = np.unique(keys[new], return_index=True)
-            if len(self.keys) + len(fresh) > MEMORY:
-                self._forget()
-                fresh, first_seen = np.unique(keys, return_index=True)
-                new = np.arange(len(keys))
-            at = new[first_seen]
-            raw = w.data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
-            self._learn(fresh, words, spaced[at])
+            fresh, first_seen, each = np.unique(keys[new], return_index=True, return_inverse=True)
+            if len(self.known.keys) + len(fresh) > MEMORY:
+                self._keep_used()
+                at = self.known.find(keys)
+                new = np.flatnonzero(at < 0)
+                fresh, first_seen, each = np.unique(keys[new], return_index=True, return_inverse=True)
+            seen = new[first_seen]
+            at[new] = len(self.known.keys) + each
+            if len(seen):
+                self._learn(fresh, w, seen, spaced[seen])
         # entries of the pool in order, a line end before the words that follow one
         spot = np.arange(len(keys)) + np.cumsum(line)
         total = len(keys) + int(line.sum())
         begin, count, doc = np.zeros(total, np.int64), np.ones(total, np.int64), np.zeros(total, np.int64)
         if len(keys):
-            at = self._at(keys)
-            begin[spot], count[spot], doc[spot] = self.begin[at], self.count[at], w.doc
+            begin[spot], count[spot], doc[spot] = self.pool.begin[at], self.pool.count[at], w.doc
             ends = spot[line] - 1
             doc[ends] = w.doc[line]
         each = np.bincount(doc, count, n).astype(np.int64) if total else np.zeros(n, np.int64)
-        ids = self.pool[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())].tobytes() if total else b""
+        ids = self.pool.take(begin, count).tobytes() if total else b""
         bounds = (4 * np.append(0, np.cumsum(each))).tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
