@@ -446,6 +446,7 @@ def token_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: in
     folder = f"{scratch.root}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer, folder, end)
     read = read_tokens(spark, folder).select("doc_id", "tag", "ids")
-    sums = read.mapInArrow(_sums, "doc_id long, tag long, n_tokens long, ids_crc32 long")
+    # written, as ranges are sampled first and the ids would be read for that too
+    sums = scratch.save(read.mapInArrow(_sums, "doc_id long, tag long, n_tokens long, ids_crc32 long"), "sums")
     placed = prefix_sum(sums, [F.col("doc_id"), F.col("tag")], "n_tokens", "start", scratch)
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
