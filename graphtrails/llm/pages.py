@@ -224,7 +224,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for kind, text, _, marked in items:
                 if kind != "#br":
-                    (inside if marked else outside)[kind[:40]] += len(text.split()) if kind[:1] == "#" else 1
+                    (inside if marked else outside)[kind] += len(text.split()) if kind[:1] == "#" else 1
         both = sorted(inside.keys() | outside.keys())
         yield pa.RecordBatch.from_arrays([
             pa.array(both, pa.string()), pa.array([inside[k] for k in both], pa.int64()), pa.array([outside[k] for k in both], pa.int64())],
@@ -235,8 +235,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 UNSEEN_WORD, UNSEEN_TAG = 0.5, -0.25
 
 
-def learn(pages: DataFrame, most: int = MOST_PAGES, kinds: int = 500) -> dict[str, float]:
-    """Weights of the ``kinds`` commonest kinds of tokens on ``most`` labelled pages at most.
+def learn(pages: DataFrame, most: int = MOST_PAGES) -> dict[str, float]:
+    """Weights of all kinds of tokens on ``most`` labelled pages at most, whose number of element names bounds them.
 
     A word's is the log odds of standing inside the mark; a tag's is at most -0.01, so that tags which
     only stand inside cost next to nothing.
@@ -246,9 +246,8 @@ def learn(pages: DataFrame, most: int = MOST_PAGES, kinds: int = 500) -> dict[st
     chosen = bounded_sample(labelled, "page_id", "html", most=most).select("html")
     counts = chosen.mapInArrow(_count, "kind string, inside long, outside long").groupBy("kind").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(kinds).collect()
     weights = {}
-    for kind, inside, outside in rows:
+    for kind, inside, outside in counts.collect():
         odds = math.log((inside + 0.5) / (outside + 0.5))
         weights[kind] = max(-4.0, min(4.0, odds)) if kind[:1] == "#" else min(-0.01, max(-4.0, odds / 4))
     return weights

@@ -201,3 +201,15 @@ def test_pipeline_on_odd_rows(spark, docs, tmp_path):
             out = stage(spark, table, folder)
             assert out.columns == table.columns
             assert out.count() <= table.count()
+
+
+def test_every_kind_of_token_has_a_weight(spark):
+    """A name of any length is looked up as it was counted, and more than 500 names have weights of their own."""
+    long = "x-" + "y" * 60
+    names = [long, *(f"x-{i}" for i in range(700))]
+    inside = "".join(f"<{n}>word word word</{n}>" for n in names)
+    rows = [(i, f"<html><body><div>menu</div><article>{inside}</article></body></html>") for i in range(3)]
+    weights = pages.learn(spark.createDataFrame(rows, "page_id long, html string"))
+    kinds = {k for _, html in rows for k, _, _, _ in pages.tokens(html)} - {"#br"}
+    assert set(weights) == kinds and len(kinds) > 700
+    assert pages.main_text(f"<body><{long}>one two</{long}></body>", weights) == "one two"

@@ -1,6 +1,8 @@
 """Operators on documents against plain Python, over texts with nulls, ties, repeats and clashing columns."""
 
+import glob
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -234,6 +237,31 @@ def test_encoder_equals_the_library(texts, name):
         assert encoder.encode(every) == [encoder.whole(t) for t in every]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("memory", [60, 400])
+def test_encoder_forgets_words(texts, name, memory, monkeypatch):
+    """A full memory keeps words met again, and the runs start anew; ids stay those of the library."""
+    monkeypatch.setattr(tokens, "MEMORY", memory)
+    monkeypatch.setattr(tokens, "PIECES", memory // 2)
+    encoder = tokens.Encoder(tokens.tokenizer_path(name))
+    rng = random.Random(memory)
+    signs = "abcXYZ 0123 '\n\t.,;-_!?éßÉÇığİĞŁłœ²½ªº\xa0\xad漢αΣ😀\x1c\x85\rȺ"
+    every = ODD + [t or "" for _, t in texts] + ["".join(rng.choices(signs, k=rng.randint(0, 50))) for _ in range(600)]
+    for at in range(0, len(every), 20):
+        some = every[at:at + 20]
+        assert encoder.encode(some) == [encoder.whole(t) for t in some]
+
+
+def test_places_of_keys():
+    """Keys that share a slot have places of their own; a table that grows keeps its numbers."""
+    places = tokens._Places()
+    keys = np.concatenate([np.arange(1, 3000, dtype=np.uint64) << np.uint64(40), np.arange(100_000, dtype=np.uint64) * np.uint64(7) + np.uint64(1)])
+    for part in np.array_split(keys, 7):
+        assert (places.find(part) == -1).all()
+        places.add(part)
+    assert places.find(keys).tolist() == list(range(len(keys)))
+
+
 ADDED = [
     "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", " <|startoftext|> A\n<|endoftext|>\n", "<|ENDOFTEXT|> <| endoftext|>",
     "plain words", "<|endoftext|><|endoftext|> end", "it's <|endoftext", None, "漢字<|endoftext|>漢字",
@@ -272,6 +300,31 @@ def test_token_files(spark, docs, texts):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_token_file_layout(spark, docs, tmp_path, monkeypatch):
+    """Row groups of the size set, page indexes, dictionary or delta pages; lengths are read without the ids."""
+    monkeypatch.setattr(tokens, "ROW_GROUP_BYTES", 40_000)
+    monkeypatch.setattr(tokens, "PAGE_BYTES", 4_000)
+    folder = str(tmp_path / "ids")
+    many = docs.selectExpr("explode(sequence(0, 11)) AS c", "*").selectExpr("doc_id + 1000 * c AS doc_id", "text")
+    tokens.write_tokens(many, "byte_bpe_50k.json", folder)
+    groups, last = 0, None
+    for path in sorted(glob.glob(f"{folder}/*.parquet")):
+        file = pq.ParquetFile(path)
+        groups += file.num_row_groups
+        for g in range(file.num_row_groups):
+            columns = {c.path_in_schema: c for c in (file.metadata.row_group(g).column(i) for i in range(4))}
+            assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+            assert all(c.compression == "ZSTD" for c in columns.values())
+            for c in columns.values():
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings)
+        for doc_id in file.read(["doc_id"]).column(0).to_pylist():
+            assert doc_id is None or last is None or last <= doc_id
+            last = doc_id if doc_id is not None else last
+    assert groups > len(glob.glob(f"{folder}/*.parquet"))
+    plan = tokens.read_tokens(spark, folder).select("doc_id", "n_tokens").where("doc_id >= 1000")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:int>" in plan and "GreaterThanOrEqual(doc_id,1000)" in plan
+
+
 def test_token_files_without_rows(none):
     assert tokens.token_digests(none).count() == 0
 
@@ -301,7 +354,18 @@ def test_packing(docs, texts):
     pieces = packing.pack(docs.coalesce(1), capacity=256, piece=64).collect()
     total = sum(r["length"] for r in pieces)
     assert check_packing(pieces, texts, 256) <= 1.02 * total / 256 + 2
-    assert {tuple(r)[:3] for r in packing.packing_report(docs).collect()}
+    # the registered query: checksums of the pieces of each document's ids, and every id in one piece
+    encoder, own = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json")), defaultdict(list)
+    for r in packing.packing_report(docs).collect():
+        own[r["doc_id"]].append(r)
+    once = [(i, t) for i, t in texts if [j for j, _ in texts].count(i) == 1]
+    for i, t in once:
+        ids, at = encoder.whole(t or "") + (1).to_bytes(4, "little"), 0
+        for r in sorted(own[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) // 4
+            assert r["ids_crc32"] == zlib.crc32(ids[4 * at:4 * (at + r["length"])])
+            at += r["length"]
+        assert at == len(ids) // 4
 
 
 def test_packing_without_rows(none):
