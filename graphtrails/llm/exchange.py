@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphtrails.llm.words import bounded_batches
+from graphtrails.llm.words import bounded_batches, mix
 
 _SENT = "cell int, uid long, docs binary, tags binary, counts binary, gaps binary, far binary, prints binary, marks binary"
 _HITS = "uid long, docs binary, tags binary, counts binary, gaps binary, far binary"
@@ -82,14 +83,22 @@ _HITS_ARROW = pa.schema([("uid", pa.int64())] + [(c, pa.binary()) for c in ("doc
 _FOUND_ARROW = pa.schema([("_k", pa.int64()), ("_t", pa.int32()), ("places", pa.binary())])
 
 
+def batch_id(keys: np.ndarray, tags: np.ndarray, part: int, number: int) -> int:
+    """A number for a batch: the sum of its rows' hashes, so rows that stand several times count, with its place."""
+    rows = mix(mix(keys.view(np.uint64)) + tags.astype(np.int64).view(np.uint64))
+    place = np.array([(part << 32) + number + 1], np.uint64)
+    return int(mix(mix(place) + rows.sum(dtype=np.uint64)).view(np.int64)[0])
+
+
 def _send(make: Callable[[pa.RecordBatch], Prints], cells: int, width: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             p = make(batch)
             if not len(p.row):
                 continue
             keys, tags = batch.column("_k").to_numpy(), batch.column("_t").to_numpy()
-            uid = int(np.bitwise_xor.reduce(keys * np.int64(31) + tags)) ^ (len(keys) << 48)
+            uid = batch_id(keys, tags, part, number)
             order = np.argsort(p.value, kind="stable")
             value = p.value[order]
             new = np.ones(len(value), bool)

@@ -158,6 +158,17 @@ def test_substrings_without_rows(none):
     assert substrings.substring_digests(none).count() == 0
 
 
+def test_batches_of_doubled_rows_differ():
+    rng = np.random.default_rng(3)
+    ids = set()
+    for number in range(50):
+        keys, tags = rng.integers(-1 << 60, 1 << 60, 100), rng.integers(-1 << 31, 1 << 31, 100).astype(np.int32)
+        ids.add(exchange.batch_id(np.tile(keys, 2), np.tile(tags, 2), 0, 0))  # not told apart by place
+    assert len(ids) == 50
+    same = np.full(100, -5), np.zeros(100, np.int32)
+    assert len({exchange.batch_id(*same, part, number) for part in range(20) for number in range(20)}) == 400
+
+
 def test_places_survive_packing():
     row = np.array([0, 0, 2, 2, 2, 5])
     pos = np.array([3, 900, 0, 254, 70_000, 255])
