@@ -4,15 +4,16 @@
 2. A pair over the threshold shares most of the lowest hashes of both sets. A compact exchange counts for
    every document how many of its lowest hashes any other document has too; documents with too few can't
    be in a pair and leave here. The count is exact, so nothing is lost.
-3. What is left is partitioned twice into groups of similar documents, by its lowest and by its highest
-   hash; a group too large for a task is split evenly. Inside a group, one posting list per token gives
-   each member's overlaps with all others. Found links are joined into classes.
+3. What is left is sorted twice over range partitions, by its lowest and by its highest hash, and cut into
+   groups of similar documents as it streams by; texts move compressed and become sets inside. In a group, one
+   posting list per token gives each member's overlaps with all others. Found links are joined into classes.
 4. Only links between different classes are open now. Documents are grouped by the commonest token they have
-   in common with another class, and the token-group matrix stores for each group the
-   union of its members' rarest tokens. A document asks, by its own rarest tokens, for groups in which a
-   larger class has one of them (classes are ordered by size, so the members of a very large class never
-   ask). One common token is enough to ask: the whole sets of members and askers come to the group first, and
-   there the bound on the overlap with its union is taken, before the query is compared with every member.
+   in common with another class. By its own rarest tokens a document asks for groups in which a larger class
+   has one of them (classes are ordered by size, so the members of a very large class never ask).
+5. The token-group matrix stores for each group the union of all tokens that its members' lowest hashes give.
+   A pair that links shares a known number of these, so an asking document that has fewer in common with the
+   union has no partner there. Only groups that reach this bound are opened: texts move to these alone, and
+   the query is compared with every member.
 
 Two documents link when ``100 * intersection >= percent * union``. Words are runs of bytes other than
 ``[\\x20\\x09-\\x0D]``, A-Z in lower case; a text of fewer words than a shingle is one shingle, one without
@@ -42,6 +43,8 @@ PERCENT = 85
 GROUP = 400
 #: Members of a group of the matrix, and documents that ask for it in one task, at most.
 ASKED_GROUP = 2_000
+#: Tokens of all sets of a group, or of what asks for it in one task; a longer set has a group of its own.
+GROUP_TOKENS = 2_000_000
 
 
 def _need(n, percent: int):
@@ -104,20 +107,27 @@ def set_sizes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(_sizes(shingle), "doc_id long, _k long, _t int, n long, a long, b long")
 
 
-def _tokens(shingle: int):
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = zstandard.ZstdDecompressor()
+def _sets_of(bodies: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sets of packed texts, each sorted."""
+    read, out = zstandard.ZstdDecompressor(), []
+    texts = pa.array([read.decompress(x).decode() for x in bodies], pa.string())
+    for _, n, _, value, bounds in _sets(texts, shingle):
+        out += [value[bounds[d]:bounds[d + 1]] for d in range(n)]
+    return out
+
+
+_PLACED = "v long, n long, low long, high long, body binary, pool binary"
+
+
+def _placed(shingle: int, percent: int):
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([read.decompress(x).decode() for x in batch.column("body").to_pylist()], pa.string())
-            sets = []
-            for _, n, _, value, bounds in _sets(texts, shingle):
-                sets += [value[bounds[d]:bounds[d + 1]].tobytes() for d in range(n)]
+            sets = _sets_of(batch.column("body").to_pylist(), shingle)
+            ends = [pa.array([int(s[i:][:1].view(np.int64)[0]) for s in sets], pa.int64()) for i in (0, -1)]
+            pools = pa.array([s[:_pool(len(s), percent)].tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("v"), batch.column("n"), pa.array(sets, pa.binary()),
-                 pa.array([int(np.frombuffer(s, np.int64)[0]) for s in sets], pa.int64()),
-                 pa.array([int(np.frombuffer(s, np.int64)[-1]) for s in sets], pa.int64())],
-                names=["v", "n", "tokens", "low", "high"])
-    return tokens
+                [batch.column("v"), batch.column("n"), *ends, batch.column("body"), pools], names=["v", "n", "low", "high", "body", "pool"])
+    return placed
 
 
 class _Postings:
@@ -147,109 +157,148 @@ class _Postings:
         return np.flatnonzero(100 * both >= percent * (self.sizes + len(query) - both))
 
 
-def _read(values) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in values]
+def _links(bodies: dict[int, bytes], shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the members of a group into their classes there."""
+    if len(bodies) < 2:
+        return []
+    sets, v = _sets_of(list(bodies.values()), shingle), list(bodies)
+    root, postings = np.arange(len(v)), _Postings(sets)
+    for i, own in enumerate(sets):
+        roots = np.unique(root[postings.linked(own, percent)])
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+    return [(v[i], v[root[i]]) for i in np.flatnonzero(root != np.arange(len(v)))]
 
 
-def _inside(percent: int):
-    def inside(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("v")
-        sets, v = _read(rows["tokens"]), rows["v"].to_numpy()
-        root = np.arange(len(v))
-        postings = _Postings(sets)
-        for i, own in enumerate(sets):
-            roots = np.unique(root[postings.linked(own, percent)])
-            if len(roots) > 1:
-                root[np.isin(root, roots)] = roots[0]
-        apart = root != np.arange(len(v))
-        return pd.DataFrame({"u": v[apart], "v": v[root[apart]]})
+_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _inside(key: str, shingle: int, percent: int, most: int, tokens: int):
+    """Cuts rows sorted by ``key`` into groups: those of one key, and a new group where one is full."""
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies, now, size = {}, None, 0
+        for batch in batches:
+            out = []
+            for k, v, n, body in zip(*(batch.column(c).to_pylist() for c in (key, "v", "n", "body"))):
+                if k != now or len(bodies) >= most or size + n > tokens:
+                    out += _links(bodies, shingle, percent)
+                    bodies, now, size = {}, k, 0
+                if v not in bodies:
+                    bodies[v] = body
+                    size += n
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=_EDGES)
+        out = _links(bodies, shingle, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=_EDGES)
     return inside
 
 
-def _grouped(sets: DataFrame, key: str, seed: int, most: int) -> DataFrame:
-    """Sets with the number of their group ``g``: those of one key, split evenly where they are too many."""
-    counts = sets.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    split = F.pmod(F.xxhash64("v", F.lit(seed)), F.ceil(F.col("_n") / most).cast("long"))
-    return sets.join(counts, key).withColumn("g", F.xxhash64(key, split)).drop("_n")
+def _parts(most: int, tokens: int):
+    """Into how many groups rows ``(v, n)`` go, by their number and the sum of their sets' sizes."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / tokens)).cast("long")
+
 
+def _union(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+    pools = [np.frombuffer(x, np.uint64) for x in members["pool"]]
+    return pd.DataFrame({"g": [key[0]], "pool": [np.unique(np.concatenate(pools)).tobytes()]})
 
-def _across(percent: int):
-    def across(key, members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        members, asking = members.drop_duplicates("v"), asking.drop_duplicates("v")
-        if not len(members) or not len(asking):
-            return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
-        postings, v, component = _Postings(_read(members["tokens"])), members["v"].to_numpy(), members["component"].to_numpy()
+
+def _bounded(percent: int):
+    def bounded(key: tuple, union: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        whole = np.concatenate([np.frombuffer(x, np.uint64) for x in union["pool"]] or [np.empty(0, np.uint64)])
+        common = np.array([np.isin(np.frombuffer(x, np.uint64), whole).sum() for x in asking["pool"]], np.int64)
+        reach = common >= _shared(asking["n"].to_numpy(), percent)
+        return asking.loc[reach, ["g", "v", "n"]]
+    return bounded
+
+
+def _across(shingle: int, percent: int):
+    def across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["v", "asking"])
+        members, asking = rows[~rows["asking"]], rows[rows["asking"]]
         out = []
-        for query, own, q in zip(_read(asking["tokens"]), asking["component"], asking["v"]):
-            hits = postings.linked(query, percent)
-            hits = hits[component[hits] != own]
-            _, first = np.unique(component[hits], return_index=True)
-            out += [(q, v[h]) for h in hits[first]]
+        if len(members) and len(asking):
+            postings = _Postings(_sets_of(members["body"].tolist(), shingle))
+            v, component = members["v"].to_numpy(), members["component"].to_numpy()
+            for query, own, q in zip(_sets_of(asking["body"].tolist(), shingle), asking["component"], asking["v"]):
+                hits = postings.linked(query, percent)
+                hits = hits[component[hits] != own]
+                _, first = np.unique(component[hits], return_index=True)
+                out += [(q, v[h]) for h in hits[first]]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
     return across
 
 
-def _pools(percent: int):
-    def pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
-            lists = [x[:_pool(len(x), percent)] for x in lists]
-            sizes = [len(x) for x in lists]
-            row = pa.array(np.repeat(np.arange(len(lists)), sizes))
-            # how many tokens of the pool decide: with one more than a linked pair may lack, one is common
-            lead = np.array([len(x) - _shared(n, percent) + 1 for x, n in zip(lists, batch.column("n").to_pylist())], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("v").take(row), batch.column("component").take(row), batch.column("weight").take(row), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(lead).take(row),
-                 pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))],
-                names=["v", "component", "weight", "pool", "lead", "token"])
-    return pools
+def _pool_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [np.frombuffer(x, np.int64) for x in batch.column("pool").to_pylist()]
+        row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        tokens = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("v").take(row), batch.column("component").take(row), tokens], names=["v", "component", "token"])
 
 
-def linked_sets(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``(vid, component)`` of all sets ``(v, n, tokens, low, high)`` that link with another one."""
-    kept = sets.select("v", "n", "tokens", "low", "high")
+def linked_sets(sets: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``(vid, component)`` of all sets ``(v, n, low, high, body, pool)`` that link with another one."""
     edges = None
     for seed, key in enumerate(("low", "high")):
-        found = _grouped(kept, key, seed, GROUP).select("g", "v", "tokens").groupBy("g").applyInPandas(_inside(percent), "u long, v long")
+        rows = sets.select(key, "v", "n", "body").withColumn("_o", F.xxhash64("v", F.lit(seed)))
+        rows = rows.repartitionByRange(key, "_o").sortWithinPartitions(key, "_o")
+        found = rows.mapInArrow(_inside(key, shingle, percent, GROUP, GROUP_TOKENS), "u long, v long")
         edges = found if edges is None else edges.unionByName(found)
     edges = scratch.save(edges, "inside")
     first = scratch.save(components(edges, scratch), "classes")
     sizes = first.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     labels = first.join(sizes, "component").select(F.col("vid").alias("v"), "component", "weight")
     # equal sizes of different classes are told apart by the class
-    named = kept.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    named = named.withColumn("weight", F.coalesce("weight", F.lit(1)))
-    named = scratch.save(named.select("v", "n", "tokens", "component", "weight"), "named")
+    named = sets.select("v", "n", "pool").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    named = scratch.save(named.withColumn("weight", F.coalesce("weight", F.lit(1))), "named")
 
-    pools = named.mapInArrow(_pools(percent), "v long, component long, weight long, pool long, lead long, token long")
+    pools = named.select("v", "component", "pool").mapInArrow(_pool_rows, "v long, component long, token long")
     crossing = pools.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     crossing = crossing.filter("_lo <> _hi").select("token", "df")
     mine = Window.partitionBy("v")
+    # how many tokens of the pool decide: with one more than a linked pair may lack, one is common
+    lead = named.select("v", "n", "component", "weight", (_shared_column(F.col("n"), percent) - 1).alias("_spare")).distinct()
     decisive = (
-        pools.join(crossing, "token")
+        pools.select("v", "token").join(crossing, "token")
         .withColumn("_i", F.row_number().over(mine.orderBy("df", "token")))
         .withColumn("_c", F.count(F.lit(1)).over(mine))
         .withColumn("top", F.max(F.struct("df", "token")).over(mine)["token"])
-        .filter("_i <= lead - (pool - _c)")
-        .select("token", "v", "top", "component", "weight")
+        .join(lead, "v")
+        .filter("_i <= _c - _spare")
+        .select("token", "v", "top", "n", "component", "weight")
     )
     decisive = scratch.save(decisive, "decisive")
-    groups = scratch.save(_grouped(decisive.select("v", "top").distinct(), "top", 2, ASKED_GROUP).select("v", "g"), "groups")
+    split = decisive.select("v", "top", "n").distinct()
+    counts = split.groupBy("top").agg(_parts(ASKED_GROUP, GROUP_TOKENS).alias("_n"))
+    groups = split.join(counts, "top").select("v", F.xxhash64("top", F.pmod(F.xxhash64("v", F.lit(2)), "_n")).alias("g"))
+    groups = scratch.save(groups, "groups")
     rank = F.struct("weight", "component")
     matrix = decisive.join(groups, "v").groupBy("token", "g").agg(F.max(rank).alias("most"))
-    asks = decisive.select("token", "v", rank.alias("rank")).join(matrix, "token").filter("rank < most").select("v", "g").distinct()
+    asks = decisive.select("token", "v", "n", rank.alias("rank")).join(matrix, "token").filter("rank < most").select("v", "n", "g").distinct()
     asks = scratch.save(asks, "asks")
-    counts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKED_GROUP).cast("long").alias("parts"))
-    asking = (
-        asks.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("v"), "parts")).select("g", "part", "v")
-        .join(named.select("v", "component", "tokens"), "v")
-        .select("g", "part", "v", F.col("component").alias("component"), F.col("tokens").alias("tokens"))
-    )
-    members = named.select("v", "component", "tokens").join(groups, "v").join(counts, "g").select(
-        "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-        F.col("v").alias("v"), F.col("component").alias("component"), F.col("tokens").alias("tokens"))
-    more = members.groupBy("g", "part").cogroup(asking.groupBy("g", "part")).applyInPandas(_across(percent), "u long, v long")
+
+    def dealt(asks):
+        """Askers with their part of the tasks of a group, and every part of every group."""
+        counts = asks.groupBy("g").agg(_parts(ASKED_GROUP, GROUP_TOKENS).alias("parts"))
+        own = asks.join(counts, "g").select("g", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v", "n")
+        return own, counts.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    asking, every = dealt(asks)
+    asked = groups.join(asks.select("g").distinct(), "g", "left_semi").join(named.select("v", "pool"), "v")
+    unions = asked.groupBy("g").applyInPandas(_union, "g long, pool binary").join(every, "g")
+    asking = asking.join(named.select("v", "pool"), "v")
+    opened = unions.groupBy("g", "part").cogroup(asking.groupBy("g", "part")).applyInPandas(_bounded(percent), "g long, v long, n long")
+    opened, seen = scratch.save(opened, "opened", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return first
+
+    asking, every = dealt(opened.distinct())
+    rows = asking.select("g", "part", "v", F.lit(True).alias("asking")).unionByName(
+        groups.join(every, "g").select("g", "part", "v", F.lit(False).alias("asking")))
+    rows = rows.join(named.select("v", "component").distinct(), "v").join(sets.select("v", "body"), "v")
+    more = rows.groupBy("g", "part").applyInPandas(_across(shingle, percent), "u long, v long")
     more, seen = scratch.save(more, "across", n=F.count(F.lit(1)))
     return components(edges.unionByName(more), scratch) if seen["n"] else first
 
@@ -267,8 +316,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, scr
     one = open_docs.groupBy("n", "a", "b").agg(F.min(F.struct("_k", "_t")).alias("_one"))
     one = scratch.save(one.select("n", "a", "b", F.xxhash64("n", "a", "b").alias("v"), "_one._k", "_one._t"), "one")
     sets = packed(docs).join(one.select("v", "n", "_k", "_t"), ["_k", "_t"]).select("v", "n", "body")
-    sets = scratch.save(sets.mapInArrow(_tokens(shingle), "v long, n long, tokens binary, low long, high long"), "sets")
-    linked = linked_sets(sets, percent, scratch)
+    sets = scratch.save(sets.mapInArrow(_placed(shingle, percent), _PLACED), "sets")
+    linked = linked_sets(sets, shingle, percent, scratch)
     # all documents of a class, by set; the first row of each
     by_set = sizes.groupBy("n", "a", "b").agg(F.min(F.struct("_k", "_t")).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("n > 0")
     several = by_set.join(one.select("n", "a", "b", "v"), ["n", "a", "b"]).join(linked.withColumnRenamed("vid", "v"), "v")
