@@ -204,9 +204,15 @@ def _union(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
 
 def _bounded(percent: int):
     def bounded(key: tuple, union: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        whole = np.concatenate([np.frombuffer(x, np.uint64) for x in union["pool"]] or [np.empty(0, np.uint64)])
-        common = np.array([np.isin(np.frombuffer(x, np.uint64), whole).sum() for x in asking["pool"]], np.int64)
-        reach = common >= _shared(asking["n"].to_numpy(), percent)
+        if not len(union) or not len(asking):
+            return asking.loc[asking.index[:0], ["g", "v", "n"]]
+        whole = np.frombuffer(union["pool"].iloc[0], np.uint64)
+        common = []
+        for x in asking["pool"]:
+            tokens = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(whole, tokens), len(whole) - 1)
+            common.append(np.count_nonzero(whole[at] == tokens))
+        reach = np.array(common) >= _shared(asking["n"].to_numpy(), percent)
         return asking.loc[reach, ["g", "v", "n"]]
     return bounded
 
