@@ -275,8 +275,20 @@ def _trail_ends(spark, folder):
 
 
 def _trail_report(spark, folder):
-    report = part.trail_report(_tour(spark, folder)[1])
-    return report.filter("kind <> 'IN'").select("level", "part", "kind", "trails")
+    """Trails by kind; and edges: those of all trails closed so far inside of a merged part, and of its open ones."""
+    tour, trails = _tour(spark, folder)
+    report = tour.scratch.save(part.trail_report(trails), "report")
+    now = report.groupBy("level", "part").agg(
+        *[F.sum(F.when(F.col("kind") == k, F.col("trails")).otherwise(0)).alias(n) for k, n in (("OB", "open_trails"), ("EB", "even_trails"))],
+        F.sum(F.when(F.col("kind") == "OB", F.col("edges")).otherwise(0)).alias("_open"))
+    later = tour.roots.select(F.col("level").alias("_level"), "part", "root")
+    done = report.filter("kind <> 'OB'").join(later, "part").filter("_level >= level").groupBy(
+        F.col("_level").alias("level"), F.col("root").alias("part")).agg(F.sum("edges").alias("_done"))
+    every = tour.roots.select("level", F.col("root").alias("part")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return every.join(now, ["level", "part"], "left").join(done, ["level", "part"], "left").select(
+        "level", "part", zero("open_trails").alias("open_trails"), zero("even_trails").alias("even_trails"),
+        (zero("_open") + zero("_done")).alias("edges"))
 
 
 def _merge_tours(spark, folder):
@@ -298,10 +310,38 @@ def _partition_tour(spark, folder):
 
 
 def _boundary_lines(spark, folder):
-    lines = text.boundary_lines(*_tour(spark, folder))
-    return lines.filter("level = 0").select(
-        "part", "vid", F.regexp_replace("line", r"^(\d+:\d+ )(\d+ )?", "$1").alias("line")
-    )
+    """Lines of all levels without the far end, which depends on the pairing, and the class of the vertex that stands there."""
+    tour, trails = _tour(spark, folder)
+    far = F.nullif(F.regexp_extract("line", r"^\d+:\d+ (\d+) ", 1), F.lit("")).cast("long")
+    lines = text.boundary_lines(tour, trails).withColumn("other", far)
+    types = tour.classes.select("level", "part", F.col("vid").alias("other"), F.col("vtype").alias("far_type"))
+    return lines.join(types, ["level", "part", "other"], "left").select(
+        "level", "part", "vid", "far_type", F.regexp_replace("line", r"^(\d+:\d+ )(\d+ )?", "$1").alias("line"))
+
+
+def _boundary_state(spark, folder):
+    tour, trails = _tour(spark, folder)
+    path = _folder(spark, "boundary")
+    text.write_boundary_state(tour, path, trails)
+    rows = text.read_boundary_state(spark, path)
+    return rows.groupBy("level", "part", "vid", "rpart").agg(
+        F.count("nbr").alias("remotes"), F.sum("nbr").alias("sum_nbr"), F.count_distinct("other").alias("far_ends"))
+
+
+def _faulty_verdicts(spark, folder):
+    """Verdicts on trails of which some steps lead nowhere."""
+    tour, _ = _tour(spark, folder)
+    torn = F.expr("IF(NOT is_trail AND element % 997 = 5, -1L, to_vid)")
+    return checks.trails_valid(replace(tour, steps=tour.steps.withColumn("to_vid", torn)))
+
+
+def _faulty_invariants(spark, folder):
+    """Rules on trails of which some have moved ends, some have no edges, and some entries are missing."""
+    tour, trails = _tour(spark, folder)
+    bad = trails.filter("NOT (kind = 'EB' AND source % 6 = 1)")
+    for end in ("source", "sink"):
+        bad = bad.withColumn(end, F.expr(f"IF(kind = 'OB' AND {end} % 5 = 2, -1 - {end}, {end})"))
+    return checks.trail_invariants(tour, bad.withColumn("n_edges", F.expr("IF(kind = 'OB' AND level = 1, 0L, n_edges)")))
 
 
 def _tour_circuit(spark, folder):
@@ -636,6 +676,7 @@ def core_queries() -> dict[str, Query]:
         "csr_targets": on(_rel, lambda x: text.csr_tables(x)[1]),
         "degree_histogram_lines": on(g, text.degree_histogram_lines),
         "boundary_lines": _boundary_lines,
+        "write_boundary_state": _boundary_state,
         "write_trails": _trails_file,
         # files written and read back
         "read_edge_list": _edge_list_file,
@@ -699,6 +740,7 @@ def core_queries() -> dict[str, Query]:
         # checks
         "edges_covered_once": _covered,
         "trails_valid": tour(checks.trails_valid),
+        "trails_valid_faults": _faulty_verdicts,
         "adjacency_integrity": lambda spark, folder: checks.adjacency_integrity(
             tables.flatten_partitioned(_pa(spark, folder)), _adj(spark, folder)
         ),
@@ -707,6 +749,7 @@ def core_queries() -> dict[str, Query]:
         "self_part_not_remote": _own_part_remote,
         "boundary_contained": _boundary_faults,
         "trail_invariants": lambda spark, folder: checks.trail_invariants(*_tour(spark, folder)),
+        "trail_invariants_faults": _faulty_invariants,
         # jobs
         "edges_to_euler_graph": _job_euler,
         "export_for_partitioner": _job_export,
@@ -836,6 +879,10 @@ def core_sql() -> dict[str, str]:
     m = "(SELECT count(*) FROM edges)"
     v = "(SELECT count(*) FROM deg)"
     vertex_map = "SELECT vid, rel_vid FROM vm"
+    far = (
+        "FROM leveled l JOIN roots r ON r.part = l.part JOIN roots q ON q.level = r.level AND q.part = head % 8 "
+        "WHERE r.root <> q.root GROUP BY 1, 2, 3, 4"
+    )
     meta_rows = "SELECT r.root AS src, dst, coalesce(weight, 0) AS weight FROM {0} r LEFT JOIN {1} ON src = r.root"
     core = {
         "bidirect": f"{g} SELECT 2 * eid AS dart, eid, u AS tail, v AS head FROM edges UNION ALL SELECT 2 * eid + 1, eid, v, u FROM edges",
@@ -861,7 +908,11 @@ def core_sql() -> dict[str, str]:
         f"SELECT rel_vid, CAST(8 * (3 + {v} + 1 + coalesce(sum(degree) OVER (ORDER BY rel_vid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS byte_offset FROM d",
         "csr_targets": f"{even}, {rel} SELECT rel_vid, row_number() OVER (PARTITION BY rel_vid ORDER BY sink) - 1 AS pos, sink FROM rel",
         "degree_histogram_lines": f"{g} SELECT degree, degree || ',' || count(*) AS line FROM deg GROUP BY 1",
-        "boundary_lines": f"{even}, {by_part} SELECT part, vid, part || ':' || vid || ' ' || string_agg(npart || ':' || l || ' ', '' ORDER BY npart) AS line FROM byp WHERE part <> npart GROUP BY 1, 2",
+        "boundary_lines": f"{levels}, byl AS (SELECT r.level, r.root AS part, tail AS vid, q.root AS rpart, {_LIST.format('head', ',')} AS nbrs {far}), "
+        "texts AS (SELECT level, part, vid, part || ':' || vid || ' ' || string_agg(rpart || ':' || nbrs || ' ', '' ORDER BY rpart) AS line FROM byl GROUP BY 1, 2, 3) "
+        "SELECT level, part, vid, CASE WHEN vtype = 'OB' THEN 'OB' END AS far_type, line FROM texts JOIN classes USING (level, part, vid)",
+        "write_boundary_state": f"{levels}, ends AS (SELECT r.level, r.root AS part, tail AS vid, q.root AS rpart, count(*) AS remotes, CAST(sum(head) AS BIGINT) AS sum_nbr {far}) "
+        "SELECT e.*, CAST(CASE WHEN vtype = 'OB' THEN 1 ELSE 0 END AS BIGINT) AS far_ends FROM ends e JOIN classes USING (level, part, vid)",
         "write_trails": f"{even} {covered(m)}",
         "read_edge_list": f"{g} SELECT u, v, count(*) AS copies FROM edges GROUP BY 1, 2",
         "read_adjacency_text": f"{g} {adj}",
@@ -902,7 +953,10 @@ def core_sql() -> dict[str, str]:
         "trail_ends": f"{levels} SELECT r.level, r.root AS part, tail AS vid, q.root AS rpart, count(*) AS remotes FROM leveled l JOIN roots r ON r.part = l.part "
         f"JOIN roots q ON q.level = r.level AND q.part = head % {PARTS} WHERE r.root <> q.root GROUP BY 1, 2, 3, 4",
         "boundary_count": f"{levels} SELECT level, part, count(*) AS path_ends FROM classes WHERE vtype <> 'IN' GROUP BY 1, 2",
-        "trail_report": f"{levels} SELECT level, part, vtype AS kind, CASE WHEN vtype = 'OB' THEN count(*) // 2 ELSE count(*) END AS trails FROM classes WHERE vtype <> 'IN' GROUP BY 1, 2, 3",
+        "trail_report": f"{levels}, kinds AS (SELECT level, part, count(*) FILTER (WHERE vtype = 'OB') // 2 AS open_trails, count(*) FILTER (WHERE vtype = 'EB') AS even_trails FROM classes GROUP BY 1, 2), "
+        "inner_edges AS (SELECT r.level, r.root AS part, count(*) // 2 AS edges FROM leveled l JOIN roots r ON r.part = l.part WHERE l.level <= r.level GROUP BY 1, 2) "
+        "SELECT level, part, coalesce(open_trails, 0) AS open_trails, coalesce(even_trails, 0) AS even_trails, coalesce(edges, 0) AS edges "
+        "FROM (SELECT DISTINCT level, root AS part FROM roots) LEFT JOIN kinds USING (level, part) LEFT JOIN inner_edges USING (level, part)",
         "relabel_remote": f"{levels}, moved AS (SELECT d.part, vid, nbr, npart, r.root FROM parted d JOIN r1 r ON r.part = npart), "
         f"near AS (SELECT part, vid, {_LIST.format('nbr', ',')} AS local FROM moved WHERE part = npart GROUP BY 1, 2), "
         f"far AS (SELECT part, vid, root, {_LIST.format('nbr', ',')} AS l FROM moved WHERE part <> npart GROUP BY 1, 2, 3), "
@@ -925,6 +979,8 @@ def core_sql() -> dict[str, str]:
         "tour_counts": f"{even} SELECT 2 * {m} AS directed_edges, {m} AS edges_to_walk",
         "edges_covered_once": f"{g} {covered(made)}",
         "trails_valid": f"{levels} SELECT DISTINCT level, root AS part, 'valid' AS verdict FROM roots",
+        "trails_valid_faults": f"{levels}, torn AS (SELECT DISTINCT r.level, root FROM leveled l JOIN roots r ON r.level = l.level AND r.part = l.part WHERE eid % 997 = 5) "
+        "SELECT DISTINCT r.level, r.root AS part, CASE WHEN t.root IS NULL THEN 'valid' ELSE 'wrong' END AS verdict FROM roots r LEFT JOIN torn t ON t.level = r.level AND t.root = r.root",
         "adjacency_integrity": f"{g} SELECT 2 * {m} AS left_edges, 2 * {m} AS right_edges, 2 * {m} AS common, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only",
         "remote_edges_symmetric": one_way("a.part <> a.npart"),
         "local_edges_symmetric": one_way("a.part = a.npart"),
@@ -935,6 +991,12 @@ def core_sql() -> dict[str, str]:
         "('odd boundary vertex not at exactly one end'), ('closed trail that does not return'), "
         "('trail without edges outside even boundary vertices'), ('even boundary vertex on no entry or several'), "
         "('internal cycle through an even boundary vertex')) AS t(rule)",
+        "trail_invariants_faults": f"{levels} SELECT 'open trail with equal ends' AS rule, CAST(0 AS BIGINT) AS violations "
+        "UNION ALL SELECT 'odd boundary vertex not at exactly one end', 2 * count(*) FROM classes WHERE vtype = 'OB' AND vid % 5 = 2 "
+        "UNION ALL SELECT 'closed trail that does not return', 0 "
+        "UNION ALL SELECT 'trail without edges outside even boundary vertices', count(*) // 2 FROM classes WHERE vtype = 'OB' AND level = 1 "
+        "UNION ALL SELECT 'even boundary vertex on no entry or several', count(*) FROM classes WHERE vtype = 'EB' AND vid % 6 = 1 "
+        "UNION ALL SELECT 'internal cycle through an even boundary vertex', 0",
         "edges_to_euler_graph": f"{g} SELECT {v} AS vertices, 2 * {made} AS edges, 12 * {v} + 16 * {made} AS bytes",
         "export_for_partitioner": f"{even} {vertex_map}",
         "import_partitioning": f"{g}, {pa}",

@@ -148,7 +148,7 @@ def trail_invariants(tour: Tour, trails: DataFrame) -> DataFrame:
     rules = {
         "open trail with equal ends": open_trails.filter("source = sink"),
         "odd boundary vertex not at exactly one end": odd_ends.filter(
-            "NOT ((vtype = 'OB' AND coalesce(n, 0) = 1) OR (coalesce(vtype, '') <> 'OB' AND n IS NULL))"
+            "NOT ((coalesce(vtype, '') = 'OB' AND coalesce(n, 0) = 1) OR (coalesce(vtype, '') <> 'OB' AND n IS NULL))"
         ),
         "closed trail that does not return": balance.filter("d <> 0"),
         "trail without edges outside even boundary vertices": trails.filter("kind <> 'EB' AND n_edges < 1"),

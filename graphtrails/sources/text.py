@@ -224,6 +224,28 @@ def boundary_lines(tour: Tour, trails: DataFrame | None = None) -> DataFrame:
     return lists.select("level", "part", "vid", "chunk", F.concat(head, other, _remote_text(F.col("remote"))).alias("line"))
 
 
+def write_boundary_state(tour: Tour, path: str, trails: DataFrame | None = None) -> None:
+    """``boundary_lines`` of every level, in a folder for each; an end with many neighbours has several lines."""
+    boundary_lines(tour, trails).select("level", "line").write.partitionBy("level").text(path)
+
+
+def read_boundary_state(spark: SparkSession, path: str) -> DataFrame:
+    """``(level, part, vid, other, rpart, nbr)``: a row for each neighbour of an end; ``other`` is null at closed trails."""
+    lines = spark.read.schema("value string, level int").text(path)
+    wrong = F.raise_error(F.concat(F.lit("not a line of a trail end: "), "value"))
+    good = F.col("value").rlike(r"^\d+:\d+ (\d+ )?(\d+:\d+(,\d+)* )*$")
+    words = lines.select("level", F.split(F.when(good, F.rtrim("value")).otherwise(wrong.cast("string")), " ").alias("_w"))
+    head, second = F.split(F.col("_w")[0], ":"), F.get("_w", F.lit(1))
+    lone = F.coalesce(~second.contains(":"), F.lit(False))
+    entries = words.select(
+        "level", head[0].cast("int").alias("part"), head[1].cast("long").alias("vid"),
+        F.when(lone, second).cast("long").alias("other"),
+        F.explode(F.filter("_w", lambda x, i: (i > 0) & x.contains(":"))).alias("_e"))
+    entry = F.split("_e", ":")
+    return entries.select("level", "part", "vid", "other", entry[0].cast("int").alias("rpart"), F.explode(F.split(entry[1], ",")).alias("nbr")).withColumn(
+        "nbr", F.col("nbr").cast("long"))
+
+
 def metis_lines(adj_rel: DataFrame) -> DataFrame:
     """``(rel_vid, line)``: row 0 holds vertices and edges, row ``k`` the neighbours of vertex ``k``.
 

@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphtrails.operators import checks, partition as part
 from graphtrails.operators.eulerize import eulerize
 from graphtrails.operators.meta import given_merge_tree
+from graphtrails.sources import text
 
 
 def _run(spark, g, parts, **options):
@@ -41,6 +43,38 @@ def test_cycle_in_two_parts_with_even_boundary(spark, graph):
     assert counts == {(0, 0): 2, (0, 1): 2}
 
 
+def test_boundary_state_comes_back(spark, graph, tmp_path):
+    """Ends of every level through files: an open trail has its other end, a closed one none."""
+    g = graph([(1, 2), (2, 3), (3, 4), (4, 1), (1, 5), (5, 6), (6, 1), (5, 7), (7, 8), (8, 5)])
+    parts = {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2, 7: 3, 8: 3}
+    tour, trails = _run(spark, g, parts)
+    text.write_boundary_state(tour, f"{tmp_path}/state", trails)
+    got = sorted(map(tuple, text.read_boundary_state(spark, f"{tmp_path}/state").collect()), key=str)
+    rows = part.end_remotes(tour, trails).select("level", "part", "vid", "other", "rpart", "nbr").collect()
+    assert got == sorted(map(tuple, rows), key=str) and {r[0] for r in got} == set(range(tour.height))
+    assert {r[3] is None for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("line", ["0:1 2:x ", "0:1", "0 2:3 ", "0:1 5 6 2:3 "])
+def test_malformed_boundary_lines_raise(spark, tmp_path, ansi, line):
+    spark.createDataFrame([(line, 0)], "line string, level int").write.partitionBy("level").text(f"{tmp_path}/state")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="not a line of a trail end"):
+            text.read_boundary_state(spark, f"{tmp_path}/state").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_an_end_off_the_vertex_table_is_a_violation(spark, graph):
+    tour, trails = _run(spark, graph([(1, 2), (2, 3), (3, 4), (4, 1)]), {1: 0, 2: 0, 3: 1, 4: 1})
+    moved = trails.withColumn("source", F.expr("IF(kind = 'OB' AND part = 0, 99L, source)"))
+    found = {r.rule: r.violations for r in checks.trail_invariants(tour, moved).collect()}
+    assert found.pop("odd boundary vertex not at exactly one end") == 2 and not any(found.values())
+
+
 def test_rings_of_one_owner_are_one_walk(spark, graph):
     # two triangles of part 0 meet at 1, which has two edges to part 1
     g = graph([(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (5, 1), (1, 9), (9, 1)])
