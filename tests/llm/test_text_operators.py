@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -427,8 +428,9 @@ def test_classes(docs, texts, size, percent):
     assert len({r[2] for r in got}) < len(texts)
 
 
-def test_classes_over_group_bounds(spark, monkeypatch):
-    """Chains and stars of near copies, in groups of three members each."""
+@pytest.mark.parametrize("group,asked,tokens", [(3, 4, 2_000_000), (400, 2_000, 150)])
+def test_classes_over_group_bounds(spark, monkeypatch, group, asked, tokens):
+    """Chains and stars of near copies, in groups of three members, or of two by their tokens."""
     rng = np.random.default_rng(2)
     texts, base = [], [f"w{i}" for i in range(60)]
     for i in range(160):
@@ -439,11 +441,24 @@ def test_classes_over_group_bounds(spark, monkeypatch):
         if i % 40 == 39:
             base = [f"w{i}_{j}" if j % 3 else x for j, x in enumerate(base)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(jaccard, "GROUP", 3)
-    monkeypatch.setattr(jaccard, "ASKED_GROUP", 4)
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "ASKED_GROUP", asked)
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", tokens)
     assert rows_of(jaccard.jaccard_classes(docs, 2, 80)) == plain_classes(texts, 2, 80)
 
 
+def test_only_groups_that_reach_the_bound_are_opened():
+    """Of 100 elements a linked partner shares a known number of lowest hashes; one fewer in the union is too few."""
+    least = int(jaccard._shared(np.array([100]), 85)[0])
+    pool = np.arange(1, jaccard._pool(100, 85) + 1).astype(np.uint64) * np.uint64(2 ** 59)
+    pool.sort()
+    asks = pd.DataFrame({"g": [7], "v": [1], "n": [100], "pool": [pool.tobytes()]})
+    for common, opens in ((least, 1), (least - 1, 0), (0, 0)):
+        union = np.sort(np.concatenate([pool[:common], np.arange(50, dtype=np.uint64) * np.uint64(3) + np.uint64(1)]))
+        got = jaccard._bounded(85)((7, 0), pd.DataFrame({"g": [7], "pool": [union.tobytes()]}), asks)
+        assert len(got) == opens and list(got.columns) == ["g", "v", "n"]
+
+
 def test_classes_without_rows(none):
     assert jaccard.jaccard_classes(none).count() == 0
 
