@@ -233,7 +233,8 @@ def read_boundary_state(spark: SparkSession, path: str) -> DataFrame:
     """``(level, part, vid, other, rpart, nbr)``: a row for each neighbour of an end; ``other`` is null at closed trails."""
     lines = spark.read.schema("value string, level int").text(path)
     wrong = F.raise_error(F.concat(F.lit("not a line of a trail end: "), "value"))
-    good = F.col("value").rlike(r"^\d+:\d+ (\d+ )?(\d+:\d+(,\d+)* )*$")
+    # possessive: a group that may give back is matched by recursion, too deep for a long list
+    good = F.col("value").rlike(r"^\d+:\d+ (?:\d+ )?+(?:\d+:\d+(?:,\d+)*+ )*+$")
     words = lines.select("level", F.split(F.when(good, F.rtrim("value")).otherwise(wrong.cast("string")), " ").alias("_w"))
     head, second = F.split(F.col("_w")[0], ":"), F.get("_w", F.lit(1))
     lone = F.coalesce(~second.contains(":"), F.lit(False))

@@ -124,3 +124,9 @@ def test_given_tree_that_stops_early(spark, graph):
     tree = given_merge_tree(spark, [[(0, 1), (2, 3)]])
     tour, trails = _run(spark, g, {1: 0, 2: 1, 3: 2, 4: 3}, mt=tree)
     assert trails.filter("level = 1 AND kind = 'OB'").count() == 2
+
+
+def test_boundary_line_with_a_long_list(spark, tmp_path):
+    line = "0:1 9 " + "2:" + ",".join(map(str, range(50_000))) + " " + "".join(f"{p}:7 " for p in range(3, 5000))
+    spark.createDataFrame([(line, 0)], "line string, level int").write.partitionBy("level").text(f"{tmp_path}/state")
+    assert text.read_boundary_state(spark, f"{tmp_path}/state").count() == 54_997
