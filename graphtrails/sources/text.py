@@ -6,6 +6,8 @@ in that order over many files whose names sort like their content.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphtrails.functions.graph import join_longs
@@ -51,6 +53,11 @@ def read_adjacency_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it, also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def remote_map(remotes: Column) -> Column:
     """List of structs ``(vid, part)`` to a map from part to sorted vertices, inside the row.
 
@@ -58,16 +65,18 @@ def remote_map(remotes: Column) -> Column:
     """
     ranked = F.array_sort(F.transform(remotes, lambda x: F.struct(x["part"].alias("part"), x["vid"].alias("vid"))))
 
-    def cut(rows: Column) -> Column:
+    def firsts(rows: Column) -> Column:
         places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
-        first = F.filter(places, lambda i: (i == 0) | (F.get(rows, i)["part"] != F.get(rows, i - 1)["part"]))
-        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(rows))
+        return F.filter(places, lambda i: (i == 0) | (F.get(rows, i)["part"] != F.get(rows, i - 1)["part"]))
+
+    def cut(rows: Column, first: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(first, j + 1), F.size(rows))
         return F.map_from_arrays(
             F.transform(first, lambda i: F.get(rows, i)["part"]),
-            F.transform(first, lambda i, j: F.transform(F.slice(rows, i + 1, end(first, j) - i), lambda x: x["vid"])),
+            F.transform(first, lambda i, j: F.transform(F.slice(rows, i + 1, end(j) - i), lambda x: x["vid"])),
         )
 
-    return cut(ranked)
+    return _bound(ranked, lambda rows: _bound(firsts(rows), lambda first: cut(rows, first)))
 
 
 def read_partitioned_text(spark: SparkSession, path: str, dialect: str = "parts") -> DataFrame:
