@@ -17,7 +17,8 @@ from graphtrails.operators.tables import adjacency_degrees, degree_histogram
 from graphtrails.scratch import Scratch
 
 DIALECTS = ("parts", "plain")
-_TUPLE = r"^\s*\(\s*(-?\d+)\s*,\s*\[([-\d,\s]*)\]\s*\)\s*$"
+#: A line ``(part,[v0, v1, ...])``, or a stretch of one.
+_STRETCH = r"^(?:\s*\(\s*(-?\d+)\s*,\s*\[)?([-\d,\s]*)(\]\s*\)\s*)?$"
 
 
 def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", scratch: Scratch | None = None) -> DataFrame:
@@ -362,15 +363,53 @@ def write_trail_text(steps: DataFrame, path: str, trail: str = "trail_id", line_
 def read_trail_text(spark: SparkSession, path: str, scratch: Scratch | None = None) -> DataFrame:
     """``(part, trail_id, seq, from_vid, to_vid)`` from lines ``(part,[v0, v1, ...])``; any other line is an error.
 
-    Trails are numbered by their line, in a table that is written here.
+    A line may go on in the files after its own, in name order, as ``write_trail_text`` leaves it; such stretches are
+    placed by what is before them, not gathered. Trails are numbered by their line, in a table that is written here.
     """
     scratch = scratch or Scratch.of(spark)
-    part, body = (F.regexp_extract("value", _TUPLE, i) for i in (1, 2))
-    wrong = F.raise_error(F.concat(F.lit("malformed trail: "), F.col("value"))).cast("int")
+    part, body = (F.regexp_extract("value", _STRETCH, i) for i in (1, 2))
+    wrong = F.raise_error(F.concat(F.lit("malformed trail: "), F.substring("value", 1, 1000))).cast("int")
     lines = spark.read.text(path).filter("trim(value) <> ''").select(
-        F.when(part != "", part.cast("int")).otherwise(wrong).alias("part"),
-        F.monotonically_increasing_id().alias("trail_id"), _longs(body, ",").alias("_v"))
+        F.when(part != "", part.cast("int")).when(F.regexp_extract("value", _STRETCH, 0) == "", wrong).alias("part"),
+        F.monotonically_increasing_id().alias("trail_id"), _longs(body, ",").alias("_v"),
+        F.when(part == "", body.rlike(r"^\s*,")).alias("_goes_on"), F.regexp_extract("value", _STRETCH, 3).alias("_close"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
     lines = scratch.save(lines, "trail-lines")
+    stretches = _placed_stretches(lines.filter("part IS NULL OR _close = ''"), lines, scratch)
+    lines = lines.select("trail_id", "part", "_v").join(stretches, "trail_id", "left")
+    from_before = F.when(F.col("_last").isNotNull(), F.concat(F.array("_last"), "_v")).otherwise(F.col("_v"))
+    lines = lines.select(
+        F.coalesce("_part", "part").alias("part"), F.coalesce("_trail", "trail_id").alias("trail_id"),
+        F.coalesce(F.col("_base") - F.when(F.col("_last").isNotNull(), 1).otherwise(0), F.lit(0)).alias("_base"), from_before.alias("_v"))
     steps = F.arrays_zip(F.slice("_v", F.lit(1), F.greatest(F.size("_v") - 1, F.lit(0))).alias("a"), F.slice("_v", 2, F.size("_v")).alias("b"))
-    return lines.select("part", "trail_id", F.posexplode(steps).alias("_i", "_s")).select(
-        "part", "trail_id", F.col("_i").cast("long").alias("seq"), F.col("_s.a").alias("from_vid"), F.col("_s.b").alias("to_vid"))
+    return lines.select("part", "trail_id", "_base", F.posexplode(steps).alias("_i", "_s")).select(
+        "part", "trail_id", (F.col("_base") + F.col("_i")).alias("seq"), F.col("_s.a").alias("from_vid"), F.col("_s.b").alias("to_vid"))
+
+
+def _placed_stretches(cut: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(trail_id, _trail, _part, _base, _last)`` of lines cut by the ends of files: their trail, and vertices and the last vertex before.
+
+    There are at most two for each file; the windows hold no list. One that nothing goes on or that goes on nothing is an error.
+    """
+    place = F.struct("_at", "trail_id")
+    edges = lines.groupBy("_file").agg(F.min(place).alias("_first"), F.max(place).alias("_final"))
+    here = cut.select(
+        "trail_id", "_file", "_at", "part", "_goes_on", (F.col("_close") == "").alias("_open"),
+        F.size("_v").cast("long").alias("_n"), F.try_element_at("_v", F.lit(-1)).alias("_end")).join(edges, "_file")
+    order = Window.orderBy("_file", "_at", "trail_id")
+    files = lines.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).alias("_f"))
+    here = scratch.save(here.join(files, "_file").withColumn("_head", F.count("part").over(order)), "trail-stretches")
+    before = Window.partitionBy("_head").orderBy("_file", "_at", "trail_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = here.select(
+        "*", F.lag("_open").over(order).alias("_open_before"), F.lag("_f").over(order).alias("_f_before"),
+        F.lead("part").over(order).alias("_part_after"), F.lead("_f").over(order).alias("_f_after"))
+    first, final = F.col("_first.trail_id") == F.col("trail_id"), F.col("_final.trail_id") == F.col("trail_id")
+    continues = F.col("_goes_on") & first & F.coalesce(F.col("_open_before") & (F.col("_f_before") == F.col("_f") - 1), F.lit(False))
+    continued = final & F.col("_part_after").isNull() & F.coalesce(F.col("_f_after") == F.col("_f") + 1, F.lit(False))
+    wrong = held.filter((F.col("part").isNull() & ~continues) | (F.col("_open") & ~continued)).select("_file", "trail_id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"malformed trail: a line without its other half in {wrong[0]['_file']}")
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return scratch.save(here.select(
+        "trail_id", F.first("trail_id").over(whole).alias("_trail"), F.first("part").over(whole).alias("_part"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_base"), F.last("_end", ignorenulls=True).over(before).alias("_last")), "trail-places")

@@ -284,3 +284,26 @@ def test_long_remote_list_is_sorted_once(spark):
     row = spark.range(1).select(text.remote_map(remotes).alias("m")).first()
     assert time.monotonic() - begun < 60  # sorted anew for every entry it took minutes
     assert row.m == {p: sorted(x * 7919 % size for x in range(1, size + 1) if x % 5 == p) for p in range(5)}
+
+
+def test_trails_cut_by_the_ends_of_files(spark, tmp_path):
+    rows = [(p, t, i, 100 * t + i, 100 * t + i + 1) for p, t, n in ((0, 1, 40), (0, 2, 1), (1, 3, 7), (2, 4, 90)) for i in range(n)]
+    steps = spark.createDataFrame(rows, "part int, trail_id long, seq long, from_vid long, to_vid long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_trail_text(steps, str(tmp_path / "trails"), line_steps=3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "trails").glob("*.bin"))
+    assert not all(f.read_bytes().endswith(b"])\n") for f in files)
+    back = text.read_trail_text(spark, str(tmp_path / "trails"))
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in back.collect()) == sorted(r[:1] + r[2:] for r in rows)
+    assert back.select("part", "trail_id").distinct().count() == 4
+
+
+@pytest.mark.parametrize("files", [["(0,[1, 2", "(1,[3, 4])\n"], ["(0,[1, 2])\n", ", 3])\n"], ["(0,[1, 2", " 3])\n"], ["(0,[1, 2\n, 3])\n"], ["(0,[1, 2"]])
+def test_trails_without_their_other_half(spark, tmp_path, files):
+    for i, content in enumerate(files):
+        (tmp_path / f"{i}.txt").write_text(content)
+    with pytest.raises(Exception, match="malformed trail"):
+        text.read_trail_text(spark, str(tmp_path))
