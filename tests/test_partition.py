@@ -130,3 +130,16 @@ def test_boundary_line_with_a_long_list(spark, tmp_path):
     line = "0:1 9 " + "2:" + ",".join(map(str, range(50_000))) + " " + "".join(f"{p}:7 " for p in range(3, 5000))
     spark.createDataFrame([(line, 0)], "line string, level int").write.partitionBy("level").text(f"{tmp_path}/state")
     assert text.read_boundary_state(spark, f"{tmp_path}/state").count() == 54_997
+
+
+def test_elements_of_a_level_are_counted_as_they_are_written(spark, graph, monkeypatch):
+    seen, real = [], part.rank_chains
+
+    def rank(elements, scratch, rows=None):
+        seen.append((rows, elements.count()))
+        return real(elements, scratch, rows)
+
+    monkeypatch.setattr(part, "rank_chains", rank)
+    tour, _ = _run(spark, graph([(1, 2), (2, 3), (3, 4), (4, 1), (1, 1)]), {1: 0, 2: 0, 3: 1, 4: 1})
+    assert len(seen) == tour.height + 1 and all(rows == n for rows, n in seen)
+    assert max(r.level for r in tour.loops.collect()) == tour.height
