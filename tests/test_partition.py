@@ -143,3 +143,20 @@ def test_elements_of_a_level_are_counted_as_they_are_written(spark, graph, monke
     tour, _ = _run(spark, graph([(1, 2), (2, 3), (3, 4), (4, 1), (1, 1)]), {1: 0, 2: 0, 3: 1, 4: 1})
     assert len(seen) == tour.height + 1 and all(rows == n for rows, n in seen)
     assert max(r.level for r in tour.loops.collect()) == tour.height
+
+
+def test_no_table_of_a_tour_has_a_row_for_each_dart(spark, graph, monkeypatch):
+    rng, rows, real = random.Random(3), {}, part.Scratch.save
+
+    def save(self, df, name, *args, **options):
+        out = real(self, df, name, *args, **options)
+        rows.setdefault(name, []).append((out[0] if isinstance(out, tuple) else out).count())
+        return out
+
+    monkeypatch.setattr(part.Scratch, "save", save)
+    g = eulerize(graph([(rng.randrange(9), rng.randrange(9)) for _ in range(90)] + [(v, v + 1) for v in range(8)]))
+    tour = part.partition_tour(g, spark.createDataFrame([(v, v % 3) for v in range(9)], "vid long, part int"))
+    size = tour.edges.count()
+    assert max(n for name in rows for n in rows[name] if not name.startswith("contract")) <= size
+    assert sum(rows["trail-bodies"]) <= 9 * tour.height  # only open trails are written again
+    assert tour.darts.count() == 2 * size and tour.darts.select("dart").distinct().count() == 2 * size
