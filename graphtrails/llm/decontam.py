@@ -58,7 +58,10 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     ended = F.array_append(F.coalesce(words(text), F.array().cast("array<string>")), F.lit(_END))
-    every = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), F.posexplode(ended).alias("pos", "_w"))
+    # two steps: beside the generator, a text's hash would be worked out again for each of its words; and outer, as else
+    # a filter for arrays that aren't empty (none is) would split every text once more
+    split = docs.select(doc_key().alias("_k"), F.hash(text).alias("_t"), ended.alias("_words"))
+    every = split.select("_k", "_t", F.posexplode_outer("_words").alias("pos", "_w"))
     wanted = terms.unionByName(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_END)).alias("term")))
     return every.select(F.xxhash64(lower(F.col("_w"))).alias("term"), "_k", "_t", "pos").join(wanted, "term")
 

@@ -526,3 +526,13 @@ def test_query_equals_sql(spark, name):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.select(*names)) == Counter(cursor.fetchall())
+
+
+def test_postings_hash_and_split_each_text_once(spark):
+    """Beside the generator the hash of a whole text was worked out for each word, and a filter split texts again."""
+    docs = spark.createDataFrame([(1, "a b C"), (2, None), (3, "--")], "doc_id long, text string")
+    made = decontam.postings(docs, spark.sql("SELECT xxhash64('c') AS term"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate ")
+    assert "hash(coalesce(text" not in above.replace("xxhash64", "") and below.count("hash(coalesce(text") == 1
+    assert "Filter" not in below.split("Union")[0] and sorted((r._k, r.pos) for r in made.collect()) == [(1, 2), (1, 3), (2, 0), (3, 0)]
