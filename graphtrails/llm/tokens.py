@@ -23,6 +23,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,23 +88,28 @@ _LETTERS = str.maketrans({b: x for b, x in enumerate(_byte_letters()) if b != 10
 
 
 class _Places:
-    """Numbers of 64-bit keys in the order in which they were added: a hash table in arrays, at most half full."""
+    """Numbers of 64-bit keys in the order in which they were added: a hash table in arrays, at most half full.
+
+    A slot holds the number only, the key is looked up by it: 8 to 16 bytes a key beside the key itself.
+    """
 
     def __init__(self):
         self.keys = np.empty(0, np.uint64)
-        self.slot_key, self.slot = np.zeros(1 << 16, np.uint64), np.full(1 << 16, -1, np.int32)
+        self.slot = np.full(1 << 16, -1, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
         last = np.uint64(len(self.slot) - 1)
         spot = (keys & last).view(np.int64)
         at = self.slot[spot]
-        wrong = np.flatnonzero((self.slot_key[spot] != keys) & (at >= 0))
+        if not len(self.keys):
+            return at
+        wrong = np.flatnonzero((self.keys[at] != keys) & (at >= 0))
         spot = spot[wrong]
         while len(wrong):
             spot = (spot + 1) & int(last)
             at[wrong] = self.slot[spot]
-            more = (self.slot_key[spot] != keys[wrong]) & (at[wrong] >= 0)
+            more = (self.keys[at[wrong]] != keys[wrong]) & (at[wrong] >= 0)
             wrong, spot = wrong[more], spot[more]
         return at
 
@@ -112,8 +118,7 @@ class _Places:
         first = len(self.keys)
         self.keys = np.concatenate([self.keys, keys])
         if 2 * len(self.keys) > len(self.slot):
-            size = 1 << int(4 * len(self.keys) - 1).bit_length()
-            self.slot_key, self.slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self.slot = np.full(1 << int(2 * len(self.keys)).bit_length(), -1, np.int32)
             first = 0
         number = np.arange(first, len(self.keys))
         mask = len(self.slot) - 1
@@ -122,8 +127,6 @@ class _Places:
             free = self.slot[spot] < 0
             self.slot[spot[free]] = number[free]  # of several for one slot, the last stays
             left = self.slot[spot] != number
-            placed = ~left
-            self.slot_key[spot[placed]] = self.keys[number[placed]]
             number, spot = number[left], (spot[left] + 1) & mask
 
 
@@ -162,14 +165,14 @@ class Encoder:
 
     What is remembered is arrays: hashes of words (with their lengths), and for each the place and the number of its ids in a
     pool. Only new words become strings. These are split by the tokenizer's own rule, and the library encodes
-    each run that it didn't have yet, many at once, as one text with a separator that is a token of its own.
+    each run that it didn't have yet by the model alone.
     Words beyond Latin letters are encoded whole by the library.
     """
 
     _open: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -177,14 +180,14 @@ class Encoder:
         with open(path) as f:
             rules = json.load(f)
         pre, norm = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
-        chain = [x.get("type") for x in (norm or {}).get("normalizers", [])]
+        norms = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         splits = pre.get("pretokenizers") or [{}]
         added = [x for x in rules.get("added_tokens") or [] if x["content"]]
         self.added = [x["content"] for x in added]
         self.rules, self.split = "", None
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.rules, self.separator, self.sign, self.split = "byte", "\n", "\n", _plain_rule(_BYTE_RULE)
-        elif chain == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
+        elif norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
             self.rules, self.separator, self.sign = "word", " 0 ", "0"
             if [splits[0].get("pattern"), *splits[1:]] == [{"Regex": _WORD_RULE}, {
                     "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]:
@@ -196,14 +199,8 @@ class Encoder:
             self.rules = ""
         else:
             self.mark = mark[0]
-        # the same model without rules: runs are given in its letters, a line end between them
-        self.runs = Tokenizer(self.tokenizer.model)
-        self.runs.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        if self.split is not None:
-            vocab, end = self.tokenizer.get_vocab(), rules["model"].get("end_of_word_suffix") or ""
-            self.letters = np.zeros(max(vocab.values()) + 1, np.int64)
-            for token, number in vocab.items():
-                self.letters[number] = len(token.removesuffix(end) if end else token)
+        # runs go to the model itself, in its letters: a whole encoding has much that isn't used here
+        self.model = self.tokenizer.model
         self._forget()
 
     @classmethod
@@ -252,17 +249,13 @@ class Encoder:
         return [np.array(self._ids(lead + w), "<u4") if x is None else x for w, x in zip(words, out)]
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        """Ids of runs that aren't known yet. Where a run's ids end follows from the letters of each id."""
+        """Ids of runs that aren't known yet."""
+        model = self.model
         for at in range(0, len(pieces), 4000):
             some = pieces[at:at + 4000]
-            text = "\n".join(some).encode()
-            ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text)) - np.arange(len(some))
-            ids = np.array(self.runs.encode_batch_fast([text.decode("latin-1").translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
-            letters = np.cumsum(self.letters[ids])
-            cuts = np.searchsorted(letters, ends)
-            if letters[-1] != ends[-1] or (letters[cuts] != ends).any():
-                raise ValueError("ids don't spell the text they stand for")
-            self.piece_pool.add(ids, np.diff(cuts, prepend=-1))
+            shown = "\n".join(some).encode().decode("latin-1").translate(_LETTERS).split("\n")
+            ids = [[token.id for token in model.tokenize(x)] for x in shown]
+            self.piece_pool.add(np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)))
             first = len(self.pieces) - 1
             self.pieces.update(zip(some, range(first, first + len(some))))
 

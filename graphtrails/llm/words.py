@@ -156,12 +156,13 @@ def find_words(texts: pa.Array, blanks: np.ndarray = BLANKS, lower: bool = False
     doc = np.searchsorted(offsets, start, "right") - 1
     if len(start):
         size = end - start
-        within = np.arange(n, dtype=np.int64)
-        within -= np.maximum.accumulate(np.where(first, within, 0))
-        within[~inside] = 0
+        within = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        within[start[0]:] -= np.repeat(start.astype(within.dtype), np.diff(start, append=n))
+        outside = ~inside
+        within[outside] = 0
         value = _BYTE[data]
         value *= _power(int(size.max()) + 1)[within]
-        value[~inside] = 0
+        value[outside] = 0
         hashes = mix(np.add.reduceat(value, start) + size.astype(np.uint64) * _ODD)
     else:
         hashes = np.empty(0, np.uint64)

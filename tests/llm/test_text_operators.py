@@ -536,3 +536,17 @@ def test_postings_hash_and_split_each_text_once(spark):
     above, below = plan.split("Generate ")
     assert "hash(coalesce(text" not in above.replace("xxhash64", "") and below.count("hash(coalesce(text") == 1
     assert "Filter" not in below.split("Union")[0] and sorted((r._k, r.pos) for r in made.collect()) == [(1, 2), (1, 3), (2, 0), (3, 0)]
+
+
+def test_a_known_word_takes_few_bytes_in_the_table():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 63, 70_000).astype(np.uint64) << np.uint64(8))  # low bits are equal: many share a slot
+    keys = np.concatenate([keys, np.unique(rng.integers(1, 1 << 62, 70_000).astype(np.uint64))])
+    keys = rng.permutation(np.unique(keys))
+    table = tokens._Places()
+    assert (table.find(keys[:9]) == -1).all()
+    for at in range(0, len(keys), 30_000):
+        table.add(keys[at:at + 30_000])
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(keys ^ np.uint64(1 << 63 | 1)) == -1).all()
+    held = sum(x.nbytes for x in vars(table).values())
+    assert held <= 24 * len(keys)
