@@ -269,13 +269,21 @@ def scored(rows: DataFrame, model: AdditiveModel) -> DataFrame:
     return rows.mapInArrow(_scorer(model), f"{_columns(rows, 'x')}, score double")
 
 
+def judged(docs: DataFrame, model: AdditiveModel, *carry: str) -> DataFrame:
+    """The columns ``carry`` and ``score`` of each text, measured and scored by one worker a task: a second one would stay
+    beside it, and hold what later steps remember, too."""
+    bounded_batches(docs.sparkSession)
+    rows, score = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text")), _scorer(model)
+    return rows.mapInArrow(lambda batches: score(_measure(batches)), f"{_columns(rows, '_text')}, score double")
+
+
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
     marks = Scratch.of(docs.sparkSession).save(training_marks(labels, most), "marks")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
     model = train(measured(known, "doc_id"), marks, most)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return scored(measured(rows, "row"), model).filter(F.col("score") >= THRESHOLD).select("row.*")
+    return judged(rows, model, "row").filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:

@@ -512,6 +512,16 @@ def test_quality_of_odd_rows(spark, docs, none, texts):
     assert kept.columns == docs.columns and rows_of(kept) == rows_of(docs)
 
 
+def test_quality_takes_one_worker_a_task(docs):
+    labels = docs.sparkSession.createDataFrame([(1, 1), (2, 0), (9, 1), (12, 0)], "doc_id long, quality int")
+    kept = quality.good_documents(docs, labels)
+    assert str(kept._jdf.queryExecution().executedPlan()).count("MapInArrow ") == 1
+    x = quality.measured(docs, "doc_id", "text")
+    model = quality.fit(np.stack([r["x"] for r in x.collect()]).astype(np.float32), np.arange(docs.count()) % 2.0)
+    rows = lambda df: Counter((r["doc_id"], r["text"], r["score"]) for r in df.collect())
+    assert rows(quality.judged(docs, model, "doc_id", "text")) == rows(quality.scored(x, model))
+
+
 # --- the queries with SQL ------------------------------------------------------------------------
 
 
