@@ -32,7 +32,6 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphtrails.llm.exchange import Prints, repeated
-from graphtrails.llm.substrings import packed
 from graphtrails.llm.words import NO_ID, bounded_batches, doc_key, find_words, keyed, mix, shingle_sets, slices, without
 from graphtrails.operators.hooks import components
 from graphtrails.scratch import Scratch
@@ -116,20 +115,47 @@ def _sets_of(bodies: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
-_PLACED = "v long, n long, low long, high long, body binary, pool binary"
+#: Bits of the mask for each key, and bits of it at most: it is sent to every task (8 MB), and beyond that lets more through.
+MASK_BITS, MOST_BITS = 16, 1 << 26
+_PLACED = "_k long, _t int, low long, high long, body binary, pool binary"
 
 
-def _placed(shingle: int, percent: int):
+def _mask(keys: DataFrame, n: int) -> np.ndarray:
+    """64-bit words in which the bits of the hashes of ``keys(_k, _t)`` are set; ``n`` is their number."""
+    size = min(MOST_BITS, 1 << max(6, (MASK_BITS * n).bit_length()))
+    bit = keys.select(F.pmod(F.xxhash64("_k", "_t"), F.lit(size)).alias("_b"))
+    words = bit.groupBy(F.expr("_b div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(_b % 64 AS int)))").alias("word")).toPandas()
+    mask = np.zeros(size // 64, np.int64)
+    mask[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+    return mask
+
+
+def _placed(mask: np.ndarray, shingle: int, percent: int):
+    """Ends, pools and packed texts of the rows that ``mask`` lets through."""
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = _sets_of(batch.column("body").to_pylist(), shingle)
-            ends = [pa.array([int(s[i:][:1].view(np.int64)[0]) for s in sets], pa.int64()) for i in (0, -1)]
+            bit = batch.column("_h").to_numpy() & (64 * len(mask) - 1)
+            batch = batch.filter(pa.array((mask[bit >> 6] >> (bit & 63)) & 1 == 1))
+            sets = [value[bounds[d]:bounds[d + 1]] for _, n, _, value, bounds in _sets(batch.column("text"), shingle) for d in range(n)]
+            ends = [pa.array([int(s[i:][:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64()) for i in (0, -1)]
             pools = pa.array([s[:_pool(len(s), percent)].tobytes() for s in sets], pa.binary())
+            body = pa.array([write.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("v"), batch.column("n"), *ends, batch.column("body"), pools], names=["v", "n", "low", "high", "body", "pool"])
+                [batch.column("_k"), batch.column("_t"), *ends, body, pools], names=["_k", "_t", "low", "high", "body", "pool"])
     return placed
 
 
+def _chosen(docs: DataFrame, one: DataFrame, n: int, shingle: int, percent: int) -> DataFrame:
+    """``(v, n, low, high, body, pool)`` of the documents ``one(v, n, _k, _t)``, of which there are ``n``.
+
+    Most other documents stay where they are read: a mask of hashes tells them apart there. The join drops the rest.
+    """
+    rows = keyed(docs).select("_k", "_t", "text", F.xxhash64("_k", "_t").alias("_h"))
+    made = rows.mapInArrow(_placed(_mask(one, n), shingle, percent), _PLACED)
+    return made.join(one.select("v", "n", "_k", "_t"), ["_k", "_t"]).select("v", "n", "low", "high", "body", "pool")
+
+
 class _Postings:
     """Token lists of some sets turned into one list of members per token."""
 
@@ -320,9 +346,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, scr
     seen = seen.groupBy("_k", "_t").agg(F.sum(F.length("places") / 4).alias("_seen"))
     open_docs = sizes.filter("n > 0").join(seen, ["_k", "_t"]).filter(F.col("_seen") >= _shared_column(F.col("n"), percent))
     one = open_docs.groupBy("n", "a", "b").agg(F.min(F.struct("_k", "_t")).alias("_one"))
-    one = scratch.save(one.select("n", "a", "b", F.xxhash64("n", "a", "b").alias("v"), "_one._k", "_one._t"), "one")
-    sets = packed(docs).join(one.select("v", "n", "_k", "_t"), ["_k", "_t"]).select("v", "n", "body")
-    sets = scratch.save(sets.mapInArrow(_placed(shingle, percent), _PLACED), "sets")
+    one, seen = scratch.save(
+        one.select("n", "a", "b", F.xxhash64("n", "a", "b").alias("v"), "_one._k", "_one._t"), "one", n=F.count(F.lit(1)))
+    sets = scratch.save(_chosen(docs, one, seen["n"], shingle, percent), "sets")
     linked = linked_sets(sets, shingle, percent, scratch)
     # all documents of a class, by set; the first row of each
     by_set = sizes.groupBy("n", "a", "b").agg(F.min(F.struct("_k", "_t")).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("n > 0")

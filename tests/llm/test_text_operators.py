@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -447,6 +449,19 @@ def test_classes_over_group_bounds(spark, monkeypatch, group, asked, tokens):
     assert rows_of(jaccard.jaccard_classes(docs, 2, 80)) == plain_classes(texts, 2, 80)
 
 
+def test_texts_without_a_partner_stay_where_they_are(spark):
+    """The mask lets all candidates through and few others, and the join drops these."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('a b c d e f ', id) AS text")
+    rows = words.keyed(docs).select("_k", "_t", "text", F.xxhash64("_k", "_t").alias("_h"))
+    one = words.keyed(docs).filter("_k % 150 = 7").selectExpr("_k AS v", "4L AS n", "_k", "_t")
+    for keys, n, most in ((one, 20, 20 + 3_000 // 8), (one.limit(0), 0, 0)):
+        made = rows.mapInArrow(jaccard._placed(jaccard._mask(keys, n), 4, 85), jaccard._PLACED).count()
+        assert n <= made <= most
+        got = jaccard._chosen(docs, keys, n, 4, 85).collect()
+        assert sorted(r["v"] for r in got) == [7 + 150 * i for i in range(n)]
+        assert all(zstandard.decompress(r["body"]).decode() == f"a b c d e f {r['v']}" and r["low"] is not None for r in got)
+
+
 def test_only_groups_that_reach_the_bound_are_opened():
     """Of 100 elements a linked partner shares a known number of lowest hashes; one fewer in the union is too few."""
     least = int(jaccard._shared(np.array([100]), 85)[0])
