@@ -1,3 +1,4 @@
+import glob
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from graphtrails.operators.eulerize import eulerize
 @pytest.mark.parametrize("group_rows", [1_000_000, 30])
 def test_rounds_of_many_tasks_hand_on_few_rows(spark, graph, monkeypatch, group_rows):
     """Whatever the number of tasks, what all rounds together hand on is about as much as the elements."""
-    monkeypatch.setattr(chains, "TASK_ROWS", 12)
+    monkeypatch.setattr(chains, "TASK_ROWS", 40)
     monkeypatch.setattr(chains, "GROUP_ROWS", 30)
     handed, real = [], part.Scratch.save
 
@@ -22,20 +23,15 @@ def test_rounds_of_many_tasks_hand_on_few_rows(spark, graph, monkeypatch, group_
         return out
 
     monkeypatch.setattr(part.Scratch, "save", save)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", 16)
-    try:
-        rng = random.Random(5)
-        pairs = [(rng.randrange(60), rng.randrange(60) if rng.random() < 0.8 else 1) for _ in range(500)]
-        g = eulerize(graph(pairs + [(v, v + 1) for v in range(59)]))
-        vp = spark.createDataFrame([(v, v % 4) for v in range(60)], "vid long, part int")
-        tour = part.partition_tour(g, vp, group_rows=group_rows)
-        trails = tour.scratch.save(part.trail_table(tour), "trails")
-        elements = tour.steps.count()
-        assert len(handed) > 2 * (tour.height + 1)
-        assert sum(handed) <= 1.5 * elements
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(60) if rng.random() < 0.8 else 1) for _ in range(500)]
+    g = eulerize(graph(pairs + [(v, v + 1) for v in range(59)]))
+    vp = spark.createDataFrame([(v, v % 4) for v in range(60)], "vid long, part int")
+    tour = part.partition_tour(g, vp, group_rows=group_rows)
+    trails = tour.scratch.save(part.trail_table(tour), "trails")
+    elements = tour.steps.count()
+    assert len(handed) > 2 * (tour.height + 1)
+    assert sum(handed) <= 1.5 * elements
     assert {r.verdict for r in checks.trails_valid(tour).collect()} == {"valid"}
     assert all(r.violations == 0 for r in checks.trail_invariants(tour, trails).collect())
     assert all(r.edges == r.walked for r in checks.local_coverage(tour).collect())
@@ -45,6 +41,32 @@ def test_rounds_of_many_tasks_hand_on_few_rows(spark, graph, monkeypatch, group_
     assert row.asDict() == dict(steps=size, edges=size, circuits=1, breaks=0, wrong_edges=0)
 
 
+@pytest.mark.parametrize("form", ["links", "ends"])
+def test_a_task_holds_its_rows_at_any_number_of_shuffle_partitions(spark, monkeypatch, form):
+    """The session has 4 shuffle partitions; a first round over 400 elements still has tasks of about 10 rows each."""
+    monkeypatch.setattr(chains, "TASK_ROWS", 10)
+    files, real = [], part.Scratch.save
+
+    def save(self, df, name, *args, **options):
+        out = real(self, df, name, *args, **options)
+        if name == "contract":
+            table = out[0] if isinstance(out, tuple) else out
+            files.append(len(glob.glob(f"{table._scratch_path}/part-*")))
+            raise StopIteration  # the first round is enough
+        return out
+
+    monkeypatch.setattr(part.Scratch, "save", save)
+    if form == "links":
+        rows = [(k, 2 * k - 1 if k else -1, 2, 2 * k + 2 if k < 399 else -1, 2, 1) for k in range(400)]
+        elements = spark.createDataFrame(rows, "k long, pa long, ga long, pb long, gb long, own long")
+    else:
+        rows = [(k, 1, k, 1, -1, 0, k + 1, 1, -1, 0, 0) for k in range(400)]
+        elements = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c[0] == 'q' else 'long'}" for c in chains.ENDS))
+    with pytest.raises(StopIteration):
+        chains.rank_chains(elements, part.Scratch.of(spark))
+    assert files[0] >= 30
+
+
 def test_each_vertex_keeps_one_open_end_at_most(spark, monkeypatch):
     """Places and ends of trails that many small tasks link: a star of paths, of any length and direction."""
     monkeypatch.setattr(chains, "TASK_ROWS", 5)
