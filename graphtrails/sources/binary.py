@@ -2,7 +2,8 @@
 
 Records have variable length and no sync mark. A pass over the heads alone finds a record start every
 ``RANGE_BYTES`` of a longer file, and cuts the list of a longer record; the ranges are then decoded apart, as
-arrays. Fixed records (vertex maps) are read by byte range at once.
+arrays. Fixed records (vertex maps) are read by byte range at once. The tables of files and ranges are a few bytes,
+so their rows are dealt to a fixed number of tasks: adaptive execution would bring them all into one.
 
 The sink deals rows to files by the running sum of their bytes, so a vertex with very many neighbours fills several
 files. A file whose first record goes on with a vertex says so in its name: ``-c<records before>x<longest list>``.
@@ -21,7 +22,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -31,7 +32,7 @@ from graphtrails.operators.skew import GROUP_ROWS
 from graphtrails.scratch import Scratch
 from graphtrails.sources.text import remote_map
 
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 MAP_RECORD = 16
 #: Bytes read ahead while heads are looked for.
 _AHEAD = 1 << 20
@@ -66,6 +67,20 @@ def _longs_of(data: bytes, at: int, count: int = 1) -> np.ndarray:
     return np.frombuffer(data, ">i8", count, at)
 
 
+def _by_bytes(table: DataFrame, name: str, order: list[str], size: Column) -> DataFrame:
+    """The rows of a short table of files or ranges, dealt in order to tasks of at most about ``RANGE_BYTES`` and one row more.
+
+    There are as many tasks as cores at least, if there are as many rows.
+    """
+    spark = table.sparkSession
+    size = size.cast("long") + 1
+    rows, seen = Scratch.of(spark).save(table.withColumn("_size", size), name, n=F.count(F.lit(1)), total=F.sum(size))
+    tasks = max(1, min(seen["n"], max(-(-seen["total"] // RANGE_BYTES), spark.sparkContext.defaultParallelism)))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file or range
+    task = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / F.lit((seen["total"] + 1) / tasks)).cast("int")
+    return rows.withColumn("_task", task).repartitionById(tasks, "_task").drop("_size", "_task")
+
+
 class _Heads:
     """The heads of a file's records, read with little else of it."""
 
@@ -219,15 +234,16 @@ def _row_batches(layout: str, piece: int, row: dict) -> Iterator[pa.RecordBatch]
 
 
 def _read_records(spark: SparkSession, path: str, layout: str, piece: int, schema: str, range_bytes: int) -> DataFrame:
-    files = _files(spark, path).repartition("path")
-    index = Scratch.of(spark).save(files.mapInArrow(partial(_ranges_of, layout, piece, range_bytes), _INDEX), "ranges")
+    read = F.when(F.col("length") > range_bytes, F.col("length")).otherwise(0)  # a short file is one range
+    files = _by_bytes(_files(spark, path), "files", ["path"], read)
+    index = files.mapInArrow(partial(_ranges_of, layout, piece, range_bytes), _INDEX)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield from _row_batches(layout, piece, row)
 
-    return index.repartition("path", "at").mapInArrow(decode, schema)
+    return _by_bytes(index, "ranges", ["path", "at"], F.col("to") - F.col("at")).mapInArrow(decode, schema)
 
 
 def read_adjacency_binary(
@@ -265,7 +281,8 @@ def read_partitioned_binary(
 def _ranges(spark: SparkSession, path: str) -> DataFrame:
     """Byte ranges of files of fixed records, spread over tasks."""
     step = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(RANGE_BYTES).cast("long"))
-    return _files(spark, path).select("path", "length", F.explode(step).alias("at")).repartition("path", "at")
+    ranges = _files(spark, path).select("path", "length", F.explode(step).alias("at"))
+    return _by_bytes(ranges, "ranges", ["path", "at"], F.least(F.col("length") - F.col("at"), F.lit(RANGE_BYTES)))
 
 
 def _longs_at(row: dict, record: int) -> np.ndarray:
@@ -466,24 +483,34 @@ def _write(df: DataFrame, path: str, layout: str) -> DataFrame:
 FILE_BYTES = 256 << 20
 
 
-def _dealt(rows: DataFrame, groups: list[str], order: list[str], size, values: list[str], file_bytes: int) -> DataFrame:
+def _dealt(
+    rows: DataFrame, groups: list[str], order: list[str], size: Column, values: list[str], file_bytes: int
+) -> tuple[DataFrame, int]:
     """Add ``_file``, the number of a row's file in its group by the running sum of bytes, and what its name needs.
 
-    ``before`` counts the vertex's rows before it, ``longest`` is the length of its longest list.
+    ``before`` counts the vertex's rows before it, ``longest`` is the length of its longest list. ``_task`` numbers the files of
+    all groups, below the second result, so that each can be a task's own.
     """
     scratch = Scratch.of(rows.sparkSession)
     sized = rows.withColumn("_bytes", size.cast("long"))
     longest = F.max(F.greatest(*[F.size(v) for v in values], F.lit(0))).alias("longest")
     keys = sized.groupBy(*groups, *order).agg(F.sum("_bytes").alias("_bytes"), longest)  # once, should a row stand twice
     summed = scratch.save(prefix_sum(keys, [F.col(c) for c in [*groups, *order]], "_bytes", "_sum", scratch), "sums")
-    start = F.lit(0)
-    numbered = summed
-    if groups:
-        numbered, start = summed.join(F.broadcast(summed.groupBy(*groups).agg(F.min("_sum").alias("_first"))), groups), F.col("_first")
-    numbered = numbered.select(*groups, *order, ((F.col("_sum") - start) / file_bytes).cast("long").alias("_file"))
+    spans = summed.groupBy(*groups).agg(F.min("_sum").alias("_first"), F.max("_sum").alias("_last")).collect()  # a row for each group
+    firsts, files = [], 0
+    for span in spans:
+        if span["_first"] is not None:
+            firsts.append((*[span[g] for g in groups], span["_first"], files))
+            files += (span["_last"] - span["_first"]) // file_bytes + 1
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in summed.select(*groups).schema], "_first long", "_base long"])
+    starts = rows.sparkSession.createDataFrame(firsts, schema)
+    numbered = summed.join(F.broadcast(starts), groups) if groups else summed.crossJoin(F.broadcast(starts))
+    file = F.expr(f"(_sum - _first) div {file_bytes}")
+    numbered = numbered.select(*groups, *order, file.alias("_file"), (F.col("_base") + file).cast("int").alias("_task"))
     several = summed.filter("chunk > 0").groupBy(*groups, "vid").agg(F.max("longest").alias("longest"))
-    return rows.join(numbered, [*groups, *order]).join(several, [*groups, "vid"], "left").withColumn(
+    dealt = rows.join(numbered, [*groups, *order]).join(several, [*groups, "vid"], "left").withColumn(
         "longest", F.coalesce("longest", F.lit(1))).withColumn("before", F.col("chunk").cast("long"))
+    return dealt, max(1, files)
 
 
 def write_adjacency_binary(adj: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -492,9 +519,10 @@ def write_adjacency_binary(adj: DataFrame, path: str, file_bytes: int = FILE_BYT
     The format has no chunks: the rows of one vertex are records next to each other, over several files if they fill
     them, which the reader numbers again. File names sort like the vertices.
     """
-    dealt = _dealt(adj, [], ["vid", "chunk"], 12 + 8 * F.size("nbrs"), ["nbrs"], file_bytes)
+    adj = Scratch.of(adj.sparkSession).kept(adj, "adjacency")
+    dealt, files = _dealt(adj, [], ["vid", "chunk"], 12 + 8 * F.size("nbrs"), ["nbrs"], file_bytes)
     keyed = dealt.withColumn("file_key", F.format_string("part-%08d", "_file"))
-    placed = keyed.repartitionByRange("_file").sortWithinPartitions("_file", "vid", "chunk")
+    placed = keyed.repartitionById(files, "_task").sortWithinPartitions("_file", "vid", "chunk")
     return _write(placed.select("file_key", "vid", "nbrs", "before", "longest"), path, "adjacency")
 
 
@@ -516,10 +544,11 @@ def write_partitioned_binary(
     rows = pa_table.select(
         F.pmod("part", F.lit(splits)).alias("_split"), part.alias("part"), "vid", "chunk", "local", packed.alias("packed")
     )
-    dealt = _dealt(rows, ["_split"], ["vid", "chunk"], 17 + 8 * (F.size("local") + F.size("packed")), ["local", "packed"], file_bytes)
+    rows = Scratch.of(pa_table.sparkSession).save(rows, "packed")
+    dealt, files = _dealt(rows, ["_split"], ["vid", "chunk"], 17 + 8 * (F.size("local") + F.size("packed")), ["local", "packed"], file_bytes)
     keyed = dealt.withColumn("file_key", F.format_string("split-%05d-%08d", "_split", "_file"))
     return _write(
-        keyed.repartition("_split", "_file").sortWithinPartitions("file_key", "vid", "chunk")
+        keyed.repartitionById(files, "_task").sortWithinPartitions("file_key", "vid", "chunk")
         .select("file_key", "part", "vid", "local", "packed", "before", "longest"),
         path, "partitioned",
     )
