@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from graphtrails.functions.graph import join_longs
-from graphtrails.operators.partition import Tour, end_remotes, part_lists, trail_ends
+from graphtrails.operators.partition import Tour, part_lists
 from graphtrails.operators.ranks import prefix_sum
 from graphtrails.operators.tables import adjacency_degrees, degree_histogram
 from graphtrails.scratch import Scratch
@@ -228,7 +228,7 @@ def partitioned_lines(pa: DataFrame) -> DataFrame:
 
 def boundary_lines(tour: Tour, trails: DataFrame | None = None) -> DataFrame:
     """One line per trail end: ``part:v other p:r1,r2``; a closed trail's end has no ``other``."""
-    lists = part_lists(end_remotes(tour, trails))
+    lists = part_lists(tour, trails)
     other = F.when(F.col("other").isNotNull(), F.concat(F.col("other").cast("string"), F.lit(" "))).otherwise(F.lit(""))
     head = F.concat(F.col("part").cast("string"), F.lit(":"), F.col("vid").cast("string"), F.lit(" "))
     return lists.select("level", "part", "vid", "chunk", F.concat(head, other, _remote_text(F.col("remote"))).alias("line"))
