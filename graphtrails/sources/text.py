@@ -248,12 +248,14 @@ def read_boundary_state(spark: SparkSession, path: str) -> DataFrame:
     words = lines.select("level", F.split(F.when(good, F.rtrim("value")).otherwise(wrong.cast("string")), " ").alias("_w"))
     head, second = F.split(F.col("_w")[0], ":"), F.get("_w", F.lit(1))
     lone = F.coalesce(~second.contains(":"), F.lit(False))
-    entries = words.select(
-        "level", head[0].cast("int").alias("part"), head[1].cast("long").alias("vid"),
-        F.when(lone, second).cast("long").alias("other"),
-        F.explode(F.filter("_w", lambda x, i: (i > 0) & x.contains(":"))).alias("_e"))
+    # what is the same for many rows is cut out before it is repeated, so no row drags or cuts a whole list again
+    ends = words.select(
+        "level", head[0].cast("int").alias("part"), head[1].cast("long").alias("vid"), F.when(lone, second).cast("long").alias("other"), "_w")
     entry = F.split("_e", ":")
-    return entries.select("level", "part", "vid", "other", entry[0].cast("int").alias("rpart"), F.explode(F.split(entry[1], ",")).alias("nbr")).withColumn(
+    entries = F.explode(F.filter("_w", lambda x, i: (i > 0) & x.contains(":")))
+    lists = ends.select("level", "part", "vid", "other", entries.alias("_e")).select(
+        "level", "part", "vid", "other", entry[0].cast("int").alias("rpart"), entry[1].alias("_l"))
+    return lists.select("level", "part", "vid", "other", "rpart", F.explode(F.split("_l", ",")).alias("nbr")).withColumn(
         "nbr", F.col("nbr").cast("long"))
 
 

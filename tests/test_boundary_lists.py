@@ -46,3 +46,17 @@ def test_darts_are_not_shuffled_once_for_every_level(spark, graph):
 def test_no_remotes_no_lists(spark, graph):
     tour = part.partition_tour(graph([(0, 1), (1, 2), (2, 0)]), spark.createDataFrame([(v, 0) for v in range(3)], "vid long, part int"))
     assert part.part_lists(tour).count() == 0
+
+
+def test_a_long_line_is_not_cut_again_for_each_neighbour(spark, tmp_path):
+    line = "0:1 9 " + "".join(f"{p}:" + ",".join(map(str, range(p, 3000 + p))) + " " for p in (2, 3))
+    spark.createDataFrame([(line, 0)], "line string, level int").write.partitionBy("level").text(f"{tmp_path}/state")
+    rows = text.read_boundary_state(spark, f"{tmp_path}/state")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # neither a list nor the words of a line go on with what is exploded from them
+    kept = [g.split("), [")[1].split("]")[0] for g in plan.splitlines() if "Generate explode" in g]
+    assert len(kept) == 2 and not any(c in k for c in ("_e#", "_w#", "_l#") for k in kept)
+    assert "split(_e" not in plan[:plan.index("Generate explode")]
+    got = {(r.level, r.part, r.vid, r.other, r.rpart): (r.n, r.s) for r in rows.groupBy("level", "part", "vid", "other", "rpart").agg(
+        F.count("nbr").alias("n"), F.sum("nbr").alias("s")).collect()}
+    assert got == {(0, 0, 1, 9, p): (3000, sum(range(p, 3000 + p))) for p in (2, 3)}
