@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphtrails.operators.partition import Tour
 from graphtrails.operators.tables import adjacency_to_edges, partitioned_darts
-from graphtrails.scratch import one_row
+from graphtrails.scratch import Scratch, one_row
 
 
 def edges_covered_once(steps: DataFrame, g: DataFrame) -> DataFrame:
@@ -27,13 +27,14 @@ def walk_breaks(steps: DataFrame, walk: str, closed: bool = True) -> DataFrame:
     """``(walk, seq)`` of steps whose end is not where the next one starts, and of walks that have
     gaps or, if they should, do not return.
 
-    A join by position, so that a walk over the whole graph is not one group.
+    A join by position, so that a walk over the whole graph is not one group. It is made once; its few odd rows are written.
     """
-    ahead = steps.select(walk, "seq", "to_vid", (F.col("seq") + 1).alias("_next")).join(
+    ahead = steps.select(walk, (F.col("seq") + 1).alias("_next"), "to_vid").join(
         steps.select(walk, F.col("seq").alias("_next"), F.col("from_vid").alias("_from")), [walk, "_next"], "left"
-    )
-    off = ahead.filter(F.col("to_vid") != F.col("_from")).select(walk, "seq")
-    lasts = ahead.filter(F.col("_from").isNull()).groupBy(walk).agg(
+    ).filter((F.col("to_vid") != F.col("_from")) | F.col("_from").isNull())
+    odd = Scratch.of(steps.sparkSession).save(ahead.select(walk, (F.col("_next") - 1).alias("seq"), "to_vid", "_from"), "odd-steps")
+    off = odd.filter(F.col("to_vid") != F.col("_from")).select(walk, "seq")
+    lasts = odd.filter(F.col("_from").isNull()).groupBy(walk).agg(
         F.count(F.lit(1)).alias("_n"), F.max("seq").alias("seq"), F.max_by("to_vid", "seq").alias("to_vid")
     )
     firsts = steps.filter("seq = 0").select(walk, F.col("from_vid").alias("_from"))
@@ -45,13 +46,12 @@ def walk_breaks(steps: DataFrame, walk: str, closed: bool = True) -> DataFrame:
 def circuit_summary(steps: DataFrame, g: DataFrame) -> DataFrame:
     """One row on a set of circuits: steps, distinct edges, breaks, and steps that are no edge."""
     ends = g.select("eid", F.col("u").alias("_u"), F.col("v").alias("_v"))
-    wrong = steps.join(ends, "eid", "left").filter(
-        "NOT coalesce((from_vid = _u AND to_vid = _v) OR (from_vid = _v AND to_vid = _u), false)"
-    )
-    total = steps.agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("eid").alias("edges"),
-                      F.count_distinct("component").alias("circuits"))
+    right = F.expr("coalesce((from_vid = _u AND to_vid = _v) OR (from_vid = _v AND to_vid = _u), false)")
+    by_edge = steps.join(ends, "eid", "left").groupBy("eid").agg(F.count_if(~right).alias("_wrong"))  # in the join's partitions
+    edges = by_edge.agg(F.count("eid").alias("edges"), F.coalesce(F.sum("_wrong"), F.lit(0)).alias("wrong_edges"))
+    total = steps.agg(F.count(F.lit(1)).alias("steps"), F.count_distinct("component").alias("circuits"))
     breaks = walk_breaks(steps, "component").agg(F.count(F.lit(1)).alias("breaks"))
-    return one_row(total, breaks, wrong.agg(F.count(F.lit(1)).alias("wrong_edges")))
+    return one_row(total, breaks, edges).select("steps", "edges", "circuits", "breaks", "wrong_edges")
 
 
 def trails_valid(tour: Tour) -> DataFrame:
