@@ -38,6 +38,16 @@ def test_a_tour_is_not_ranked_again_for_its_circuit(spark, graph, monkeypatch):
     assert row == dict(steps=size, edges=size, circuits=3, breaks=0, wrong_edges=0)
 
 
+def test_edges_of_a_circuit_are_linked_as_they_are_ranked(graph, monkeypatch):
+    g = _even(graph, 6)
+    seen = _ranked_tables(monkeypatch)
+    steps = circuit.euler_circuit(g, group_rows=7)
+    size = g.count()
+    assert seen[0] == (size, True) and all(n < size for n, _ in seen[1:])
+    row = circuit_summary(steps, g).first().asDict()
+    assert row == dict(steps=size, edges=size, circuits=3, breaks=0, wrong_edges=0)
+
+
 def test_a_tour_with_open_ends_has_no_circuit(spark, graph):
     g = graph([(1, 2), (2, 3), (3, 4), (4, 1)])
     vp = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "vid long, part int")
