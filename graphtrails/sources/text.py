@@ -64,7 +64,7 @@ def remote_map(remotes: Column) -> Column:
 
     The list is sorted once and cut where the part changes.
     """
-    ranked = F.array_sort(F.transform(remotes, lambda x: F.struct(x["part"].alias("part"), x["vid"].alias("vid"))))
+    ranked = F.sort_array(F.transform(remotes, lambda x: F.struct(x["part"].alias("part"), x["vid"].alias("vid"))))
 
     def firsts(rows: Column) -> Column:
         places = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))

@@ -34,3 +34,13 @@ def test_each_file_of_the_sink_is_a_task_of_its_own(spark):
     named = dealt.select("_split", "_file", "_task").distinct().collect()
     assert files == len(named) == len({(r["_split"], r["_file"]) for r in named}) and {r["_task"] for r in named} == set(range(files))
     assert dealt.count() == 300
+
+
+def test_a_partitioned_file_is_read_by_several_tasks(spark, tmp_path):
+    g = _ring(spark, 400)
+    pa = tables.split_local_remote(g, g.selectExpr("u AS vid", "cast(u % 2 AS int) AS part"))
+    binary.write_partitioned_binary(pa, str(tmp_path / "pa"), splits=1)
+    rows = binary.read_partitioned_binary(spark, str(tmp_path / "pa"), range_bytes=300)
+    assert _tasks(rows) >= 4 and rows.count() == 400
+    assert {(r.vid, r.part): sorted(r.remote[1 - r.part]) for r in rows.collect()} == {
+        (i, i % 2): sorted([(i + 1) % 400, (i - 1) % 400]) for i in range(400)}
